@@ -111,3 +111,20 @@ def monthly_price_stats(prices: DataFrame, cal: DataFrame, value: str = "adj_clo
         for c in (f"avg_{value}", f"std_{value}"):
             out = out.withColumn(c, F.round(F.col(c) + F.lit(0.0), places))
     return out
+
+
+def groups_having_at_least(df: DataFrame, keys: Sequence[str], n: int, out: str = "n") -> DataFrame:
+    """FLT-07: ``GROUP BY keys HAVING count(*) >= n`` (NULL group kept)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)).where(F.col(out) >= n)
+
+
+def sector_summary(companies: DataFrame, market: str) -> DataFrame:
+    """AGG-06: per sector of one market: tickers and min / avg / max market cap in
+    millions, ``ROUND(x::numeric, 2)`` -- rounded as a decimal, half away from zero."""
+    from ..functions.columns import round_numeric
+    cap = F.col("market_cap") / 1000000
+    return (companies.where(F.col("stock_mkt_name") == market).groupBy("sector")
+            .agg(F.count(F.lit(1)).alias("tickers"),
+                 round_numeric(F.min(cap), 2).alias("min_cap_millions"),
+                 round_numeric(F.avg(cap), 2).alias("avg_cap_millions"),
+                 round_numeric(F.max(cap), 2).alias("max_cap_millions")))
