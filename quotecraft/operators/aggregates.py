@@ -99,7 +99,7 @@ def monthly_price_stats(prices: DataFrame, cal: DataFrame, value: str = "adj_clo
                         places: int | None = 6) -> DataFrame:
     """AGG-14: per (symbol, y, m): min, avg, max and sample stdev of a price.
 
-    ``places`` rounds the average and stdev (``round(x + 0.0, k)``) so two
+    ``places`` rounds the average and stdev (``round(x, k) + 0.0``) so two
     engines' summation orders agree; ``None`` keeps full precision.
     """
     key = prices.columns[0]
@@ -109,7 +109,7 @@ def monthly_price_stats(prices: DataFrame, cal: DataFrame, value: str = "adj_clo
         F.max(value).alias(f"max_{value}"), F.stddev_samp(value).alias(f"std_{value}"))
     if places is not None:
         for c in (f"avg_{value}", f"std_{value}"):
-            out = out.withColumn(c, F.round(F.col(c) + F.lit(0.0), places))
+            out = out.withColumn(c, F.round(F.col(c), places) + F.lit(0.0))
     return out
 
 

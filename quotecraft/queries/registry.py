@@ -3,7 +3,7 @@
 Each Spark callable takes ``(spark, sf_dir)`` and returns a DataFrame built by
 the operator its name carries; the oracle is independent SQL over the same
 driver tables (``sqlbase`` CTEs).  Computed doubles are rounded to a fixed
-number of places in both engines (``round(x + 0.0, k)``) where summation
+number of places in both engines (``round(x, k) + 0.0``) where summation
 order can move the last bits; prices and strict returns are compared exactly.
 """
 
@@ -31,11 +31,11 @@ def query(name: str, sql: str | None = None, extra_ctes: dict[str, str] | None =
 
 
 def rnd(c: Column | str, k: int = 6) -> Column:
-    """Spark side of the comparison rounding: ``round(x + 0.0, k)``."""
+    """Spark side of the comparison rounding: ``round(x, k) + 0.0``."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.round(col + F.lit(0.0), k)
+    return F.round(col, k) + F.lit(0.0)
 
 
 def r_sql(expr: str, k: int = 6) -> str:
     """SQL side of the comparison rounding."""
-    return f"round(({expr}) + 0.0, {k})"
+    return f"(round(({expr}), {k}) + 0.0)"
