@@ -107,14 +107,15 @@ def distributions_table(ret: DataFrame, key: str = "symbol", value: str = "ret",
 def annualized_table(ret: DataFrame, scale: int = SCALE_DAILY, key: str = "symbol", value: str = "ret",
                      places: int | None = 6) -> DataFrame:
     """RET-06: annualised return, annualised stdev and Sharpe ratio (Rf = 0)."""
+    keys = [key] if isinstance(key, str) else list(key)
     r = F.col(value)
-    g = ret.groupBy(key).agg(F.count(r).alias("_n"), F.product(F.lit(1.0) + r).alias("_w"),
-                             F.stddev_samp(r).alias("_sd"))
+    g = ret.groupBy(*keys).agg(F.count(r).alias("_n"), F.product(F.lit(1.0) + r).alias("_w"),
+                               F.stddev_samp(r).alias("_sd"))
     ann = F.pow(F.col("_w"), F.try_divide(F.lit(float(scale)), F.col("_n"))) - 1
     sd = F.col("_sd") * F.sqrt(F.lit(float(scale)))
-    out = g.select(key, ann.alias("annualized_return"), sd.alias("annualized_std"))
+    out = g.select(*keys, ann.alias("annualized_return"), sd.alias("annualized_std"))
     out = out.withColumn("sharpe_ratio", F.try_divide(F.col("annualized_return"), F.col("annualized_std")))
-    return out.select(key, *[_r6(F.col(c), places).alias(c) for c in out.columns if c != key])
+    return out.select(*keys, *[_r6(F.col(c), places).alias(c) for c in out.columns if c not in keys])
 
 
 def cumulative_return(ret: DataFrame, key: str = "symbol", value: str = "ret",
@@ -124,22 +125,24 @@ def cumulative_return(ret: DataFrame, key: str = "symbol", value: str = "ret",
     return out.select(key, _r6(F.col("cumulative_return"), places).alias("cumulative_return"))
 
 
-def wealth_series(ret: DataFrame, key: str = "symbol", value: str = "ret") -> DataFrame:
+def wealth_series(ret: DataFrame, key: str | list[str] = "symbol", value: str = "ret") -> DataFrame:
     """WIN-04: running product of (1 + r) and its running maximum, per series.
 
     A missing return leaves wealth unchanged; wealth starts at 1.
     """
-    w = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    keys = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     wealth = F.coalesce(F.product(F.lit(1.0) + F.col(value)).over(w), F.lit(1.0))
-    x = ret.select(key, "date", value, wealth.alias("wealth"))
+    x = ret.select(*keys, "date", value, wealth.alias("wealth"))
     return x.withColumn("peak", F.greatest(F.lit(1.0), F.max("wealth").over(w)))
 
 
 def cumulative_series(ret: DataFrame, key: str = "symbol", value: str = "ret",
                       places: int | None = 8) -> DataFrame:
     """RET-09: cumulative return at every date (the cumulative-returns chart data)."""
-    x = wealth_series(ret, key, value)
-    return x.select(key, "date", _r6(F.col("wealth") - 1, places).alias("cumulative_return"))
+    keys = [key] if isinstance(key, str) else list(key)
+    x = wealth_series(ret, keys, value)
+    return x.select(*keys, "date", _r6(F.col("wealth") - 1, places).alias("cumulative_return"))
 
 
 def drawdown_series(ret: DataFrame, key: str = "symbol", value: str = "ret",

@@ -146,6 +146,22 @@ class Study:
     def eod_ret(self) -> DataFrame:
         return self._keep(rt.drop_extreme_series(self.grid_ret))
 
+    @cached_property
+    def eod_ret_stored(self) -> DataFrame:
+        """eod_ret written once to the shared folder and read back.
+
+        The script writes eod_ret to a file before its analyses; doing the
+        same cuts the lineage (raw tables -> grid -> LOCF -> returns), so
+        later plans stay small and a lost executor recomputes from files.
+        """
+        return self.store("eod_ret", self.eod_ret)
+
+    def store(self, name: str, df: DataFrame) -> DataFrame:
+        from ..session import new_table_path
+        path = new_table_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
     def series(self, symbols) -> DataFrame:
         """Return series of the listed symbols (PRJ-06 / JON-09)."""
         keep = self.spark.createDataFrame([(s,) for s in symbols], "symbol string")

@@ -39,3 +39,17 @@ def rnd(c: Column | str, k: int = 6) -> Column:
 def r_sql(expr: str, k: int = 6) -> str:
     """SQL side of the comparison rounding."""
     return f"(round(({expr}), {k}) + 0.0)"
+
+
+def rnd_sig(c: Column | str, digits: int = 8) -> Column:
+    """Spark side of rounding to significant digits (values that compound)."""
+    x = F.col(c) if isinstance(c, str) else c
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x / scale, digits - 1) * scale) + F.lit(0.0)
+
+
+def r_sig_sql(expr: str, digits: int = 8) -> str:
+    """SQL side of :func:`rnd_sig`."""
+    e = f"({expr})"
+    scale = f"power(10.0, floor(log10(abs({e}))))"
+    return f"(CASE WHEN {e} = 0 THEN 0.0 ELSE round({e} / {scale}, {digits - 1}) * {scale} END + 0.0)"

@@ -32,6 +32,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     conf = dict(_DEFAULTS)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf.setdefault("spark.driver.memory", "8g")   # local mode: the driver runs the tasks
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
