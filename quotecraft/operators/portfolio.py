@@ -113,6 +113,13 @@ def benchmark_target(train: DataFrame, bench_ret: DataFrame, universe: DataFrame
     return dates.join(b, "date").groupBy("portfolio_id").agg(F.avg("_rb").alias("target"))
 
 
+def shared_target(bench_train: DataFrame, universe: DataFrame) -> DataFrame:
+    """PTF-06 when all portfolios share one training period: the benchmark's
+    mean over it is one scalar (a scalar subquery), attached per portfolio."""
+    mar = bench_train.agg(F.avg("ret")).scalar()
+    return universe.select("portfolio_id").distinct().select("portfolio_id", mar.alias("target"))
+
+
 def asset_means(train_complete: DataFrame) -> DataFrame:
     """PTF-03: mean training return per (portfolio_id, symbol)."""
     return train_complete.groupBy("portfolio_id", "symbol").agg(F.avg("ret").alias("mean"))
@@ -121,8 +128,18 @@ def asset_means(train_complete: DataFrame) -> DataFrame:
 # --- 6. per-portfolio numpy steps ----------------------------------------------------------
 
 def _block(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-    wide = pdf.pivot_table(index="date", columns="symbol", values="ret", aggfunc="mean").dropna()
-    return list(wide.columns), wide.to_numpy(dtype="float64")
+    """(dates x assets) matrix of one portfolio; incomplete dates dropped.
+
+    Rows are placed by factorised (date, symbol) codes into a NaN-filled
+    array; dropping rows with a NaN keeps exactly the dates on which every
+    asset has a return.
+    """
+    d_codes, _ = pd.factorize(pdf["date"], sort=True)
+    s_codes, symbols = pd.factorize(pdf["symbol"], sort=True)
+    x = np.full((d_codes.max() + 1 if len(d_codes) else 0, len(symbols)), np.nan)
+    x[d_codes, s_codes] = pdf["ret"].to_numpy(dtype="float64", na_value=np.nan)
+    x = x[~np.isnan(x).any(axis=1)]
+    return [str(s) for s in symbols], x
 
 
 def min_variance(mu: np.ndarray, cov: np.ndarray, target: float | None) -> tuple[np.ndarray | None, str]:
@@ -218,9 +235,14 @@ def solve_weights(train_complete: DataFrame, target: DataFrame, long_only: bool
 
     ``target`` is (portfolio_id, target); a NULL target solves the global
     minimum-variance portfolio.  Singular or infeasible problems give NULL
-    weights and their status instead of failing the job.
+    weights and their status instead of failing the job.  ``train`` may be
+    the complete rows (:func:`complete_rows`) or all training rows: the
+    per-portfolio block keeps complete dates either way, so the solve path
+    can skip that extra shuffle.
     """
-    x = train_complete.select("portfolio_id", "date", "symbol", "ret").join(target, "portfolio_id", "left")
+    # dates travel as day numbers: cheaper through Arrow than date objects
+    x = train_complete.select("portfolio_id", F.unix_date("date").alias("date"), "symbol", "ret") \
+        .join(target, "portfolio_id", "left")
     return x.groupBy("portfolio_id").applyInPandas(_solver(long_only), WEIGHT_SCHEMA)
 
 
@@ -237,7 +259,7 @@ def _cov_frame(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def covariance(train_complete: DataFrame) -> DataFrame:
     """PTF-03: sample covariance of each portfolio's assets (long N x N form)."""
-    return train_complete.select("portfolio_id", "date", "symbol", "ret") \
+    return train_complete.select("portfolio_id", F.unix_date("date").alias("date"), "symbol", "ret") \
         .groupBy("portfolio_id").applyInPandas(_cov_frame, COV_SCHEMA)
 
 

@@ -17,9 +17,11 @@ from .study import Study
 
 
 class PortfolioStudy:
-    def __init__(self, study: Study, universe_fn, test_rows: int = TEST_ROWS, benchmark: str = BENCHMARK):
+    def __init__(self, study: Study, universe_fn, test_rows: int = TEST_ROWS, benchmark: str = BENCHMARK,
+                 store_universe: bool = False):
         self.study = study
         self._universe_fn = universe_fn
+        self.store_universe = store_universe
         self.test_rows = test_rows
         self.benchmark = benchmark
 
@@ -29,17 +31,23 @@ class PortfolioStudy:
 
     @classmethod
     def sampled(cls, spark: SparkSession, sf_dir: str, window: StudyWindow, n_portfolios: int,
-                n_assets: int, seed: int = 100, include_benchmark: bool = True, **kw) -> "PortfolioStudy":
+                n_assets: int, seed: int = 100, include_benchmark: bool = True,
+                base: dict | None = None, **kw) -> "PortfolioStudy":
         bench = kw.get("benchmark", BENCHMARK)
 
         def universe(st: Study) -> DataFrame:
             inc = (bench,) if include_benchmark else ()
             return pt.sampled_universe(st.eod_ret_stored.select("symbol"), n_portfolios, n_assets, seed, inc)
-        return cls(Study(spark, sf_dir, window), universe, **kw)
+        return cls(Study(spark, sf_dir, window, base=base), universe, store_universe=True, **kw)
 
     @cached_property
     def universe(self) -> DataFrame:
-        return self._universe_fn(self.study)
+        u = self._universe_fn(self.study)
+        if self.store_universe:
+            # the portfolio specification, written once: later steps read it
+            # instead of re-running the draw
+            u = self.study.store("universe", u)
+        return u
 
     @cached_property
     def bench(self) -> DataFrame:
@@ -49,9 +57,14 @@ class PortfolioStudy:
     def returns(self) -> DataFrame:
         return pt.portfolio_returns(self.universe, self.study.eod_ret_stored)
 
+    @cached_property
+    def split_ret(self) -> DataFrame:
+        """The return grid tagged train/test: split before the universe fans out."""
+        return pt.split_returns(self.study.eod_ret_stored, self.test_rows)
+
     @cached_property
     def split(self) -> DataFrame:
-        return pt.split_returns(self.returns, self.test_rows)
+        return self.universe.join(self.split_ret.select("symbol", "date", "ret", "part"), "symbol")
 
     @cached_property
     def train(self) -> DataFrame:
@@ -67,15 +80,17 @@ class PortfolioStudy:
 
     @cached_property
     def target(self) -> DataFrame:
-        return pt.benchmark_target(self.train, self.bench, self.universe)
+        bench_train = self.split_ret.where((F.col("symbol") == self.benchmark) & (F.col("part") == "train"))
+        return pt.shared_target(bench_train, self.universe)
 
     @cached_property
     def weights(self) -> DataFrame:
-        return pt.solve_weights(self.train_complete, self.target)
+        # the per-portfolio block drops incomplete dates itself
+        return pt.solve_weights(self.train, self.target)
 
     @cached_property
     def long_only_weights(self) -> DataFrame:
-        return pt.solve_weights(self.train_complete, self.target, long_only=True)
+        return pt.solve_weights(self.train, self.target, long_only=True)
 
     @cached_property
     def portfolio_returns(self) -> DataFrame:

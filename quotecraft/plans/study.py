@@ -29,13 +29,39 @@ from ..sources import fixtures as fx
 from ..sources import loaders
 
 
+BASE_TABLES = ("custom_calendar", "quotes", "indices", "staging")
+
+
+def store_base(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Derive the base tables once and write them to the shared folder.
+
+    The reference loads its CSV files into tables once and queries them many
+    times; this is the same step.  Quotes and indices are range-partitioned
+    by date before writing, so files hold disjoint date ranges and a window
+    filter skips whole files and row groups.
+    """
+    from ..session import new_table_path
+    st = Study(spark, sf_dir)
+    out = {}
+    for name in BASE_TABLES:
+        df = getattr(st, name)
+        path = new_table_path(spark, name)
+        if name in ("quotes", "indices"):
+            df = df.repartitionByRange("date").sortWithinPartitions("date", df.columns[0])
+        df.write.parquet(path)
+        out[name] = spark.read.parquet(path)
+    return out
+
+
 class Study:
     def __init__(self, spark: SparkSession, sf_dir: str, window: StudyWindow = W_SHORT,
-                 persist: bool = False):
+                 persist: bool = False, base: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.w = window
         self.persist = persist
+        for name, df in (base or {}).items():     # stored base tables replace the derivations
+            self.__dict__[name] = df
 
     def _keep(self, df: DataFrame) -> DataFrame:
         return df.persist() if self.persist else df

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY
 
-_MODULES = ["q_market", "q_company", "q_grid", "q_perf", "q_portfolio"]
+_MODULES = ["q_market", "q_company", "q_grid", "q_perf", "q_portfolio", "q_sources"]
 for _m in _MODULES:
     importlib.import_module(f"{__name__}.{_m}")
 
