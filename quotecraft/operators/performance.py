@@ -57,8 +57,8 @@ def t_quantile_975(v: Column) -> Column:
     v = v.cast("double")
     expr = F.lit(Z975)
     for k, a in enumerate(T975_TERMS, start=1):
-        expr = expr + F.lit(a) / F.pow(v, k)
-    return expr
+        expr = expr + F.try_divide(F.lit(a), F.pow(v, k))
+    return F.when(v >= 1, expr)
 
 
 def _r6(c: Column, k: int | None) -> Column:
