@@ -98,12 +98,15 @@ def select_complete(eod: DataFrame, pct: DataFrame, threshold: float) -> DataFra
     return eod.join(keep, "symbol", "left_semi")
 
 
-def trading_days(cal: DataFrame, start: str, end: str) -> DataFrame:
-    return in_window(cal.where(F.col("trading") == 1), start, end).select("date")
+def trading_days(cal: DataFrame, start: str, end: str, month_end: bool = False) -> DataFrame:
+    days = cal.where(F.col("trading") == 1)
+    if month_end:
+        days = days.where(F.col("eom") == 1)
+    return in_window(days, start, end).select("date")
 
 
 def price_grid(eod: DataFrame, cal: DataFrame, start: str, end: str,
-               value: str = "adj_close") -> DataFrame:
+               value: str = "adj_close", days: DataFrame | None = None) -> DataFrame:
     """TS-04 (+ AGG-18): every trading day x every symbol, price or NULL.
 
     Duplicate cells are averaged (``dcast(fun.aggregate=mean)``).  The day list
@@ -111,7 +114,8 @@ def price_grid(eod: DataFrame, cal: DataFrame, start: str, end: str,
     trading day) exploded per symbol, so no cross join is planned and the
     symbol side stays distributed.
     """
-    days = trading_days(cal, start, end).agg(F.sort_array(F.collect_list("date")).alias("ds")).scalar()
+    day_list = days if days is not None else trading_days(cal, start, end)
+    days = day_list.agg(F.sort_array(F.collect_list("date")).alias("ds")).scalar()
     symbols = eod.select("symbol").distinct()
     grid = symbols.select("symbol", F.explode(days).alias("date"))
     cells = eod.groupBy("symbol", "date").agg(F.avg(value).alias("px"))

@@ -172,6 +172,30 @@ class Study:
     def eod_ret(self) -> DataFrame:
         return self._keep(rt.drop_extreme_series(self.grid_ret))
 
+    # --- R path on month ends (the script's "YOUR TURN" for monthly data) -----
+    @cached_property
+    def eom_days(self) -> DataFrame:
+        return px.trading_days(self.calendar, self.w.start, self.w.end, month_end=True)
+
+    @cached_property
+    def eom_rows(self) -> DataFrame:
+        return self.eod_r.join(F.broadcast(self.eom_days), "date", "left_semi")
+
+    @cached_property
+    def pct_monthly(self) -> DataFrame:
+        n = self.eom_days.agg(F.count(F.lit(1))).scalar() - 1
+        return px.completeness(self.eom_rows, "symbol", n, real=False).withColumnRenamed("complete", "pct")
+
+    @cached_property
+    def locf_monthly(self) -> DataFrame:
+        complete = px.select_complete(self.eom_rows, self.pct_monthly, self.w.threshold)
+        grid = px.price_grid(complete, self.calendar, self.w.start, self.w.end, days=self.eom_days)
+        return px.locf(grid)
+
+    @cached_property
+    def eom_ret(self) -> DataFrame:
+        return rt.drop_extreme_series(rt.grid_returns(self.locf_monthly))
+
     @cached_property
     def eod_ret_stored(self) -> DataFrame:
         """eod_ret written once to the shared folder and read back.

@@ -184,3 +184,18 @@ def ts_09_align_benchmark(spark, d):
     assets = st.series(WIDE[:3])
     bench = st.eod_ret.where(F.col("symbol") == "SP500TR")
     return px.align_on_date(assets, bench)
+
+
+@query("ret_03_monthly_grid_returns", "SELECT * FROM eod_ret_lm")
+def ret_03_monthly_grid_returns(spark, d):
+    return L(spark, d).eom_ret
+
+
+@query("ts_07_monthly_completeness_r", "SELECT symbol, pct FROM pct_lm")
+def ts_07_monthly_completeness_r(spark, d):
+    return L(spark, d).pct_monthly
+
+
+@query("ts_07_monthly_pivot", _wide_sql("eod_ret_lm"))
+def ts_07_monthly_pivot(spark, d):
+    return px.pivot_wide(L(spark, d).eom_ret, WIDE, "ret")
