@@ -1,0 +1,5 @@
+"""Incremental daily refresh of returns (Structured Streaming + foreachBatch)."""
+
+from .daily_refresh import current_prices, current_returns, start_daily_refresh, write_daily_files
+
+__all__ = ["start_daily_refresh", "current_prices", "current_returns", "write_daily_files"]
