@@ -34,9 +34,17 @@ def indices_view(indices: DataFrame, w: StudyWindow) -> DataFrame:
     return in_window(indices, w.start, w.end).select("symbol", "date", "adj_close")
 
 
-def union_distinct(first: DataFrame, second: DataFrame) -> DataFrame:
-    """SET-02: SQL ``UNION`` -- by position, names of the first, duplicates removed."""
-    return first.union(second).distinct()
+def union_distinct(first: DataFrame, second: DataFrame, key: str | None = None) -> DataFrame:
+    """SET-02: SQL ``UNION`` -- by position, names of the first, duplicates removed.
+
+    With ``key`` the union is hash-partitioned by that column once: the
+    de-duplicating aggregate and every later per-key step (windows, grouped
+    aggregates by key) reuse that partitioning instead of shuffling again.
+    """
+    both = first.union(second)
+    if key is not None:
+        both = both.repartition(key)
+    return both.distinct()
 
 
 def trading_day_count(cal: DataFrame, start: str, end: str) -> Column:
@@ -81,7 +89,7 @@ def apply_exclusions(indices_v: DataFrame, quotes_v: DataFrame, exclusions: Data
     i = indices_v.join(ex, F.col("symbol") == F.col("_x"), "left_anti")
     q = quotes_v.join(ex, F.col("ticker") == F.col("_x"), "left_anti")
     return union_distinct(i.select("symbol", "date", "adj_close"),
-                          q.select(F.col("ticker").alias("symbol"), "date", "adj_close"))
+                          q.select(F.col("ticker").alias("symbol"), "date", "adj_close"), key="symbol")
 
 
 # --- the R path: grid, LOCF ---------------------------------------------------

@@ -146,7 +146,7 @@ class Study:
     # --- R path ---------------------------------------------------------------
     @cached_property
     def eod_r(self) -> DataFrame:
-        return px.union_distinct(self.v_indices, self.v_quotes)
+        return px.union_distinct(self.v_indices, self.v_quotes, key="symbol")
 
     @cached_property
     def pct(self) -> DataFrame:
