@@ -100,10 +100,23 @@ def completeness_r(eod: DataFrame, cal: DataFrame, w: StudyWindow) -> DataFrame:
         .withColumnRenamed("complete", "pct")
 
 
-def select_complete(eod: DataFrame, pct: DataFrame, threshold: float) -> DataFrame:
-    """TS-08: rows of symbols whose completeness reaches the threshold."""
-    keep = pct.where(F.col("pct") >= F.lit(float(threshold))).select("symbol")
-    return eod.join(keep, "symbol", "left_semi")
+def select_complete(eod: DataFrame, denominator: Column, threshold: float, key: str = "symbol",
+                    real: bool = False) -> DataFrame:
+    """TS-08: rows of series whose completeness reaches the threshold
+    (``eod[symbol %in% names(pct)[pct >= thr]]``).
+
+    Computed with a per-symbol window count instead of an aggregate joined
+    back, so the input is read once; on input partitioned by symbol (the
+    UNION of the study) this adds no exchange.  Same ratio as
+    :func:`completeness`.
+    """
+    x = eod.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    n = F.col("_n")
+    if real:
+        ratio = (n.cast("float") / denominator.cast("float")).cast("float")
+    else:
+        ratio = n.cast("double") / denominator.cast("double")
+    return x.where(ratio >= F.lit(float(threshold))).drop("_n")
 
 
 def trading_days(cal: DataFrame, start: str, end: str, month_end: bool = False) -> DataFrame:
@@ -114,20 +127,22 @@ def trading_days(cal: DataFrame, start: str, end: str, month_end: bool = False)
 
 
 def price_grid(eod: DataFrame, cal: DataFrame, start: str, end: str,
-               value: str = "adj_close", days: DataFrame | None = None) -> DataFrame:
+               value: str = "adj_close", days: DataFrame | None = None, key: str = "symbol") -> DataFrame:
     """TS-04 (+ AGG-18): every trading day x every symbol, price or NULL.
 
-    Duplicate cells are averaged (``dcast(fun.aggregate=mean)``).  The day list
-    is a scalar array subquery over the calendar (bounded: one element per
-    trading day) exploded per symbol, so no cross join is planned and the
-    symbol side stays distributed.
+    Duplicate cells are averaged (``dcast(fun.aggregate=mean)``).  One pass
+    per symbol: its cells become a date -> price map (at most one entry per
+    trading day, so bounded by the calendar), and the trading-day list -- a
+    scalar array subquery over the calendar -- is exploded against it.  No
+    cross join, no join back to the cells, and on input partitioned by
+    symbol no exchange.
     """
     day_list = days if days is not None else trading_days(cal, start, end)
-    days = day_list.agg(F.sort_array(F.collect_list("date")).alias("ds")).scalar()
-    symbols = eod.select("symbol").distinct()
-    grid = symbols.select("symbol", F.explode(days).alias("date"))
-    cells = eod.groupBy("symbol", "date").agg(F.avg(value).alias("px"))
-    return grid.join(cells, ["symbol", "date"], "left")
+    ds = day_list.agg(F.sort_array(F.collect_list("date")).alias("ds")).scalar()
+    cells = eod.groupBy(key, "date").agg(F.avg(value).alias("px"))
+    per_symbol = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("date", "px"))).alias("_m"))
+    return per_symbol.select(key, F.explode(ds).alias("date"), "_m") \
+        .select(key, "date", F.element_at("_m", F.col("date")).alias("px"))
 
 
 def locf(grid: DataFrame, maxgap: int = MAX_GAP, value: str = "px", out: str = "price",

@@ -118,8 +118,10 @@ def drop_extreme_series(ret: DataFrame, limit: float = RETURN_LIMIT, key: str =
     """CLN-08: keep series whose largest return is <= limit.
 
     An all-missing series has max = -Inf in R and is kept; here its max is
-    NULL and it is kept the same way.
+    NULL and it is kept the same way.  The maximum is a per-symbol window
+    (bounded by the calendar), so the series is read once and, partitioned
+    by symbol already, not shuffled again.
     """
-    mx = column_max(ret, key)
-    keep = mx.where(F.col("max_ret").isNull() | (F.col("max_ret") <= F.lit(float(limit)))).select(key)
-    return ret.join(keep, key, "left_semi")
+    mx = F.max("ret").over(Window.partitionBy(key))
+    return ret.withColumn("_mx", mx).where(F.col("_mx").isNull() | (F.col("_mx") <= F.lit(float(limit)))) \
+        .drop("_mx")

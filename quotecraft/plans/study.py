@@ -154,7 +154,8 @@ class Study:
 
     @cached_property
     def eod_complete(self) -> DataFrame:
-        return px.select_complete(self.eod_r, self.pct, self.w.threshold)
+        n = px.trading_day_count(self.calendar, self.w.start, self.w.end) - 1
+        return px.select_complete(self.eod_r, n, self.w.threshold)
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -188,7 +189,8 @@ class Study:
 
     @cached_property
     def locf_monthly(self) -> DataFrame:
-        complete = px.select_complete(self.eom_rows, self.pct_monthly, self.w.threshold)
+        n = self.eom_days.agg(F.count(F.lit(1))).scalar() - 1
+        complete = px.select_complete(self.eom_rows, n, self.w.threshold)
         grid = px.price_grid(complete, self.calendar, self.w.start, self.w.end, days=self.eom_days)
         return px.locf(grid)
 
