@@ -38,8 +38,8 @@ SELECT * FROM ptf_train WHERE date IN (SELECT date FROM ptf_train GROUP BY date
 SELECT date, max(CASE WHEN symbol = '{A1}' THEN ret END) AS r1, max(CASE WHEN symbol = '{A2}' THEN ret END) AS r2,
        max(CASE WHEN symbol = '{A3}' THEN ret END) AS r3 FROM ptf_complete GROUP BY date""",
     "ptf_target": f"""
-SELECT CAST(0 AS BIGINT) AS portfolio_id, avg(b.ret) AS target
-FROM (SELECT DISTINCT date FROM ptf_train) d JOIN eod_ret_l b ON b.date = d.date AND b.symbol = '{BENCHMARK}'""",
+SELECT CAST(0 AS BIGINT) AS portfolio_id, avg(ret) AS target FROM eod_ret_l
+WHERE symbol = '{BENCHMARK}' AND date NOT IN (SELECT date FROM test_dates_l)""",
     "ptf_mom": """
 SELECT avg(r1) AS m1, avg(r2) AS m2, avg(r3) AS m3, covar_samp(r1, r1) AS s11, covar_samp(r1, r2) AS s12,
        covar_samp(r1, r3) AS s13, covar_samp(r2, r2) AS s22, covar_samp(r2, r3) AS s23, covar_samp(r3, r3) AS s33,
@@ -113,13 +113,13 @@ def ptf_06_target(spark, d):
 def agg_19_benchmark_training_mean(spark, d):
     from ..operators.aggregates import series_mean
     p = P(spark, d)
-    dates = p.split.where(F.col("part") == "train").select("date").distinct()
-    bench = p.bench.join(dates, "date", "left_semi")
-    return series_mean(bench).select(rnd("mean_ret", 12).alias("mean_ret"))
+    bench_train = p.split_ret.where((F.col("symbol") == BENCHMARK) & (F.col("part") == "train"))
+    return series_mean(bench_train).select(rnd("mean_ret", 12).alias("mean_ret"))
 
 
 @query("ptf_04_min_variance_weights", f"""
-SELECT portfolio_id, symbol, {r_sql('weight', 6)} AS weight, 'optimal' AS status FROM ptf_weights""", _CTES)
+SELECT portfolio_id, symbol, {r_sql('weight', 6)} AS weight, 'optimal' AS status FROM ptf_weights
+WHERE weight IS NOT NULL""", _CTES)
 def ptf_04_min_variance_weights(spark, d):
     w = P(spark, d).weights
     return w.select("portfolio_id", "symbol", rnd("weight", 6).alias("weight"), "status")
