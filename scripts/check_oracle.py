@@ -5,6 +5,7 @@ Prints one line per query: OK / MISMATCH with row counts and columns.
 """
 
 import math
+import os
 import sys
 import time
 
@@ -37,7 +38,12 @@ def canon(rows):
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     pats = sys.argv[2:]
-    spark = get_session("local[8]", 8)
+    if os.environ.get("PLAIN_SESSION"):
+        # the way a caller with no knowledge of this library builds a session
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    else:
+        spark = get_session("local[8]", 8)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
