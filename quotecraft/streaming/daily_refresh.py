@@ -5,17 +5,21 @@ updated daily" and re-runs its stored views.  This is the incremental form
 of that step: new price files (symbol, date, adj_close) land in a folder;
 each micro-batch
 
-1. writes its rows to the price table, one folder per batch id
-   (``batch=<id>``, overwritten on replay, so a retried batch is idempotent);
-2. computes strict returns (RET-01 semantics) for
-   - every new row, from the price on its previous trading day, and
-   - every stored row whose previous trading day is a newly arrived date
-     (a late price fixes the return of the day after it);
-3. writes those returns to the return table under the same batch id.
-
-The current return of a (symbol, date) is the one from the highest batch
-id (:func:`current_returns`).  Progress and replay are the stream's own
-checkpoint under the shared folder.
+1. writes its rows to the price table, partitioned by (date, batch) with
+   dynamic partition overwrite, so a replayed batch replaces exactly its own
+   folders (idempotent);
+2. reads back only the dates it touches -- the new dates, their previous
+   trading days and the trading days after them: the span of those dates
+   bounds the partition column through scalar subqueries (runtime partition
+   pruning, the history is not scanned), then a semi join keeps the dates;
+3. computes strict returns (RET-01 semantics) for every new row and for
+   every stored row whose previous trading day is a newly arrived date (a
+   late price fixes the return of the day after it);
+4. writes those returns to the return table the same way.
+
+The current value of a (symbol, date) is the one from the highest batch id
+(:func:`current_prices`, :func:`current_returns`).  Progress and replay are
+the stream's own checkpoint under the shared folder.
 """
 
 from __future__ import annotations
@@ -27,37 +31,58 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.returns import real_ratio_minus_one
 
 PRICE_SCHEMA = "symbol string, date date, adj_close float"
+_PRICE_TABLE = "symbol string, adj_close float, date date, batch long"
+_RETURN_TABLE = "symbol string, ret double, date date, batch long"
 
 
 def _read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(schema + ", batch long").parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except Exception:  # noqa: BLE001 -- nothing written yet
-        return spark.createDataFrame([], schema + ", batch long")
+        return spark.createDataFrame([], schema)
+
+
+def _write(df: DataFrame, path: str) -> None:
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("date", "batch").parquet(path))
+
+
+def _latest(df: DataFrame, value: str) -> DataFrame:
+    return df.groupBy("symbol", "date").agg(F.max_by(value, "batch").alias(value))
 
 
 def current_prices(spark: SparkSession, price_path: str) -> DataFrame:
     """Latest stored price per (symbol, date)."""
-    p = _read_table(spark, price_path, PRICE_SCHEMA)
-    return p.groupBy("symbol", "date").agg(F.max_by("adj_close", "batch").alias("adj_close"))
+    return _latest(_read_table(spark, price_path, _PRICE_TABLE), "adj_close")
 
 
 def current_returns(spark: SparkSession, return_path: str) -> DataFrame:
     """Latest computed strict return per (symbol, date)."""
-    r = _read_table(spark, return_path, "symbol string, date date, ret double")
-    return r.groupBy("symbol", "date").agg(F.max_by("ret", "batch").alias("ret"))
+    return _latest(_read_table(spark, return_path, _RETURN_TABLE), "ret")
 
 
 def _process(batch: DataFrame, batch_id: int, spark: SparkSession, calendar: DataFrame,
              price_path: str, return_path: str) -> None:
     rows = batch.select("symbol", F.col("date").cast("date").alias("date"),
                         F.col("adj_close").cast("float").alias("adj_close")).dropDuplicates(["symbol", "date"])
-    (rows.withColumn("batch", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").parquet(f"{price_path}/batch={batch_id}"))
-    prices = current_prices(spark, price_path)
+    _write(rows.withColumn("batch", F.lit(batch_id).cast("long")), price_path)
+
     cal = F.broadcast(calendar.select("date", "prev_trading_day"))     # one row per day
+    new_dates = rows.select("date").distinct()
+    # the dates this batch touches: new days, the days before them, the days after them
+    touched = (new_dates
+               .unionByName(new_dates.join(cal, "date").select(F.col("prev_trading_day").alias("date")))
+               .unionByName(cal.join(new_dates.select(F.col("date").alias("prev_trading_day")),
+                                     "prev_trading_day").select("date"))
+               .where(F.col("date").isNotNull()).distinct())
+    stored = _read_table(spark, price_path, _PRICE_TABLE)
+    # scalar-subquery bounds become runtime partition filters on ``date``:
+    # only the touched span of date folders is listed and read
+    lo, hi = touched.agg(F.min("date")).scalar(), touched.agg(F.max("date")).scalar()
+    span = stored.where(F.col("date").between(lo, hi))
+    prices = _latest(span.join(F.broadcast(touched), "date", "left_semi"), "adj_close")
+
     new_keys = rows.select("symbol", "date")
-    # rows whose return may change: the new rows and the rows right after them
     after = (prices.join(cal, "date")
              .join(new_keys.select("symbol", F.col("date").alias("prev_trading_day")),
                    ["symbol", "prev_trading_day"], "left_semi")
@@ -68,7 +93,7 @@ def _process(batch: DataFrame, batch_id: int, spark: SparkSession, calendar: Dat
     rets = cur.join(prev, ["symbol", "prev_trading_day"]).select(
         "symbol", "date", real_ratio_minus_one(F.col("adj_close"), F.col("prev_close")).alias("ret"),
         F.lit(batch_id).cast("long").alias("batch"))
-    rets.write.mode("overwrite").parquet(f"{return_path}/batch={batch_id}")
+    _write(rets, return_path)
 
 
 def start_daily_refresh(spark: SparkSession, incoming: str, calendar: DataFrame, price_path: str,
