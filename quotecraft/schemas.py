@@ -16,6 +16,9 @@ STAGING_COMPANY = T.StructType([T.StructField(c, T.StringType(), True) for c in
     "symbol", "exchange", "name", "last_sale", "net_change", "pct_change", "market_cap", "country",
     "ipo_year", "volume", "sector", "industry")])
 
+# one downloaded company file: the same columns without the market
+COMPANY_FILE = T.StructType([f for f in STAGING_COMPANY.fields if f.name != "exchange"])
+
 STOCK_MKT = T.StructType([T.StructField("stock_mkt_name", T.StringType(), False)])
 
 COMPANY_LIST = T.StructType([

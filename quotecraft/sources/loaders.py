@@ -33,6 +33,15 @@ def read_staging_csv(spark: SparkSession, path: str, schema=S.STAGING_COMPANY) -
             .csv(path))
 
 
+def read_company_file(spark: SparkSession, path: str, market: str) -> DataFrame:
+    """SRC-01 per file: one market's company CSV (11 text columns), with the
+    market attached as ``exchange`` -- the literal the reference types in for
+    each import.  Union the three markets' frames for the staging table."""
+    raw = (spark.read.schema(S.COMPANY_FILE).options(**_CSV_READ)
+           .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+    return raw.select("symbol", F.lit(market).alias("exchange"), *[c for c in raw.columns if c != "symbol"])
+
+
 def company_list_from_staging(staging: DataFrame, market: str | None = None) -> DataFrame:
     """SRC-08 + CLN-03: ``INSERT INTO company_list SELECT symbol, '<market>', ...``.
 

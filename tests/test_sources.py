@@ -79,3 +79,12 @@ def test_window_read_prunes(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "year" in plan
     assert df.select(F.min("date"), F.max("date")).first()[0].year == 1997
+
+
+def test_company_file_per_market(spark):
+    st = Study(spark, SF).staging
+    nasdaq = st.where("exchange = 'NASDAQ'").drop("exchange")
+    path = loaders.write_csv(nasdaq, new_table_path(spark, "nasdaq_csv"))
+    back = loaders.read_company_file(spark, path, "NASDAQ")
+    assert back.columns == st.columns
+    assert sorted(back.collect()) == sorted(st.where("exchange = 'NASDAQ'").collect())
