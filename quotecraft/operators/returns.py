@@ -52,6 +52,10 @@ def strict_returns(eod: DataFrame, cal: DataFrame) -> DataFrame:
     day, when it exists, is the most recent earlier *trading-day* row of the
     symbol.  One window partitioned by symbol finds it -- instead of shuffling
     both sides of a self join.
+
+    (symbol, date) must be a key of ``eod`` -- the primary key of the price
+    tables, checked by ``quality.pk_violations``; with duplicate keys the self
+    join would fan out where this form keeps one previous price.
     """
     x = eod.select("symbol", "date", "adj_close").join(_cal_days(cal), "date")
     w = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
