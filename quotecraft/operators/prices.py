@@ -37,14 +37,14 @@ def indices_view(indices: DataFrame, w: StudyWindow) -> DataFrame:
 def union_distinct(first: DataFrame, second: DataFrame, key: str | None = None) -> DataFrame:
     """SET-02: SQL ``UNION`` -- by position, names of the first, duplicates removed.
 
-    With ``key`` the union is hash-partitioned by that column once: the
-    de-duplicating aggregate and every later per-key step (windows, grouped
-    aggregates by key) reuse that partitioning instead of shuffling again.
+    The de-duplication is hashed on all columns, so copies of one hot symbol
+    (a file loaded twice) spread over many tasks; only after it -- when a
+    symbol holds at most one row per source and day -- is the result
+    partitioned by ``key``, once, for every later per-key step (windows,
+    grouped aggregates by key) to reuse.
     """
-    both = first.union(second)
-    if key is not None:
-        both = both.repartition(key)
-    return both.distinct()
+    out = first.union(second).distinct()
+    return out.repartition(key) if key is not None else out
 
 
 def trading_day_count(cal: DataFrame, start: str, end: str) -> Column:
