@@ -38,7 +38,12 @@ def _parquet(df: DataFrame, path: str) -> None:
 
 
 def run(study: Study, out: str, tickers: list[str] | None = None, scale: int = SCALE_DAILY) -> dict[str, str]:
-    """Write the study's outputs under ``out``; returns name -> path."""
+    """Write the study's outputs under ``out``; returns name -> path.
+
+    The base tables are stored first (read many times below), and eod_ret is
+    stored before the analyses.
+    """
+    study = study.with_stored_base()
     spark, w = study.spark, study.w
     paths: dict[str, str] = {}
 

@@ -32,8 +32,8 @@ from ..sources import loaders
 BASE_TABLES = ("custom_calendar", "quotes", "indices", "staging")
 
 
-def store_base(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Derive the base tables once and write them to the shared folder.
+def store_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Write base tables once to the shared folder and read them back.
 
     The reference loads its CSV files into tables once and queries them many
     times; this is the same step.  Quotes and indices are range-partitioned
@@ -41,10 +41,8 @@ def store_base(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     filter skips whole files and row groups.
     """
     from ..session import new_table_path
-    st = Study(spark, sf_dir)
     out = {}
-    for name in BASE_TABLES:
-        df = getattr(st, name)
+    for name, df in tables.items():
         path = new_table_path(spark, name)
         if name in ("quotes", "indices"):
             df = df.repartitionByRange("date").sortWithinPartitions("date", df.columns[0])
@@ -53,6 +51,12 @@ def store_base(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return out
 
 
+def store_base(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Derive the base tables from the driver's tables and store them once."""
+    st = Study(spark, sf_dir)
+    return store_tables(spark, {name: getattr(st, name) for name in BASE_TABLES})
+
+
 class Study:
     def __init__(self, spark: SparkSession, sf_dir: str, window: StudyWindow = W_SHORT,
                  persist: bool = False, base: dict[str, DataFrame] | None = None):
@@ -63,6 +67,12 @@ class Study:
         for name, df in (base or {}).items():     # stored base tables replace the derivations
             self.__dict__[name] = df
 
+    def with_stored_base(self) -> "Study":
+        """A study over the same inputs with its base tables written once
+        (parquet in the shared folder) -- for runs that read them many times."""
+        tables = store_tables(self.spark, {name: getattr(self, name) for name in BASE_TABLES})
+        return Study(self.spark, self.sf_dir, self.w, self.persist, base=tables)
+
     def _keep(self, df: DataFrame) -> DataFrame:
         return df.persist() if self.persist else df
 
