@@ -104,15 +104,43 @@ def distributions_table(ret: DataFrame, key: str = "symbol", value: str = "ret",
     return out.select(key, *[_r6(F.col(c), places).alias(c) for c in out.columns if c != key])
 
 
-def annualized_table(ret: DataFrame, scale: int = SCALE_DAILY, key: str = "symbol", value: str = "ret",
+# periods per year by the median spacing of a series, in days (fixed values:
+# daily 252, weekly 52, monthly 12, quarterly 4, else yearly 1)
+FREQUENCIES = ((3.5, 252), (10.0, 52), (45.0, 12), (135.0, 4))
+
+
+def periods_per_year(ret: DataFrame, key: str | list[str] = "symbol") -> DataFrame:
+    """(key, scale): periods per year inferred from the median gap in days
+    between consecutive dates of each series (one window per series, bounded
+    by the calendar; exact median)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys).orderBy("date")
+    gaps = ret.select(*keys, F.datediff("date", F.lag("date").over(w)).alias("_gap"))
+    med = gaps.groupBy(*keys).agg(F.percentile("_gap", 0.5).alias("_m"))
+    scale = F.lit(1)
+    for limit, periods in reversed(FREQUENCIES):
+        scale = F.when(F.col("_m") <= limit, F.lit(periods)).otherwise(scale)
+    return med.select(*keys, scale.alias("scale"))
+
+
+def annualized_table(ret: DataFrame, scale: int | None = SCALE_DAILY, key: str = "symbol", value: str = "ret",
                      places: int | None = 6) -> DataFrame:
-    """RET-06: annualised return, annualised stdev and Sharpe ratio (Rf = 0)."""
+    """RET-06: annualised return, annualised stdev and Sharpe ratio (Rf = 0).
+
+    ``scale=None`` infers each series' periods per year from its dates
+    (:func:`periods_per_year`), as the R function does without ``scale``.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     r = F.col(value)
     g = ret.groupBy(*keys).agg(F.count(r).alias("_n"), F.product(F.lit(1.0) + r).alias("_w"),
                                F.stddev_samp(r).alias("_sd"))
-    ann = F.pow(F.col("_w"), F.try_divide(F.lit(float(scale)), F.col("_n"))) - 1
-    sd = F.col("_sd") * F.sqrt(F.lit(float(scale)))
+    if scale is None:
+        g = g.join(periods_per_year(ret, keys), keys)
+        s = F.col("scale").cast("double")
+    else:
+        s = F.lit(float(scale))
+    ann = F.pow(F.col("_w"), F.try_divide(s, F.col("_n"))) - 1
+    sd = F.col("_sd") * F.sqrt(s)
     out = g.select(*keys, ann.alias("annualized_return"), sd.alias("annualized_std"))
     out = out.withColumn("sharpe_ratio", F.try_divide(F.col("annualized_return"), F.col("annualized_std")))
     return out.select(*keys, *[_r6(F.col(c), places).alias(c) for c in out.columns if c not in keys])

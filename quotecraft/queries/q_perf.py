@@ -180,3 +180,29 @@ def agg_19_series_mean(spark, d):
 @query("agg_17_column_max_long", "SELECT * FROM gmax_l")
 def agg_17_column_max_long(spark, d):
     return rt.column_max(L(spark, d).grid_ret)
+
+
+@query("ret_06_annualized_inferred_scale", f"""
+SELECT symbol, {r_sql('ann_ret')} AS annualized_return, {r_sql('ann_sd')} AS annualized_std,
+       {r_sql('ann_ret / ann_sd')} AS sharpe_ratio
+FROM (SELECT r.symbol, power(product(1.0 + r.ret), CAST(f.scale AS DOUBLE) / count(r.ret)) - 1 AS ann_ret,
+             stddev_samp(r.ret) * sqrt(CAST(f.scale AS DOUBLE)) AS ann_sd
+      FROM eod_ret_lm r JOIN (
+        SELECT symbol, CASE WHEN m <= 3.5 THEN 252 WHEN m <= 10 THEN 52 WHEN m <= 45 THEN 12
+                            WHEN m <= 135 THEN 4 ELSE 1 END AS scale
+        FROM (SELECT symbol, quantile_cont(gap, 0.5) AS m
+              FROM (SELECT symbol, date_diff('day', lag(date) OVER (PARTITION BY symbol ORDER BY date), date) AS gap
+                    FROM eod_ret_lm) g GROUP BY symbol) x) f ON f.symbol = r.symbol
+      GROUP BY r.symbol, f.scale) s""")
+def ret_06_annualized_inferred_scale(spark, d):
+    return pf.annualized_table(L(spark, d).eom_ret, scale=None)
+
+
+@query("ret_06_periods_per_year", """
+SELECT symbol, CASE WHEN m <= 3.5 THEN 252 WHEN m <= 10 THEN 52 WHEN m <= 45 THEN 12
+                    WHEN m <= 135 THEN 4 ELSE 1 END AS scale
+FROM (SELECT symbol, quantile_cont(gap, 0.5) AS m
+      FROM (SELECT symbol, date_diff('day', lag(date) OVER (PARTITION BY symbol ORDER BY date), date) AS gap
+            FROM eod_ret_l) g GROUP BY symbol) x""")
+def ret_06_periods_per_year(spark, d):
+    return pf.periods_per_year(L(spark, d).eod_ret)

@@ -67,3 +67,11 @@ def test_capm_self_and_p_value(spark):
     assert PF.correlation_p_value(0.5, 12) == pytest.approx(0.0978, abs=1e-4)
     assert PF.incomplete_beta(2.0, 3.0, 0.4) == pytest.approx(0.5248, abs=1e-4)
     assert math.isclose(PF.correlation_p_value(0.0, 30), 1.0)
+
+
+def test_periods_per_year(spark):
+    daily = [("d", D(2024, 1, 1) + dt.timedelta(days=i), 0.01) for i in range(0, 60) if (i % 7) not in (5, 6)]
+    monthly = [("m", D(2020 + i // 12, i % 12 + 1, 28), 0.01) for i in range(24)]
+    df = spark.createDataFrame(daily + monthly, "symbol string, date date, ret double")
+    got = {r.symbol: r.scale for r in PF.periods_per_year(df).collect()}
+    assert got == {"d": 252, "m": 12}
