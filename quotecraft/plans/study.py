@@ -45,7 +45,10 @@ def store_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> dict[str,
     for name, df in tables.items():
         path = new_table_path(spark, name)
         if name in ("quotes", "indices"):
-            df = df.repartitionByRange("date").sortWithinPartitions("date", df.columns[0])
+            # range keys (date, symbol): a hot date is split over several
+            # partitions by symbol instead of landing in one
+            key = df.columns[0]
+            df = df.repartitionByRange("date", key).sortWithinPartitions("date", key)
         df.write.parquet(path)
         out[name] = spark.read.parquet(path)
     return out
