@@ -84,9 +84,30 @@ def sampled_universe(symbols: DataFrame, n_portfolios: int, n_assets: int, seed:
 
 # --- 2-5. returns, split, complete dates, target -----------------------------------------
 
-def portfolio_returns(universe: DataFrame, ret: DataFrame) -> DataFrame:
-    """(portfolio_id, symbol, date, ret) for every asset of every portfolio."""
-    return universe.join(ret.select("symbol", "date", "ret"), "symbol")
+MAX_BROADCAST_UNIVERSE = 2_000_000     # rows of (portfolio_id, symbol): ~60 MB
+SALTS = 16
+
+
+def portfolio_returns(universe: DataFrame, ret: DataFrame, universe_rows: int | None = None,
+                      salts: int = SALTS, columns: tuple[str, ...] = ("date", "ret")) -> DataFrame:
+    """(portfolio_id, symbol, date, ret) for every asset of every portfolio.
+
+    One symbol can sit in every portfolio (the benchmark does), so a plain
+    shuffle join would make the task holding it emit portfolios x days rows.
+    When the caller knows the universe's size (``universe_rows``: portfolios
+    x assets, fixed by the request) and it is within
+    ``MAX_BROADCAST_UNIVERSE``, the universe is broadcast and every task joins
+    its own slice of returns.  Otherwise the join is salted: each portfolio
+    takes salt ``portfolio_id % salts`` and each return row is repeated once
+    per salt, so a hot symbol's fan-out is spread over ``salts`` tasks.
+    """
+    cols = list(columns)
+    r = ret.select("symbol", *cols)
+    if universe_rows is not None and universe_rows <= MAX_BROADCAST_UNIVERSE:
+        return F.broadcast(universe).join(r, "symbol").select("portfolio_id", "symbol", *cols)
+    u = universe.withColumn("_salt", F.pmod(F.col("portfolio_id"), F.lit(salts)))
+    rs = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return u.join(rs, ["symbol", "_salt"]).select("portfolio_id", "symbol", *cols)
 
 
 def split_returns(pret: DataFrame, test_rows: int = TEST_ROWS) -> DataFrame:

@@ -18,16 +18,18 @@ from .study import Study
 
 class PortfolioStudy:
     def __init__(self, study: Study, universe_fn, test_rows: int = TEST_ROWS, benchmark: str = BENCHMARK,
-                 store_universe: bool = False):
+                 store_universe: bool = False, universe_rows: int | None = None):
         self.study = study
         self._universe_fn = universe_fn
         self.store_universe = store_universe
+        self.universe_rows = universe_rows        # size bound known from the request
         self.test_rows = test_rows
         self.benchmark = benchmark
 
     @classmethod
     def fixed(cls, spark: SparkSession, sf_dir: str, window: StudyWindow, symbols, **kw) -> "PortfolioStudy":
-        return cls(Study(spark, sf_dir, window), lambda st: pt.fixed_universe(spark, symbols), **kw)
+        return cls(Study(spark, sf_dir, window), lambda st: pt.fixed_universe(spark, symbols),
+                   universe_rows=len(symbols), **kw)
 
     @classmethod
     def sampled(cls, spark: SparkSession, sf_dir: str, window: StudyWindow, n_portfolios: int,
@@ -38,7 +40,9 @@ class PortfolioStudy:
         def universe(st: Study) -> DataFrame:
             inc = (bench,) if include_benchmark else ()
             return pt.sampled_universe(st.eod_ret_stored.select("symbol"), n_portfolios, n_assets, seed, inc)
-        return cls(Study(spark, sf_dir, window, base=base), universe, store_universe=True, **kw)
+        bound = n_portfolios * (n_assets + (1 if include_benchmark else 0))
+        return cls(Study(spark, sf_dir, window, base=base), universe, store_universe=True,
+                   universe_rows=bound, **kw)
 
     @cached_property
     def universe(self) -> DataFrame:
@@ -55,7 +59,7 @@ class PortfolioStudy:
 
     @cached_property
     def returns(self) -> DataFrame:
-        return pt.portfolio_returns(self.universe, self.study.eod_ret_stored)
+        return pt.portfolio_returns(self.universe, self.study.eod_ret_stored, self.universe_rows)
 
     @cached_property
     def split_ret(self) -> DataFrame:
@@ -64,7 +68,8 @@ class PortfolioStudy:
 
     @cached_property
     def split(self) -> DataFrame:
-        return self.universe.join(self.split_ret.select("symbol", "date", "ret", "part"), "symbol")
+        return pt.portfolio_returns(self.universe, self.split_ret, self.universe_rows,
+                                    columns=("date", "ret", "part"))
 
     @cached_property
     def train(self) -> DataFrame:

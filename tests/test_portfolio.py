@@ -107,3 +107,17 @@ def test_sampled_weights_properties(spark):
     ok = w[w.status == "optimal"]
     sums = ok.groupby("portfolio_id").weight.sum()
     assert np.allclose(sums, 1.0, atol=1e-8)
+
+
+def test_portfolio_returns_broadcast_and_salted_agree(spark):
+    import datetime as dt
+    u = spark.createDataFrame([(p, s) for p in range(40) for s in ("B", f"S{p % 5}")],
+                              "portfolio_id long, symbol string")
+    ret = spark.createDataFrame([(s, dt.date(2024, 1, 1) + dt.timedelta(days=d), 0.01 * d)
+                                 for s in ["B"] + [f"S{i}" for i in range(5)] for d in range(10)],
+                                "symbol string, date date, ret double")
+    a = PT.portfolio_returns(u, ret, universe_rows=80).collect()
+    b = PT.portfolio_returns(u, ret, universe_rows=None).collect()
+    assert sorted(a) == sorted(b) and len(a) == 40 * 2 * 10
+    plan = PT.portfolio_returns(u, ret, universe_rows=None)._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan
