@@ -245,7 +245,8 @@ def capm_table(assets: DataFrame, bench: DataFrame, scale: int = SCALE_DAILY, ke
     (``regr_intercept`` / ``regr_slope``); beta+/beta- use only dates with a
     positive/negative benchmark return.
     """
-    b = bench.select("date", F.col(value).alias("_rb"))
+    # one benchmark row per date: bounded by the calendar, so broadcast
+    b = F.broadcast(bench.select("date", F.col(value).alias("_rb")))
     j = assets.select(key, "date", F.col(value).alias("_ra")).join(b, "date") \
         .where(F.col("_ra").isNotNull() & F.col("_rb").isNotNull())
     ra, rb = F.col("_ra"), F.col("_rb")

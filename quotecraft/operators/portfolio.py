@@ -301,7 +301,7 @@ def with_benchmark(port_ret: DataFrame, bench_test: DataFrame, label: str = "ptf
     """PTF-08: portfolio and benchmark test series side by side, long form
     (portfolio_id, series, date, ret) -- ``Rp`` of the script."""
     dates = port_ret.select("portfolio_id", "date")
-    b = dates.join(bench_test.select("date", "ret"), "date").select(
+    b = dates.join(F.broadcast(bench_test.select("date", "ret")), "date").select(   # one row per date
         "portfolio_id", F.lit(bench).alias("series"), "date", "ret")
     p = port_ret.select("portfolio_id", F.lit(label).alias("series"), "date", "ret")
     return p.unionByName(b)

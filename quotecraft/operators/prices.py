@@ -183,5 +183,5 @@ def month_end_rows(prices: DataFrame, cal: DataFrame) -> DataFrame:
 def align_on_date(assets: DataFrame, bench: DataFrame, value: str = "ret",
                   key: str = "symbol") -> DataFrame:
     """TS-09: each asset row next to the benchmark's value on the same date."""
-    b = bench.select("date", F.col(value).alias(f"{value}_b"))
+    b = F.broadcast(bench.select("date", F.col(value).alias(f"{value}_b")))   # one row per date
     return assets.join(b, "date").select(key, "date", value, f"{value}_b")
