@@ -82,14 +82,19 @@ def missing_exclusions(view: DataFrame, cal: DataFrame, w: StudyWindow,
 def apply_exclusions(indices_v: DataFrame, quotes_v: DataFrame, exclusions: DataFrame) -> DataFrame:
     """CLN-06: both views without excluded symbols, combined by UNION.
 
-    ``NOT IN`` becomes a left anti join: exclusion tickers are a primary key,
-    never NULL, so the null-aware form is not needed.
+    ``a WHERE s NOT IN x UNION b WHERE s NOT IN x`` is computed as
+    ``(a UNION b) WHERE s NOT IN x``: the filter distributes over the union,
+    so one anti join serves both sources.  ``NOT IN`` becomes a left anti
+    join: exclusion tickers are a primary key, never NULL.  The exclusion
+    list is small (at most one row per symbol); AQE broadcasts it once it has
+    measured it, so the anti join runs map-side before the de-duplicating
+    shuffle.
     """
     ex = exclusions.select(F.col("ticker").alias("_x")).distinct()
-    i = indices_v.join(ex, F.col("symbol") == F.col("_x"), "left_anti")
-    q = quotes_v.join(ex, F.col("ticker") == F.col("_x"), "left_anti")
-    return union_distinct(i.select("symbol", "date", "adj_close"),
-                          q.select(F.col("ticker").alias("symbol"), "date", "adj_close"), key="symbol")
+    both = indices_v.select("symbol", "date", "adj_close").union(
+        quotes_v.select(F.col("ticker").alias("symbol"), "date", "adj_close"))
+    kept = both.join(ex, F.col("symbol") == F.col("_x"), "left_anti")
+    return kept.distinct().repartition("symbol")
 
 
 # --- the R path: grid, LOCF ---------------------------------------------------
