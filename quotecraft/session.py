@@ -45,18 +45,23 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, as the cluster names it.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only
+    Read from the context's checkpoint dir or ``spark.checkpoint.dir``.  Only
     when neither is set -- local runs and tests -- a private folder is made and
-    registered as the checkpoint dir, so later calls agree.
+    registered as the checkpoint dir, so later calls agree.  Sessions without
+    a SparkContext (Spark Connect) use the configuration value.
     """
-    sc = spark.sparkContext
-    path = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- Spark Connect: no context on the client
+        sc = None
+    path = sc.getCheckpointDir() if sc is not None else None
     if not path:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
             path = tempfile.mkdtemp(prefix="quotecraft-")
-        sc.setCheckpointDir(path)
-        path = sc.getCheckpointDir() or path
+        if sc is not None:
+            sc.setCheckpointDir(path)
+            path = sc.getCheckpointDir() or path
     return path
 
 
