@@ -26,11 +26,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import BENCHMARK, TEST_ROWS
-from .series import train_test_split
+from .series import dense_index, train_test_split
 
 WEIGHT_SCHEMA = "portfolio_id long, symbol string, weight double, status string"
 COV_SCHEMA = "portfolio_id long, asset_a string, asset_b string, cov double"
@@ -62,15 +62,15 @@ def sampled_universe(symbols: DataFrame, n_portfolios: int, n_assets: int, seed:
     in every portfolio (the benchmark, in the script).
 
     The draw is repeatable (numpy generator seeded by (seed, portfolio_id));
-    R's generator is not reproduced.  Symbols are numbered once (a window
-    over the distinct symbol list, one row per symbol) and each portfolio
-    draws indices in an Arrow-batched ``mapInPandas`` -- no portfolio x
-    symbol product is formed.
+    R's generator is not reproduced.  Symbols are numbered 1..n once
+    (:func:`series.dense_index`, in parallel) and each portfolio draws
+    indices in an Arrow-batched ``mapInPandas`` -- no portfolio x symbol
+    product is formed.
     """
     pool = symbols.select("symbol").distinct()
     if include:
         pool = pool.where(~F.col("symbol").isin(list(include)))
-    numbered = pool.select("symbol", F.row_number().over(Window.orderBy("symbol")).alias("idx"))
+    numbered = dense_index(pool, "symbol")                 # 1..n, numbered in parallel
     n_universe = pool.agg(F.count(F.lit(1))).scalar()
     ids = symbols.sparkSession.range(n_portfolios).select(
         F.col("id").alias("portfolio_id"), n_universe.alias("n_universe"))

@@ -60,3 +60,18 @@ def wide_shape(df: DataFrame, key: str = "symbol", date_col: str = "date") -> Da
 def symbols_matching(df: DataFrame, pattern: str, key: str = "symbol") -> DataFrame:
     """FLT-08: ``grep(pattern, colnames)`` -- distinct symbols matching a regex."""
     return df.select(key).distinct().where(F.col(key).rlike(pattern))
+
+
+def dense_index(df: DataFrame, key: str, buckets: int = 64, out: str = "idx") -> DataFrame:
+    """Number the distinct values of ``key`` 1..n without a single-partition sort.
+
+    Values are spread over ``buckets`` hash buckets and ranked inside each
+    bucket in parallel; a running sum over the (few) bucket sizes gives each
+    bucket its offset.  Deterministic for a given set of values.
+    """
+    vals = df.select(key).distinct().withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    ranked = vals.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
+    sizes = vals.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per bucket: a tiny window, broadcast back
+    offsets = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_off"))
+    return ranked.join(F.broadcast(offsets), "_b").select(key, (F.col("_off") + F.col("_r")).alias(out))

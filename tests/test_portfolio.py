@@ -121,3 +121,12 @@ def test_portfolio_returns_broadcast_and_salted_agree(spark):
     assert sorted(a) == sorted(b) and len(a) == 40 * 2 * 10
     plan = PT.portfolio_returns(u, ret, universe_rows=None)._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in plan
+
+
+def test_dense_index(spark):
+    from quotecraft.operators.series import dense_index
+    df = spark.createDataFrame([(f"K{i % 500}",) for i in range(2000)], "symbol string")
+    rows = dense_index(df, "symbol", buckets=7).collect()
+    assert len(rows) == 500 and sorted(r.idx for r in rows) == list(range(1, 501))
+    again = {r.symbol: r.idx for r in dense_index(df, "symbol", buckets=7).collect()}
+    assert again == {r.symbol: r.idx for r in rows}
