@@ -88,3 +88,16 @@ def test_company_file_per_market(spark):
     back = loaders.read_company_file(spark, path, "NASDAQ")
     assert back.columns == st.columns
     assert sorted(back.collect()) == sorted(st.where("exchange = 'NASDAQ'").collect())
+
+
+def test_index_download_thousands_separators(spark):
+    import datetime as dt
+    idx = spark.createDataFrame(
+        [("SP500TR", dt.date(2024, 1, 2), 1234.5, 98765.25, 1.0, 4321.0, 4321.0, 0.0)],
+        "symbol string, date date, open float, high float, low float, close float, adj_close float, "
+        "volume double")
+    raw = loaders.index_download_frame(idx)
+    first = raw.first()
+    assert first.Open == "1,234.5" and first.High == "98,765.25" and first.Volume == "-"
+    back = loaders.read_index_csv(spark, loaders.write_csv(raw, new_table_path(spark, "idx_csv"))).first()
+    assert (back.open, back.high, back.low, back.adj_close, back.volume) == (1234.5, 98765.25, 1.0, 4321.0, 0.0)
