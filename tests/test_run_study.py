@@ -15,3 +15,13 @@ def test_run_study_writes_every_output(spark):
     assert wide.columns == ["date", "L1", "L2", "L3", "SP500TR"]
     w = spark.read.parquet(paths["weights"]).collect()
     assert abs(sum(r.weight for r in w) - 1.0) < 1e-9
+
+
+def test_run_study_cli(spark, capsys):
+    from quotecraft.plans.run_study import main
+    out = new_table_path(spark, "study_cli")
+    main(["--sf-dir", "/root/testdata/sf0.01", "--start", "1994-12-30", "--end", "2001-11-02",
+          "--threshold", "0.6", "--tickers", "L1,L2,SP500TR", "--out", out])
+    printed = capsys.readouterr().out
+    assert "weights\t" in printed and "capm\t" in printed
+    assert spark.read.parquet(f"{out}/capm").count() == 3
