@@ -161,3 +161,17 @@ def ptf_05_long_only_weights(spark, d):
 @query("ptf_04_sampled_weights")
 def ptf_04_sampled_weights(spark, d):
     return PortfolioStudy.sampled(spark, d, W_LONG, n_portfolios=200, n_assets=6).weights
+
+
+@query("ts_10_sampled_by_pattern")
+def ts_10_sampled_by_pattern(spark, d):
+    """The script's commented variant: a seeded sample of 3 series among the
+    names matching a pattern (``^[lL].*`` on these tables)."""
+    from ..operators.series import symbols_matching
+    st = L_study(spark, d)
+    return pt.sampled_universe(symbols_matching(st.eod_ret, "^[lL].*"), n_portfolios=1, n_assets=3, seed=100)
+
+
+def L_study(spark, d):
+    from ..plans.study import Study
+    return Study(spark, d, W_LONG)

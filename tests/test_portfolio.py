@@ -130,3 +130,10 @@ def test_dense_index(spark):
     assert len(rows) == 500 and sorted(r.idx for r in rows) == list(range(1, 501))
     again = {r.symbol: r.idx for r in dense_index(df, "symbol", buckets=7).collect()}
     assert again == {r.symbol: r.idx for r in rows}
+
+
+def test_sampled_by_pattern(spark):
+    from quotecraft.queries import queries
+    rows = queries()["ts_10_sampled_by_pattern"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 3 and len({r.symbol for r in rows}) == 3
+    assert all(r.symbol[0] in "lL" for r in rows)
