@@ -39,9 +39,17 @@ class StoredViews:
         df.write.mode(mode).parquet(path)
         self._paths[name] = path
 
-    def append(self, name: str, df: DataFrame) -> None:
+    def append(self, name: str, df: DataFrame, key: list[str] | None = None) -> None:
+        """``INSERT INTO name SELECT ...``; with ``key`` the table's primary key
+        is enforced as the database would: a row whose key is already stored,
+        or repeated among the new rows, fails the insert."""
         # materialise the rows first: ``df`` may read the table it appends to
         rows = self._freeze(df, f"{name}_append")
+        if key and name in self._paths:
+            clash = rows.join(self.read(name).select(*key), key, "left_semi").limit(1).count()
+            dup = rows.groupBy(*key).count().where("count > 1").limit(1).count()
+            if clash or dup:
+                raise ValueError(f"primary key violation on {name}({', '.join(key)})")
         self.store(name, rows, mode="append")
 
     def _freeze(self, df: DataFrame, name: str) -> DataFrame:
@@ -79,7 +87,7 @@ def study_views(study) -> StoredViews:
 def refreshed_study_views(study) -> dict[str, DataFrame]:
     """Second pass: add return offenders, then refresh prices, then returns."""
     sv = study_views(study)
-    sv.append("exclusions", rt.extreme_return_symbols(sv.read("mv_ret")))
+    sv.append("exclusions", rt.extreme_return_symbols(sv.read("mv_ret")), key=["ticker"])
     sv.refresh("mv_eod")
     sv.refresh("mv_ret")
     return {"exclusions": sv.read("exclusions"), "mv_eod": sv.read("mv_eod"), "mv_ret": sv.read("mv_ret")}

@@ -101,3 +101,15 @@ def test_index_download_thousands_separators(spark):
     assert first.Open == "1,234.5" and first.High == "98,765.25" and first.Volume == "-"
     back = loaders.read_index_csv(spark, loaders.write_csv(raw, new_table_path(spark, "idx_csv"))).first()
     assert (back.open, back.high, back.low, back.adj_close, back.volume) == (1234.5, 98765.25, 1.0, 4321.0, 0.0)
+
+
+def test_append_enforces_primary_key(spark):
+    import pytest
+    from quotecraft.sources.refresh import StoredViews
+    sv = StoredViews(spark)
+    sv.store("exclusions", spark.createDataFrame([("A", "x")], "ticker string, reason string"))
+    sv.append("exclusions", spark.createDataFrame([("B", "y")], "ticker string, reason string"), key=["ticker"])
+    assert sv.read("exclusions").count() == 2
+    with pytest.raises(ValueError):
+        sv.append("exclusions", spark.createDataFrame([("A", "z")], "ticker string, reason string"), key=["ticker"])
+    assert sv.read("exclusions").count() == 2
