@@ -12,4 +12,12 @@ joins, windows and aggregates.  Sub-packages:
 - ``queries``    registry of checked queries and their SQL oracles
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Python steps travel to the workers with their code: a worker needs pandas and
+# numpy, but not this package on its path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
