@@ -100,11 +100,11 @@ def oracle() -> str:
     return f"""
     WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(lower(regexp_replace(regexp_replace(
              coalesce(text, ''), '[.!?]+[ \\t\\r]+|[\\r\\n]+', chr(10), 'g'), '[^A-Za-z0-9\\n]+', ' ', 'g')), chr(10)),
-             x -> trim(x)), x -> x <> '') AS sents FROM documents),
+             lambda x: trim(x)), lambda x: x <> '') AS sents FROM documents),
     h AS (SELECT doc_id, len(sents) AS n_sentences,
-             list_transform(list_filter(sents, x -> x IN ({known})), x -> CASE x {case} END) AS ids FROM s),
+             list_transform(list_filter(sents, lambda x: x IN ({known})), lambda x: CASE x {case} END) AS ids FROM s),
     r AS (SELECT doc_id, n_sentences, ids, '|' || coalesce(array_to_string(ids, '||'), '') || '|' AS run FROM h)
     SELECT doc_id, n_sentences, CAST(len(ids) AS BIGINT) AS n_known, coalesce(array_to_string(ids, ' '), '') AS sentence_ids,
-           coalesce(array_to_string(list_filter([{tests}], x -> x IS NOT NULL), ','), '') AS licenses,
-           list_filter([{tests}], x -> x IS NOT NULL)[1] AS license
+           coalesce(array_to_string(list_filter([{tests}], lambda x: x IS NOT NULL), ','), '') AS licenses,
+           list_filter([{tests}], lambda x: x IS NOT NULL)[1] AS license
     FROM r"""

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import ngram_join, substring_dedup
+from .. import neighbours, ngram_join, substring_dedup
 from ..common import load
 from . import query
 
 
+@query("op1_nn_descent")
+def op1(spark, sf_dir):
+    table = load(spark, sf_dir, "embeddings")
+    return neighbours.nearest(table, table.where("vec_id % 20 = 0"), k=20)
+
+
 @query("op2_substring_dedup")
 def op2(spark, sf_dir):
     cut = substring_dedup.remove_repeats(load(spark, sf_dir, "documents"))
