@@ -21,7 +21,7 @@ from .text_metrics import text_metrics
 MEASURES = {
     "symbol_share": ("n_symbols", "word_chars", 30),
     "dup_line_share": ("n_dup_lines", "n_lines", 400),
-    "repeat_share": ("n_repeat_words", "n_words", 300),
+    "repeat_share": ("n_repeat_words", "n_words", 450),
     "upper_share": ("n_upper", "word_chars", 300),
     "mark_share": ("n_marks", "word_chars", 60),
 }
