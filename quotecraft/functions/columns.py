@@ -22,9 +22,7 @@ def real_div(a: Column, b: Column) -> Column:
 def int_div(a: Column, b: int | Column) -> Column:
     """SCL-07: integer division truncating toward zero, as ``bigint / int`` in
     PostgreSQL (Spark's ``div``)."""
-    b = F.lit(b) if isinstance(b, int) else b
-    q = a / b
-    return F.when(q >= 0, F.floor(q)).otherwise(F.ceil(q)).cast("bigint")
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b).cast("bigint")
 
 
 def round_numeric(x: Column, places: int) -> Column:

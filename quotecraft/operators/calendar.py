@@ -119,11 +119,13 @@ def update_from(target: DataFrame, source: DataFrame, key: str | list[str],
     """JON-12: ``UPDATE target SET c = s.c FROM source s WHERE key = s.key``.
 
     Matched rows take the source value (NULL included); unmatched rows keep
-    theirs.  The result is a new DataFrame to be written as a new version.
+    theirs.  A key that the source holds twice is an error: an UPDATE never
+    adds rows.  The result is a new DataFrame to be written as a new version.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    src = source.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns],
-                        F.lit(True).alias("_hit"))
+    one = F.when(F.count(F.lit(1)) == 1, F.lit(True)).otherwise(
+        F.raise_error("update_from: the source holds a key more than once"))
+    src = source.groupBy(*keys).agg(*[F.first(c).alias(f"_new_{c}") for c in columns], one.alias("_hit"))
     out = target.join(src, keys, "left")
     for c in columns:
         old = F.col(c) if c in target.columns else F.lit(None)

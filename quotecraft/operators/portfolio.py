@@ -47,7 +47,9 @@ def _draw(batches, n_assets: int, seed: int):
     for pdf in batches:
         rows = []
         for pid, size in zip(pdf["portfolio_id"], pdf["n_universe"]):
-            k = min(int(n_assets), int(size))
+            k = int(n_assets)
+            if k > int(size):
+                raise ValueError(f"cannot draw {k} distinct symbols from a pool of {size}")
             rng = np.random.default_rng([int(seed), int(pid)])
             for idx in rng.choice(int(size), size=k, replace=False):
                 rows.append((int(pid), int(idx) + 1))
@@ -58,7 +60,7 @@ def _draw(batches, n_assets: int, seed: int):
 def sampled_universe(symbols: DataFrame, n_portfolios: int, n_assets: int, seed: int = 100,
                      include: Sequence[str] = ()) -> DataFrame:
     """TS-10 (sampled): ``n_portfolios`` seeded random draws of ``n_assets``
-    distinct symbols each (``sample(colnames, n)``), plus ``include`` symbols
+    distinct symbols each (``sample(colnames, n)``; a smaller pool is an error), plus ``include`` symbols
     in every portfolio (the benchmark, in the script).
 
     The draw is repeatable (numpy generator seeded by (seed, portfolio_id));
@@ -84,30 +86,16 @@ def sampled_universe(symbols: DataFrame, n_portfolios: int, n_assets: int, seed:
 
 # --- 2-5. returns, split, complete dates, target -----------------------------------------
 
-MAX_BROADCAST_UNIVERSE = 2_000_000     # rows of (portfolio_id, symbol): ~60 MB
-SALTS = 16
-
-
-def portfolio_returns(universe: DataFrame, ret: DataFrame, universe_rows: int | None = None,
-                      salts: int = SALTS, columns: tuple[str, ...] = ("date", "ret")) -> DataFrame:
+def portfolio_returns(universe: DataFrame, ret: DataFrame,
+                      columns: tuple[str, ...] = ("date", "ret")) -> DataFrame:
     """(portfolio_id, symbol, date, ret) for every asset of every portfolio.
 
-    One symbol can sit in every portfolio (the benchmark does), so a plain
-    shuffle join would make the task holding it emit portfolios x days rows.
-    When the caller knows the universe's size (``universe_rows``: portfolios
-    x assets, fixed by the request) and it is within
-    ``MAX_BROADCAST_UNIVERSE``, the universe is broadcast and every task joins
-    its own slice of returns.  Otherwise the join is salted: each portfolio
-    takes salt ``portfolio_id % salts`` and each return row is repeated once
-    per salt, so a hot symbol's fan-out is spread over ``salts`` tasks.
+    One equi-join at every size, without hints: the planner broadcasts a
+    universe below the session's threshold, and beyond it AQE splits the
+    partition of a symbol that sits in every portfolio (the benchmark does).
     """
     cols = list(columns)
-    r = ret.select("symbol", *cols)
-    if universe_rows is not None and universe_rows <= MAX_BROADCAST_UNIVERSE:
-        return F.broadcast(universe).join(r, "symbol").select("portfolio_id", "symbol", *cols)
-    u = universe.withColumn("_salt", F.pmod(F.col("portfolio_id"), F.lit(salts)))
-    rs = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return u.join(rs, ["symbol", "_salt"]).select("portfolio_id", "symbol", *cols)
+    return universe.join(ret.select("symbol", *cols), "symbol").select("portfolio_id", "symbol", *cols)
 
 
 def split_returns(pret: DataFrame, test_rows: int = TEST_ROWS) -> DataFrame:

@@ -18,18 +18,16 @@ from .study import Study
 
 class PortfolioStudy:
     def __init__(self, study: Study, universe_fn, test_rows: int = TEST_ROWS, benchmark: str = BENCHMARK,
-                 store_universe: bool = False, universe_rows: int | None = None):
+                 store_universe: bool = False):
         self.study = study
         self._universe_fn = universe_fn
         self.store_universe = store_universe
-        self.universe_rows = universe_rows        # size bound known from the request
         self.test_rows = test_rows
         self.benchmark = benchmark
 
     @classmethod
     def fixed(cls, spark: SparkSession, sf_dir: str, window: StudyWindow, symbols, **kw) -> "PortfolioStudy":
-        return cls(Study(spark, sf_dir, window), lambda st: pt.fixed_universe(spark, symbols),
-                   universe_rows=len(symbols), **kw)
+        return cls(Study(spark, sf_dir, window), lambda st: pt.fixed_universe(spark, symbols), **kw)
 
     @classmethod
     def sampled(cls, spark: SparkSession, sf_dir: str, window: StudyWindow, n_portfolios: int,
@@ -40,9 +38,7 @@ class PortfolioStudy:
         def universe(st: Study) -> DataFrame:
             inc = (bench,) if include_benchmark else ()
             return pt.sampled_universe(st.eod_ret_stored.select("symbol"), n_portfolios, n_assets, seed, inc)
-        bound = n_portfolios * (n_assets + (1 if include_benchmark else 0))
-        return cls(Study(spark, sf_dir, window, base=base), universe, store_universe=True,
-                   universe_rows=bound, **kw)
+        return cls(Study(spark, sf_dir, window, base=base), universe, store_universe=True, **kw)
 
     @cached_property
     def universe(self) -> DataFrame:
@@ -59,7 +55,7 @@ class PortfolioStudy:
 
     @cached_property
     def returns(self) -> DataFrame:
-        return pt.portfolio_returns(self.universe, self.study.eod_ret_stored, self.universe_rows)
+        return pt.portfolio_returns(self.universe, self.study.eod_ret_stored)
 
     @cached_property
     def split_ret(self) -> DataFrame:
@@ -68,7 +64,7 @@ class PortfolioStudy:
 
     @cached_property
     def split(self) -> DataFrame:
-        return pt.portfolio_returns(self.universe, self.split_ret, self.universe_rows,
+        return pt.portfolio_returns(self.universe, self.split_ret,
                                     columns=("date", "ret", "part"))
 
     @cached_property

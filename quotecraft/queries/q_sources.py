@@ -63,13 +63,12 @@ def cln_03_cast_rejects(spark, d):
     return rejects
 
 
-@query("scl_07_arithmetic", f"""
+@query("scl_07_arithmetic", """
 SELECT ticker, count(*) // 252 AS full_years, count(*) AS n,
        CAST(max(adj_close) AS FLOAT) / CAST(min(adj_close) AS FLOAT) AS high_low_ratio
-FROM eod_quotes WHERE date BETWEEN DATE '{WL.start}' AND DATE '{WL.end}' GROUP BY ticker""")
+FROM eod_quotes GROUP BY ticker""")
 def scl_07_arithmetic(spark, d):
-    v = S(spark, d).quotes.where(F.col("date").between(F.lit(WL.start).cast("date"), F.lit(WL.end).cast("date")))
-    g = v.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.max("adj_close").alias("_hi"),
+    g = S(spark, d).quotes.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.max("adj_close").alias("_hi"),
                                 F.min("adj_close").alias("_lo"))
     return g.select("ticker", int_div(F.col("n"), 252).alias("full_years"), "n",
                     real_div(F.col("_hi"), F.col("_lo")).alias("high_low_ratio"))

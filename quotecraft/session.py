@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -58,6 +59,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
+            master = spark.conf.get("spark.master", "") or ""
+            if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share; "
+                                   f"master {master!r} has no use for a folder of this machine")
             path = tempfile.mkdtemp(prefix="quotecraft-")
         if sc is not None:
             sc.setCheckpointDir(path)

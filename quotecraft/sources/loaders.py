@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.columns import nan_to_null
 from ..params import BENCHMARK
 
 _CSV_READ = {"header": "true", "sep": ",", "quote": '"', "escape": '"', "mode": "FAILFAST"}
@@ -58,8 +59,14 @@ def company_list_from_staging(staging: DataFrame, market: str | None = None) ->
 
 
 def read_quotes_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-02: typed quotes CSV (ticker, date, 4 x real, numeric volume)."""
-    return spark.read.schema(S.EOD_QUOTES).options(**_CSV_READ).option("dateFormat", "yyyy-MM-dd").csv(path)
+    """SRC-02: typed quotes CSV (ticker, date, 4 x real, numeric volume); NaN becomes NULL."""
+    raw = spark.read.schema(S.EOD_QUOTES).options(**_CSV_READ).option("dateFormat", "yyyy-MM-dd").csv(path)
+    return _without_nan(raw)
+
+
+def _without_nan(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: nan_to_null(F.col(f.name)) for f in df.schema
+                           if f.dataType.typeName() in ("float", "double")})
 
 
 def store_by_year(df: DataFrame, path: str, date_col: str = "date") -> str:
@@ -123,11 +130,11 @@ def read_index_csv(spark: SparkSession, path: str, symbol: str = BENCHMARK) -> D
         return F.regexp_replace(F.col(f"`{c}`"), ",", "").cast(t)
 
     vol = F.expr("try_cast(regexp_replace(Volume, ',', '') AS double)")
-    return raw.select(
+    typed = raw.select(
         F.lit(symbol).alias("symbol"), F.to_date("Date", "yyyy-MM-dd").alias("date"),
         num("Open").alias("open"), num("High").alias("high"), num("Low").alias("low"),
-        num("Close").alias("close"), num("Adj Close").alias("adj_close"),
-        F.coalesce(vol, F.lit(0.0)).alias("volume"))
+        num("Close").alias("close"), num("Adj Close").alias("adj_close"), vol.alias("volume"))
+    return _without_nan(typed).withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 
 
 def read_calendar_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -24,6 +24,7 @@ the stream's own checkpoint under the shared folder.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,7 +39,9 @@ _RETURN_TABLE = "symbol string, ret double, date date, batch long"
 def _read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 -- nothing written yet
+    except AnalysisException as e:         # nothing written yet; any other failure is a failure
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -63,8 +66,9 @@ def current_returns(spark: SparkSession, return_path: str) -> DataFrame:
 
 def _process(batch: DataFrame, batch_id: int, spark: SparkSession, calendar: DataFrame,
              price_path: str, return_path: str) -> None:
-    rows = batch.select("symbol", F.col("date").cast("date").alias("date"),
-                        F.col("adj_close").cast("float").alias("adj_close")).dropDuplicates(["symbol", "date"])
+    # two prices of one key in a batch: the larger, so that a replay keeps the same one
+    rows = (batch.groupBy("symbol", F.col("date").cast("date").alias("date"))
+            .agg(F.max(F.col("adj_close").cast("float")).alias("adj_close")))
     _write(rows.withColumn("batch", F.lit(batch_id).cast("long")), price_path)
 
     cal = F.broadcast(calendar.select("date", "prev_trading_day"))     # one row per day

@@ -109,18 +109,26 @@ def test_sampled_weights_properties(spark):
     assert np.allclose(sums, 1.0, atol=1e-8)
 
 
-def test_portfolio_returns_broadcast_and_salted_agree(spark):
+def test_portfolio_returns_of_a_symbol_in_every_portfolio(spark):
     import datetime as dt
     u = spark.createDataFrame([(p, s) for p in range(40) for s in ("B", f"S{p % 5}")],
                               "portfolio_id long, symbol string")
     ret = spark.createDataFrame([(s, dt.date(2024, 1, 1) + dt.timedelta(days=d), 0.01 * d)
                                  for s in ["B"] + [f"S{i}" for i in range(5)] for d in range(10)],
                                 "symbol string, date date, ret double")
-    a = PT.portfolio_returns(u, ret, universe_rows=80).collect()
-    b = PT.portfolio_returns(u, ret, universe_rows=None).collect()
-    assert sorted(a) == sorted(b) and len(a) == 40 * 2 * 10
-    plan = PT.portfolio_returns(u, ret, universe_rows=None)._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in plan
+    got = sorted(tuple(r) for r in PT.portfolio_returns(u, ret).collect())
+    by_symbol = {}
+    for r in ret.collect():
+        by_symbol.setdefault(r.symbol, []).append((r.date, r.ret))
+    assert got == sorted((r.portfolio_id, r.symbol, d, x) for r in u.collect() for d, x in by_symbol[r.symbol])
+
+
+def test_a_pool_too_small_to_draw_from_is_an_error(spark):
+    import pytest
+    pool = spark.createDataFrame([(f"S{i}",) for i in range(5)], "symbol string")
+    assert PT.sampled_universe(pool, 3, 5).count() == 15
+    with pytest.raises(Exception, match="cannot draw 12"):
+        PT.sampled_universe(pool, 3, 12).collect()
 
 
 def test_dense_index(spark):
