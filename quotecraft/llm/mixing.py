@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import number_rows
 
 BLOCK_ROWS = 32
-#: rows numbered by one task, about; fewer where they carry their whole documents
-NUMBERED = {False: 50_000, True: 1_000}
+#: rows of one numbering bucket, about: few, since they may carry whole documents,
+#: and the same with and without, since buckets decide the order inside a source
+NUMBERED = 2_000
 PERIOD = 1000
 #: most sources one mix takes: the schedule table has sources x period rows at most
 MAX_SOURCES = 2000
@@ -124,7 +125,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: s
         [(int(r.phase), r.source, int(r.first), int(r.first + r.n), int(r.base), int(r.per_period), int(r.period),
           [int(x) for x in r.offsets]) for r in plan.itertuples()],
         "phase int, _key string, _first long, _end long, _base long, _per long, _span long, _offsets array<int>")
-    numbered = number_rows(rows, "_key", "_order", "_n", sum(sizes.values()), NUMBERED[carry]).drop("_order")
+    numbered = number_rows(rows, "_key", "_order", "_n", sum(sizes.values()), NUMBERED).drop("_order")
     numbered = numbered.withColumn("block", (F.col("_n") / block_rows).cast("long"))
     # at most (phases x sources) rows, both up to MAX_SOURCES: bounded by the sources, not by the rows
     joined = numbered.join(F.broadcast(table), "_key").where((F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end")))
