@@ -18,8 +18,8 @@ documented with; they are this library's definitions:
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -271,67 +271,36 @@ def capm_table(assets: DataFrame, bench: DataFrame, scale: int = SCALE_DAILY, ke
     return out.select(key, "n", *[_r6(F.col(c), places).alias(c) for c in out.columns if c not in (key, "n")])
 
 
-# --- correlation p-value: Student t via the regularised incomplete beta ------------
-
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, eps = 1e-300, 1e-15
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    from math import exp, lgamma, log
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1.0 - x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
-
-
-def correlation_p_value(r: float, n: int) -> float | None:
-    """Two-sided p-value of Pearson's r with n pairs (t test, n - 2 df)."""
-    if r is None or n is None or n < 3 or np.isnan(r):
-        return None
-    df = n - 2
-    if abs(r) >= 1.0:
-        return 0.0
-    t2 = r * r * df / (1.0 - r * r)
-    return incomplete_beta(df / 2.0, 0.5, df / (df + t2))
-
-
-def _p_values(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([correlation_p_value(float(a), int(b)) if pd.notna(a) and pd.notna(b) else None
-                      for a, b in zip(r, n)], dtype="float64")
+# --- correlation p-value: Student's t for whole degrees of freedom ------------------
+
+def correlation_p_value(r: Column, n: Column) -> Column:
+    """Two-sided p-value of Pearson's ``r`` over ``n`` pairs (t test, n - 2 df).
+
+    For whole degrees of freedom the t distribution is a finite trigonometric
+    sum: with sin(theta) = |r| the terms are powers of cos(theta)^2 times
+    ratios of odd and even numbers.  NULL for fewer than 3 pairs or no ``r``.
+    The value is one minus the sum, so it is good to about 1e-12 absolute.
+    """
+    df = (n - 2).cast("int")
+    s = F.least(F.abs(r), F.lit(1.0))
+    cos2 = F.lit(1.0) - s * s
+    odd = df % 2 == 1
+    last = F.floor((df - F.when(odd, 3).otherwise(2)) / 2).cast("int")
+    # at most half the trading days of the window
+    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+
+    def add(acc: Column, j: Column) -> Column:
+        ratio = F.when(odd, (2.0 * j) / (2.0 * j + 1)).otherwise((2.0 * j - 1) / (2.0 * j))
+        term = acc["term"] * cos2 * ratio
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    first = F.when(~odd, 1.0).when(df >= 3, F.sqrt(cos2)).otherwise(0.0)
+    total = F.aggregate(steps, F.struct(first.alias("term"), first.alias("total")), add, lambda acc: acc["total"])
+    inside = F.when(odd, F.lit(2.0 / math.pi) * (F.asin(s) + s * total)).otherwise(s * total)
+    return F.when((df >= 1) & r.isNotNull() & ~F.isnan(r),
+                  F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - inside)))
 
 
 def with_correlation_p_value(capm: DataFrame) -> DataFrame:
-    """RET-08 p-value column, computed on the (one row per asset) CAPM table by
-    an Arrow-batched pandas UDF: no incomplete-beta function is built in."""
-    from pyspark.sql.types import DoubleType
-    udf = F.pandas_udf(_p_values, DoubleType())
-    return capm.withColumn("correlation_p_value", udf(F.col("correlation"), F.col("n")))
+    """RET-08 p-value column of a CAPM table (one row per asset)."""
+    return capm.withColumn("correlation_p_value", correlation_p_value(F.col("correlation"), F.col("n")))

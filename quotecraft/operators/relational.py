@@ -101,8 +101,7 @@ def all_keys_full_outer(left: DataFrame, right: DataFrame, left_key: str, right_
     """
     a = left.select(F.col(left_key).alias("_a")).distinct()
     b = right.select(F.col(right_key).alias("_b")).distinct()
-    key = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).otherwise(F.col("_b"))
-    return a.join(b, F.col("_a") == F.col("_b"), "full_outer").select(key.alias(out)).distinct()
+    return a.join(b, F.col("_a") == F.col("_b"), "full_outer").select(F.coalesce("_b", "_a").alias(out)).distinct()
 
 
 def intersect_markets(companies: DataFrame, column: str, markets: Sequence[str]) -> DataFrame:

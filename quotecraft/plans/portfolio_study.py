@@ -26,19 +26,20 @@ class PortfolioStudy:
         self.benchmark = benchmark
 
     @classmethod
-    def fixed(cls, spark: SparkSession, sf_dir: str, window: StudyWindow, symbols, **kw) -> "PortfolioStudy":
-        return cls(Study(spark, sf_dir, window), lambda st: pt.fixed_universe(spark, symbols), **kw)
+    def fixed(cls, spark: SparkSession, sf_dir: str, window: StudyWindow, symbols,
+              study: Study | None = None, **kw) -> "PortfolioStudy":
+        return cls(study or Study(spark, sf_dir, window), lambda st: pt.fixed_universe(spark, symbols), **kw)
 
     @classmethod
     def sampled(cls, spark: SparkSession, sf_dir: str, window: StudyWindow, n_portfolios: int,
                 n_assets: int, seed: int = 100, include_benchmark: bool = True,
-                base: dict | None = None, **kw) -> "PortfolioStudy":
+                base: dict | None = None, study: Study | None = None, **kw) -> "PortfolioStudy":
         bench = kw.get("benchmark", BENCHMARK)
 
         def universe(st: Study) -> DataFrame:
             inc = (bench,) if include_benchmark else ()
             return pt.sampled_universe(st.eod_ret_stored.select("symbol"), n_portfolios, n_assets, seed, inc)
-        return cls(Study(spark, sf_dir, window, base=base), universe, store_universe=True, **kw)
+        return cls(study or Study(spark, sf_dir, window, base=base), universe, store_universe=True, **kw)
 
     @cached_property
     def universe(self) -> DataFrame:
@@ -86,8 +87,8 @@ class PortfolioStudy:
 
     @cached_property
     def weights(self) -> DataFrame:
-        # the per-portfolio block drops incomplete dates itself
-        return pt.solve_weights(self.train, self.target)
+        # the per-portfolio block drops incomplete dates itself; solved once, read many times
+        return self.study.store("weights", pt.solve_weights(self.train, self.target))
 
     @cached_property
     def long_only_weights(self) -> DataFrame:

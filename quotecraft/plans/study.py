@@ -16,6 +16,7 @@ sessions that run many queries over the same window.
 from __future__ import annotations
 
 from functools import cached_property
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,3 +232,42 @@ class Study:
         """Return series of the listed symbols (PRJ-06 / JON-09)."""
         keep = self.spark.createDataFrame([(s,) for s in symbols], "symbol string")
         return self.eod_ret.join(F.broadcast(keep), "symbol", "left_semi")
+
+
+class StoredStudy(Study):
+    """A study whose views are tables: each is written once, when first read,
+    and read back.  Second-pass plans then start from files instead of nesting
+    the first pass, and a lost executor recomputes from files."""
+
+    @property
+    def eod_ret_stored(self) -> DataFrame:
+        return self.eod_ret
+
+
+def _stored(name: str) -> cached_property:
+    compute = getattr(Study, name).func
+    prop = cached_property(lambda self: self.store(name, compute(self)))
+    prop.__set_name__(StoredStudy, name)
+    return prop
+
+
+for _name in ("mv_eod1", "mv_ret1", "exclusions", "mv_eod", "eod_ret", "eom_ret"):
+    setattr(StoredStudy, _name, _stored(_name))
+
+
+#: per session: stored base tables by input folder, stored studies by (folder, window)
+_SESSIONS: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def stored_study(spark: SparkSession, sf_dir: str, window: StudyWindow = W_SHORT) -> StoredStudy:
+    """The session's stored study of ``sf_dir``.
+
+    Like the reference's load step, the base tables are written once and then
+    queried many times: inputs that change later need a new session.
+    """
+    seen = _SESSIONS.setdefault(spark, {})
+    if sf_dir not in seen:
+        seen[sf_dir] = store_base(spark, sf_dir)
+    if (sf_dir, window) not in seen:
+        seen[sf_dir, window] = StoredStudy(spark, sf_dir, window, base=seen[sf_dir])
+    return seen[sf_dir, window]

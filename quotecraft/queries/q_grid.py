@@ -11,7 +11,7 @@ from ..operators import prices as px
 from ..operators import returns as rt
 from ..operators import series as sr
 from ..params import W_LONG, W_SHORT
-from ..plans.study import Study
+from ..plans.study import stored_study
 from ..sources import exports
 from .registry import query
 
@@ -21,11 +21,11 @@ WIDE = ("L1", "L2", "L3", "SP500TR")
 
 
 def S(spark, d):
-    return Study(spark, d, W_SHORT)
+    return stored_study(spark, d, W_SHORT)
 
 
 def L(spark, d):
-    return Study(spark, d, W_LONG)
+    return stored_study(spark, d, W_LONG)
 
 
 def _picked(spark, names):

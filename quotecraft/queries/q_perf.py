@@ -8,14 +8,14 @@ from ..operators import aggregates as agg
 from ..operators import performance as pf
 from ..operators import returns as rt
 from ..params import W_LONG
-from ..plans.study import Study
-from .registry import query, r_sql
+from ..plans.study import stored_study
+from .registry import query, r_sql, rnd
 
 T_TERMS = pf.T975_TERMS
 
 
 def L(spark, d):
-    return Study(spark, d, W_LONG)
+    return stored_study(spark, d, W_LONG)
 
 
 def _t_sql(v: str) -> str:
@@ -100,11 +100,28 @@ def ret_08_capm_table(spark, d):
     return pf.capm_table(st.eod_ret, st.eod_ret.where(F.col("symbol") == "SP500TR"))
 
 
-@query("ret_08_capm_p_value")
+# Student's t for whole degrees of freedom v: each term of the finite sum by gamma
+# functions, cos^2j * G(j + 1/2) / (G(j + 1) G(1/2)) for even v and
+# cos^(2j + 1) * G(j + 1) G(3/2) / G(j + 3/2) for odd v
+@query("ret_08_capm_p_value", f"""
+WITH pairs AS (SELECT symbol, count(*) AS n, corr(ra, rb) AS r, count(*) - 2 AS v FROM {_CAPM_PAIRS} p GROUP BY symbol),
+     angle AS (SELECT *, least(abs(r), 1.0) AS s, sqrt(1.0 - least(abs(r), 1.0) * least(abs(r), 1.0)) AS c FROM pairs),
+     terms AS (SELECT symbol, unnest(generate_series(0, CAST(floor((v - 2 - v % 2) / 2.0) AS BIGINT))) AS j, v, c FROM angle),
+     sums AS (SELECT symbol, sum(CASE WHEN v % 2 = 0
+                THEN power(c, 2 * j) * exp(lgamma(j + 0.5) - lgamma(j + 1.0) - lgamma(0.5))
+                ELSE power(c, 2 * j + 1) * exp(lgamma(j + 1.0) + lgamma(1.5) - lgamma(j + 1.5)) END) AS total
+              FROM terms GROUP BY symbol)
+SELECT symbol, n, {r_sql('r')} AS correlation,
+       CASE WHEN v >= 1 AND r IS NOT NULL AND NOT isnan(r) THEN
+         {r_sql("greatest(0.0, least(1.0, 1.0 - CASE WHEN v % 2 = 0 THEN s * coalesce(total, 0) ELSE (asin(s) + s * coalesce(total, 0)) * 2 / pi() END))", 8)}
+       END AS correlation_p_value
+FROM angle LEFT JOIN sums USING (symbol)""")
 def ret_08_capm_p_value(spark, d):
     st = L(spark, d)
     capm = pf.capm_table(st.eod_ret, st.eod_ret.where(F.col("symbol") == "SP500TR"), places=None)
-    return pf.with_correlation_p_value(capm.select("symbol", "n", "correlation"))
+    out = pf.with_correlation_p_value(capm.select("symbol", "n", "correlation"))
+    return out.select("symbol", "n", rnd("correlation").alias("correlation"),
+                      rnd("correlation_p_value", 8).alias("correlation_p_value"))
 
 
 _WEALTH = """(SELECT symbol, date, ret,
@@ -123,7 +140,6 @@ SELECT symbol, date, ret, {r_sql('wealth', 8)} AS wealth,
        {r_sql('greatest(1.0, max(wealth) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))', 8)} AS peak
 FROM {_WEALTH} w""")
 def win_04_running_product_max(spark, d):
-    from .registry import rnd
     x = pf.wealth_series(L(spark, d).eod_ret)
     return x.select("symbol", "date", "ret", rnd("wealth", 8).alias("wealth"), rnd("peak", 8).alias("peak"))
 
@@ -173,7 +189,6 @@ def ret_11_boxplot_outliers(spark, d):
 @query("agg_19_series_mean", f"""
 SELECT symbol, {r_sql('avg(ret)')} AS mean_ret FROM eod_ret_l GROUP BY symbol""")
 def agg_19_series_mean(spark, d):
-    from .registry import rnd
     return agg.series_mean(L(spark, d).eod_ret, keys=["symbol"]).select("symbol", rnd("mean_ret").alias("mean_ret"))
 
 

@@ -14,13 +14,14 @@ from ..operators import performance as pf
 from ..operators import portfolio as pt
 from ..params import BENCHMARK, LONG_ASSETS, TEST_ROWS, W_LONG
 from ..plans.portfolio_study import PortfolioStudy
+from ..plans.study import stored_study
 from .registry import query, r_sig_sql, r_sql, rnd, rnd_sig
 
 A1, A2, A3 = LONG_ASSETS
 
 
 def P(spark, d) -> PortfolioStudy:
-    return PortfolioStudy.fixed(spark, d, W_LONG, LONG_ASSETS)
+    return PortfolioStudy.fixed(spark, d, W_LONG, LONG_ASSETS, study=stored_study(spark, d, W_LONG))
 
 
 _CTES = {
@@ -160,7 +161,8 @@ def ptf_05_long_only_weights(spark, d):
 
 @query("ptf_04_sampled_weights")
 def ptf_04_sampled_weights(spark, d):
-    return PortfolioStudy.sampled(spark, d, W_LONG, n_portfolios=200, n_assets=6).weights
+    return PortfolioStudy.sampled(spark, d, W_LONG, n_portfolios=200, n_assets=6,
+                                  study=stored_study(spark, d, W_LONG)).weights
 
 
 @query("ts_10_sampled_by_pattern")
@@ -173,5 +175,4 @@ def ts_10_sampled_by_pattern(spark, d):
 
 
 def L_study(spark, d):
-    from ..plans.study import Study
-    return Study(spark, d, W_LONG)
+    return stored_study(spark, d, W_LONG)

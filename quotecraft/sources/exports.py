@@ -1,8 +1,8 @@
 """Exports: SRC-16..19.
 
 The reference left-joins the calendar to a stored view so that no trading day
-is missed, then downloads CSV.  Here the join is one broadcast of the
-calendar window; the CSV goes to the shared folder with a header and comma
+is missed, then downloads CSV.  Here the days are broadcast to the priced
+table, and days without any row are added; the CSV goes to the shared folder with a header and comma
 delimiter and is read back with the declared schema.
 """
 
@@ -30,13 +30,18 @@ def calendar_export(cal: DataFrame, table: DataFrame, w: StudyWindow, eom_only:
     days = in_window(cal.where(F.col("trading") == 1), w.start, w.end)
     if eom_only:
         days = days.where(F.col("eom") == 1)
-    days = days.select(F.col("date").alias("_cdate"))
-    # the day list is the preserved side; the priced table is hash-joined to it
-    j = days.join(table, F.col("_cdate") == F.col("date"), "left")
-    if keep_date:
-        rest = [c for c in table.columns if c != "date"]
-        return j.select(F.col("_cdate").alias("date"), *rest)
-    return j.select(*table.columns)
+    days = days.select("date")
+    # at most 366 days a year: prices are filtered where they lie, never shuffled by date
+    held = table.join(F.broadcast(days), "date", "left_semi")
+    # days without any row (the distinct dates combine map-side)
+    empty = days.join(table.select("date").distinct(), "date", "left_anti")
+    for c in table.columns:
+        if c != "date":
+            empty = empty.withColumn(c, F.lit(None).cast(table.schema[c].dataType))
+    if not keep_date:
+        empty = empty.withColumn("date", F.lit(None).cast(table.schema["date"].dataType))
+        return held.select(*table.columns).unionByName(empty)
+    return held.unionByName(empty).select("date", *[c for c in table.columns if c != "date"])
 
 
 def export_round_trip(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

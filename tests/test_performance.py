@@ -63,10 +63,27 @@ def test_capm_self_and_p_value(spark):
     row = PF.capm_table(a, b.drop("symbol"), places=None).first()
     assert row.beta == pytest.approx(1.0) and row.alpha == pytest.approx(0.0, abs=1e-12)
     assert row.information_ratio is None
-    # p-value of r = 0.5, n = 12 (t = 1.826, 10 df): 0.0978
-    assert PF.correlation_p_value(0.5, 12) == pytest.approx(0.0978, abs=1e-4)
-    assert PF.incomplete_beta(2.0, 3.0, 0.4) == pytest.approx(0.5248, abs=1e-4)
-    assert math.isclose(PF.correlation_p_value(0.0, 30), 1.0)
+
+
+def test_correlation_p_value(spark):
+    """Against the density of r for no correlation, integrated by Simpson's rule."""
+    def tail(r, n):
+        # (1 - x^2)^((n - 4) / 2) with x = sin(u): cos(u)^(n - 3), smooth for every n >= 3
+        def area(a, b, k=20000):
+            h = (b - a) / k
+            f = [math.cos(a + i * h) ** (n - 3) for i in range(k + 1)]
+            return h / 3 * (f[0] + f[-1] + 4 * sum(f[1:-1:2]) + 2 * sum(f[2:-1:2]))
+        return area(math.asin(abs(r)), math.pi / 2) / area(0.0, math.pi / 2)
+
+    cases = [(r, n) for r in (0.0, 0.1, -0.5, 0.9, -0.999) for n in (3, 4, 5, 6, 7, 12, 31, 400)]
+    rows = cases + [(1.0, 10), (-1.0, 9), (None, 10), (0.5, 2), (0.5, None), (float("nan"), 10)]
+    df = spark.createDataFrame(rows, "correlation double, n long")
+    got = {(str(x.correlation), x.n): x.correlation_p_value for x in PF.with_correlation_p_value(df).collect()}
+    for r, n in cases:
+        assert got[(str(r), n)] == pytest.approx(tail(r, n), abs=1e-9)
+    assert got[("-0.5", 12)] == pytest.approx(0.0978, abs=1e-4)
+    assert got[("1.0", 10)] == pytest.approx(0.0, abs=1e-12) and got[("-1.0", 9)] == pytest.approx(0.0, abs=1e-12)
+    assert [got[k] for k in (("None", 10), ("0.5", 2), ("0.5", None), ("nan", 10))] == [None] * 4
 
 
 def test_periods_per_year(spark):
