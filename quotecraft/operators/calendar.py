@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import FIXED_HOLIDAYS
+from ..session import new_table_path
 
 CAL_COLUMNS = ["date", "y", "m", "d", "dow", "trading"]
 
@@ -140,26 +141,46 @@ def asof_backward(left: DataFrame, right: DataFrame, left_on: str, right_on: str
     """JON-13: as-of join -- for every left row, ``value`` of the right row with
     the greatest ``right_on`` < (or <=) ``left_on``, within ``by`` groups.
 
-    Built as union + one window (``last(..., ignorenulls)``) instead of the
+    Of right rows with the same key the greatest value counts; right rows with
+    a null key match nothing, a left row with a null key gets NULL.
+
+    Built as union + window (``last(..., ignorenulls)``) instead of the
     correlated subquery, which Spark would plan as a nested-loop join.  With
-    ``by`` the window is partitioned by those keys.
+    ``by`` the window is partitioned by those keys.  Without, the rows are cut
+    into ranges of the key; each range looks back inside itself, then at the
+    last value of the ranges before it (one row per range), so no task sorts
+    all rows.
     """
     by = by or []
     lcols = left.columns
     l_part = left.select(*[F.col(c) for c in lcols],
                          F.col(left_on).alias("_k"), F.lit(0 if strict else 1).alias("_side"),
                          F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    r_sel = right.select(*[F.col(b) for b in by], F.col(right_on).alias("_k"),
-                         F.col(value).alias("_v"))
+    r_sel = right.where(F.col(right_on).isNotNull()).select(
+        *[F.col(b) for b in by], F.col(right_on).alias("_k"), F.col(value).alias("_v"))
     r_part = r_sel.select(*[F.lit(None).cast(left.schema[c].dataType).alias(c)
                             if c not in by else F.col(c) for c in lcols],
                           "_k", F.lit(1 if strict else 0).alias("_side"), "_v")
-    w = (Window.partitionBy(*by) if by else Window).orderBy("_k", "_side") \
-        .rowsBetween(Window.unboundedPreceding, 0)
     both = l_part.unionByName(r_part)
-    left_side = 0 if strict else 1
-    return (both.withColumn(out, F.last("_v", ignorenulls=True).over(w))
-            .where(F.col("_side") == left_side)
+    order = ["_k", "_side", "_v"]
+    if not by:
+        # rows equal in the order are dealt on by their hash; written once, since
+        # range bounds are sampled and must be the same for both readers
+        spark = left.sparkSession
+        path = new_table_path(spark, "asof-ranges")
+        (both.repartitionByRange(*order, F.xxhash64(*lcols))
+         .withColumn("_range", F.spark_partition_id()).write.parquet(path))
+        both = spark.read.parquet(path)
+        last = both.groupBy("_range").agg(
+            F.max(F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last"))
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.select("_range", F.last("_last", ignorenulls=True).over(before)["_v"].alias("_carried"))
+        # one row per range: bounded by the shuffle partitions
+        both = both.join(F.broadcast(carried), "_range")
+    w = Window.partitionBy(*(by or ["_range"])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("_v", ignorenulls=True).over(w)
+    return (both.withColumn(out, found if by else F.coalesce(found, "_carried"))
+            .where(F.col("_side") == (0 if strict else 1))
             .select(*lcols, out))
 
 

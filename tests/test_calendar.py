@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quotecraft.operators import calendar as C
@@ -48,6 +50,27 @@ def test_asof_backward_by_key(spark):
     assert loose[("a", 5)] == 50
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_asof_backward_without_groups(spark, strict):
+    """Against brute force over many ranges: hot keys, ties, nulls, no match."""
+    rng = random.Random(7)
+    left = [(i, rng.choice([None, 500, *range(0, 1000, 3)])) for i in range(600)] + [(1000 + i, 500) for i in range(300)]
+    right = [(rng.choice([500, *range(-5, 990, 7)]), rng.choice([None, *range(50)])) for _ in range(400)] + [(None, 99)]
+    a = spark.createDataFrame(left, "id int, t int").repartition(8)
+    b = spark.createDataFrame(right, "rt int, v int").repartition(8)
+    got = {r.id: r.v for r in C.asof_backward(a, b, "t", "rt", "v", "v", strict=strict).collect()}
+    held = [(k, v) for k, v in right if k is not None and v is not None]
+    want = {i: max(((k, v) for k, v in held if t is not None and (k < t or (k == t and not strict))),
+                   default=(0, None))[1] for i, t in left}
+    assert got == want
+
+
+def test_asof_backward_empty_sides(spark):
+    a, b = spark.createDataFrame([(1,)], "t int"), spark.createDataFrame([(0, 5)], "rt int, v int")
+    assert C.asof_backward(a.limit(0), b, "t", "rt", "v", "v").collect() == []
+    assert [tuple(r) for r in C.asof_backward(a, b.limit(0), "t", "rt", "v", "v").collect()] == [(1, None)]
+
+
 def test_update_from_keeps_unmatched(spark):
     t = spark.createDataFrame([(1, "x"), (2, "y")], "id int, c string")
     s = spark.createDataFrame([(2, None)], "id int, c string")
