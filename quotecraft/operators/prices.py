@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from ..params import MAX_GAP, REASON_MISSING, StudyWindow
 
+#: series of one wide table: each block of columns is planned and written on its own
+WIDE_BLOCK = 1000
+
 
 def in_window(df: DataFrame, start: str, end: str, date_col: str = "date") -> DataFrame:
     """FLT-02: inclusive BETWEEN on a date column (pushed to the parquet scan)."""
@@ -179,6 +182,47 @@ def pivot_wide(long: DataFrame, symbols: Sequence[str], value: str, index: str =
     return long.groupBy(index).pivot(key, list(symbols)).agg(F.avg(value))
 
 
+def kept_series(long: DataFrame, key: str = "symbol") -> list[str]:
+    """The symbols of ``long`` in order: the columns of its whole wide form.
+
+    A wide table names its columns in the plan, so this list is the one thing
+    that comes to the driver; it grows with the series, not with the rows.
+    """
+    names = long.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key)
+    return [r[0] for r in names.collect()]
+
+
+def wide_blocks(long: DataFrame, value: str, index: str = "date", key: str = "symbol",
+                block: int = WIDE_BLOCK) -> list[DataFrame]:
+    """TS-03 with every series: the wide table cut into blocks of ``block`` columns.
+
+    Each block holds every date of ``long`` and reads only its own range of
+    symbols.  An empty ``long`` has no block.
+    """
+    names = kept_series(long, key)
+    dates = long.select(index).distinct()
+    out = []
+    for at in range(0, len(names), block):
+        mine = names[at:at + block]
+        wide = pivot_wide(long.where(F.col(key).between(mine[0], mine[-1])), mine, value, index, key)
+        out.append(dates.join(wide, index, "left"))
+    return out
+
+
+def wide_to_long(wide: DataFrame, value: str, index: str = "date", key: str = "symbol") -> DataFrame:
+    """Undo the pivot: one row per cell, empty cells as NULL."""
+    cells = ["`" + c.replace("`", "``") + "`" for c in wide.columns if c != index]
+    return wide.unpivot([index], cells, key, value)
+
+
+def wide_cells(long: DataFrame, value: str) -> DataFrame:
+    """Every cell (date, symbol, ``value``) of the whole wide table, pivoted block by block."""
+    cells = long.select("date", "symbol", value).limit(0)
+    for wide in wide_blocks(long, value):
+        cells = cells.unionByName(wide_to_long(wide, value))
+    return cells
+
+
 def month_end_rows(prices: DataFrame, cal: DataFrame) -> DataFrame:
     """TS-06: price rows on month-end trading days (calendar eom = 1)."""
     eom = cal.where((F.col("trading") == 1) & (F.col("eom") == 1)).select("date")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..operators import calendar as cal_ops
 from ..operators import performance as pf
 from ..operators import portfolio as pt
-from ..operators.prices import pivot_wide
+from ..operators.prices import pivot_wide, wide_blocks
 from ..params import BENCHMARK, COMPLETENESS, REF_INNER, SCALE_DAILY, StudyWindow
 from ..sources import exports, loaders
 from ..sources.refresh import refreshed_study_views
@@ -65,11 +65,11 @@ def run(study: Study, out: str, tickers: list[str] | None = None, scale: int = S
 
     eod_ret = study.eod_ret_stored                     # written once, read by every analysis
     put("eod_ret", eod_ret)
-    # wide CSV as the script writes it: every kept series a column (Spark lists
-    # the distinct symbols itself when no ticker list is given)
-    wide = pivot_wide(eod_ret, tickers, "ret") if tickers else \
-        eod_ret.groupBy("date").pivot("symbol").agg(F.avg("ret"))
-    put("eod_ret_wide", wide, csv=True)
+    # wide CSV as the script writes it: every kept series a column, in further
+    # tables (eod_ret_wide_2, ...) above WIDE_BLOCK columns
+    blocks = [pivot_wide(eod_ret, tickers, "ret")] if tickers else wide_blocks(eod_ret, "ret")
+    for k, wide in enumerate(blocks, 1):
+        put("eod_ret_wide" if k == 1 else f"eod_ret_wide_{k}", wide, csv=True)
     ra = eod_ret if tickers is None else eod_ret.where(F.col("symbol").isin(tickers))
     rb = eod_ret.where(F.col("symbol") == BENCHMARK)
     put("stats", pf.stats_table(ra, places=None))

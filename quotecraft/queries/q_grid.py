@@ -167,6 +167,25 @@ def src_19_wide_csv(spark, d):
     return exports.wide_csv_round_trip(spark, L(spark, d).eod_ret, WIDE)
 
 
+def _cells_sql(src: str) -> str:
+    """Every cell of the whole wide table, empty ones as NULL."""
+    return f"""
+    SELECT d.date, s.symbol, r.ret
+    FROM (SELECT DISTINCT date FROM {src}) d CROSS JOIN (SELECT DISTINCT symbol FROM {src}) s
+    LEFT JOIN (SELECT date, symbol, avg(ret) AS ret FROM {src} GROUP BY date, symbol) r
+      ON r.date = d.date AND r.symbol = s.symbol"""
+
+
+@query("ts_03_wide_all_series", _cells_sql("eod_ret_l"))
+def ts_03_wide_all_series(spark, d):
+    return px.wide_cells(L(spark, d).eod_ret, "ret")
+
+
+@query("src_19_wide_csv_all_series", _cells_sql("eod_ret_l"))
+def src_19_wide_csv_all_series(spark, d):
+    return exports.wide_csv_all_series(spark, L(spark, d).eod_ret)
+
+
 @query("scl_09_date_index", """
 SELECT DISTINCT strftime(date, '%Y-%m-%d') AS row_name, CAST(strftime(date, '%Y-%m-%d') AS DATE) AS date
 FROM eod_ret_s""")
@@ -199,3 +218,8 @@ def ts_07_monthly_completeness_r(spark, d):
 @query("ts_07_monthly_pivot", _wide_sql("eod_ret_lm"))
 def ts_07_monthly_pivot(spark, d):
     return px.pivot_wide(L(spark, d).eom_ret, WIDE, "ret")
+
+
+@query("ts_07_monthly_wide_all_series", _cells_sql("eod_ret_lm"))
+def ts_07_monthly_wide_all_series(spark, d):
+    return px.wide_cells(L(spark, d).eom_ret, "ret")

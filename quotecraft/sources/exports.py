@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.prices import in_window, pivot_wide
+from ..operators.prices import in_window, pivot_wide, wide_blocks, wide_to_long
 from ..params import StudyWindow
 from ..session import new_table_path
 from . import loaders
@@ -57,3 +57,13 @@ def wide_csv_round_trip(spark: SparkSession, long: DataFrame, symbols: Sequence[
     """SRC-19: pivot to date x symbol (TS-03), write CSV, read it back."""
     wide = pivot_wide(long, symbols, value)
     return export_round_trip(spark, wide, name)
+
+
+def wide_csv_all_series(spark: SparkSession, long: DataFrame, value: str = "ret",
+                        name: str = "eod_ret") -> DataFrame:
+    """SRC-19 with every series: one wide CSV per block of columns, read back
+    as one row per cell (date, symbol, ``value``)."""
+    cells = long.select("date", "symbol", value).limit(0)
+    for wide in wide_blocks(long, value):
+        cells = cells.unionByName(wide_to_long(export_round_trip(spark, wide, name), value))
+    return cells

@@ -82,3 +82,20 @@ def test_price_grid_no_cross_join(spark):
     assert g.count() == 2 * 7                           # 7 trading days x 2 symbols
     assert g.where("symbol = 'a' AND date = DATE'2024-01-02'").first().px == 2.0
     assert "CartesianProduct" not in g._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_blocks_hold_every_series(spark):
+    """Blocks of two columns: all dates in each, no cell lost, odd names, repeated cells averaged."""
+    days = [D(2024, 1, k) for k in (2, 3, 4)]
+    rows = [("a", days[0], 1.0), ("a", days[0], 3.0), ("b.c", days[1], 2.0), ("d`e", days[2], None), ("f", days[2], 4.0),
+            ("g", days[0], 5.0), (None, days[1], 9.0)]
+    long = spark.createDataFrame(rows, "symbol string, date date, ret double")
+    blocks = P.wide_blocks(long, "ret", block=2)
+    assert [b.columns[1:] for b in blocks] == [["a", "b.c"], ["d`e", "f"], ["g"]]
+    assert [b.count() for b in blocks] == [3, 3, 3]
+    want = {(d, s): None for d in days for s in ("a", "b.c", "d`e", "f", "g")}
+    want |= {(days[0], "a"): 2.0, (days[1], "b.c"): 2.0, (days[2], "f"): 4.0, (days[0], "g"): 5.0}
+    cells = [r for b in blocks for r in P.wide_to_long(b, "ret").collect()]
+    assert len(cells) == len(want) and {(r.date, r.symbol): r.ret for r in cells} == want
+    assert P.wide_blocks(long.limit(0), "ret") == []
+    assert P.wide_cells(long.limit(0), "ret").count() == 0
