@@ -272,6 +272,34 @@ def covariance(train_complete: DataFrame) -> DataFrame:
         .groupBy("portfolio_id").applyInPandas(_cov_frame, COV_SCHEMA)
 
 
+def optimality(train_complete: DataFrame, target: DataFrame, weights: DataFrame) -> DataFrame:
+    """How well solved weights meet their problem, per portfolio: n_assets, status,
+    sum_weights, gap (expected return against the target, over the largest mean),
+    least_weight and kkt.
+
+    At the minimum variance each asset's covariance with the portfolio is a line
+    in the asset's mean; ``kkt`` is the largest distance from the fitted line over
+    the largest covariance (for weights bounded by zero it need not vanish).  The
+    covariance with the portfolio's own return takes the place of the matrix, so
+    no pairs of assets are made.
+    """
+    held = train_complete.join(weights, ["portfolio_id", "symbol"])
+    own = held.groupBy("portfolio_id", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("_own"))
+    each = held.join(own, ["portfolio_id", "date"]).groupBy("portfolio_id", "symbol").agg(
+        F.avg("ret").alias("_mu"), F.covar_samp("ret", "_own").alias("_g"), F.max("weight").alias("_w"),
+        F.max("status").alias("_status"))
+    line = each.groupBy("portfolio_id").agg(
+        F.count(F.lit(1)).alias("n_assets"), F.max("_status").alias("status"), F.sum("_w").alias("sum_weights"),
+        F.sum(F.col("_w") * F.col("_mu")).alias("_mean"), F.max(F.abs("_mu")).alias("_top"),
+        F.min("_w").alias("least_weight"), F.regr_slope("_g", "_mu").alias("_slope"),
+        F.regr_intercept("_g", "_mu").alias("_at"), F.max(F.abs("_g")).alias("_most"))
+    off = each.join(line, "portfolio_id").groupBy("portfolio_id").agg(
+        F.max(F.abs(F.col("_g") - F.col("_at") - F.col("_slope") * F.col("_mu")) / F.col("_most")).alias("kkt"))
+    return line.join(off, "portfolio_id").join(target, "portfolio_id").select(
+        "portfolio_id", "n_assets", "status", "sum_weights",
+        (F.abs(F.col("_mean") - F.col("target")) / F.col("_top")).alias("gap"), "least_weight", "kkt")
+
+
 # --- 7-8. apply and compare ----------------------------------------------------------------
 
 def apply_weights(test: DataFrame, weights: DataFrame) -> DataFrame:

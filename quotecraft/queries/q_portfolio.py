@@ -159,6 +159,59 @@ def ptf_05_long_only_weights(spark, d):
     return P(spark, d).long_only_weights
 
 
+#: one portfolio per kept series: the series beside two fixed ones and the benchmark
+_OPT = _CTES | {
+    "opt_series": f"""
+SELECT symbol, CAST('0x' || substr(md5(symbol), 1, 15) AS BIGINT) AS portfolio_id
+FROM (SELECT DISTINCT symbol FROM eod_ret_l) s WHERE symbol NOT IN ('{A1}', '{A2}', '{BENCHMARK}')""",
+    "opt_rows": f"""
+SELECT o.portfolio_id, r.symbol, r.date, r.ret FROM opt_series o
+JOIN eod_ret_l r ON r.symbol IN (o.symbol, '{A1}', '{A2}', '{BENCHMARK}')
+WHERE r.date NOT IN (SELECT date FROM test_dates_l)""",
+    "opt_means": """
+SELECT portfolio_id, symbol, avg(ret) AS mu FROM opt_rows
+WHERE (portfolio_id, date) IN (SELECT (portfolio_id, date) FROM opt_rows GROUP BY portfolio_id, date HAVING count(ret) = 4)
+GROUP BY portfolio_id, symbol""",
+    "opt_range": """
+SELECT portfolio_id, count(*) AS n_assets, min(mu) AS lo, max(mu) AS hi, (SELECT target FROM ptf_target) AS t
+FROM opt_means GROUP BY portfolio_id""",
+}
+
+
+def _beside(st):
+    series = st.eod_ret_stored.select("symbol").distinct().where(~F.col("symbol").isin(A1, A2, BENCHMARK))
+    pid = F.conv(F.substring(F.md5("symbol"), 1, 15), 16, 10).cast("long")
+    assets = F.array(F.col("symbol"), F.lit(A1), F.lit(A2), F.lit(BENCHMARK))
+    return series.select(pid.alias("portfolio_id"), F.explode(assets).alias("symbol"))
+
+
+def _optimality(spark, d, long_only):
+    p = PortfolioStudy(L_study(spark, d), _beside, store_universe=True)
+    return pt.optimality(p.train_complete, p.target, p.long_only_weights if long_only else p.weights)
+
+
+@query("ptf_04_optimality", """
+SELECT portfolio_id, n_assets, 'optimal' AS status, CAST(1 AS DOUBLE) AS sum_weights, CAST(0 AS DOUBLE) AS gap,
+       CAST(0 AS DOUBLE) AS kkt FROM opt_range""", _OPT)
+def ptf_04_optimality(spark, d):
+    o = _optimality(spark, d, False)
+    return o.select("portfolio_id", "n_assets", "status", rnd("sum_weights", 6).alias("sum_weights"),
+                    rnd("gap", 6).alias("gap"), rnd("kkt", 5).alias("kkt"))
+
+
+@query("ptf_05_long_only_optimality", """
+SELECT portfolio_id, n_assets, CASE WHEN able THEN 'optimal' ELSE 'infeasible' END AS status,
+       CASE WHEN able THEN CAST(1 AS DOUBLE) END AS sum_weights, CASE WHEN able THEN CAST(0 AS DOUBLE) END AS gap,
+       CASE WHEN able THEN TRUE END AS not_negative
+FROM (SELECT *, t BETWEEN lo - 1e-12 AND hi + 1e-12 AS able FROM opt_range) x""", _OPT)
+def ptf_05_long_only_optimality(spark, d):
+    """Where every date is complete the target is the benchmark's own mean, an end
+    of the feasible range: hence the solver's tolerance in the oracle too."""
+    o = _optimality(spark, d, True)
+    return o.select("portfolio_id", "n_assets", "status", rnd("sum_weights", 6).alias("sum_weights"),
+                    rnd("gap", 6).alias("gap"), (F.col("least_weight") >= 0).alias("not_negative"))
+
+
 @query("ptf_04_sampled_weights")
 def ptf_04_sampled_weights(spark, d):
     return PortfolioStudy.sampled(spark, d, W_LONG, n_portfolios=200, n_assets=6,
