@@ -145,3 +145,25 @@ def test_sampled_by_pattern(spark):
     rows = queries()["ts_10_sampled_by_pattern"](spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 3 and len({r.symbol for r in rows}) == 3
     assert all(r.symbol[0] in "lL" for r in rows)
+
+
+def test_optimality_tells_wrong_weights(spark):
+    """Solved weights meet the conditions; weights moved along the budget do not."""
+    import datetime as dt
+
+    rng = np.random.default_rng(3)
+    x = rng.normal([0.001, 0.002, 0.004, 0.003], [0.01, 0.02, 0.03, 0.02], (80, 4))
+    rows = [(7, dt.date(2024, 1, 1) + dt.timedelta(days=i), s, float(x[i, j]))
+            for i in range(80) for j, s in enumerate("abcd")]
+    train = spark.createDataFrame(rows, "portfolio_id long, date date, symbol string, ret double")
+    target = spark.createDataFrame([(7, float(x.mean()))], "portfolio_id long, target double")
+    w, status = PT.min_variance(x.mean(axis=0), np.cov(x, rowvar=False), float(x.mean()))
+    frame = lambda v: spark.createDataFrame(
+        [(7, s, float(k), status) for s, k in zip("abcd", v)],
+        "portfolio_id long, symbol string, weight double, status string")
+    good = PT.optimality(train, target, frame(w)).first()
+    assert (good.n_assets, good.status) == (4, "optimal")
+    assert good.sum_weights == pytest.approx(1) and good.gap < 1e-9 and good.kkt < 1e-9
+    assert good.least_weight == pytest.approx(w.min())
+    bad = PT.optimality(train, target, frame(w + np.array([0.2, -0.2, 0.1, -0.1]))).first()
+    assert bad.sum_weights == pytest.approx(1) and bad.kkt > 1e-3
