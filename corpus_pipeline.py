@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     to the smaller hash.  Texts without words are in no component and stay;
     of rows repeated whole one stays."""
     found = store(ngram_join.ngram_components(docs), "near-duplicates")
-    winners = (found.where("n_shingles > 0").groupBy("component_id")
+    winners = (found.where("n_shingles > 0").groupBy("root")
                .agg(F.min(F.struct("doc_id", "key")).alias("w")).select(F.col("w.key").alias("_key")))
     stay = winners.unionByName(found.where("n_shingles = 0").select(F.col("key").alias("_key")))
     keyed = docs.select(*COLUMNS).withColumn("_key", F.xxhash64("doc_id", F.col("text").cast("binary")))

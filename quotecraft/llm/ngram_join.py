@@ -228,11 +228,13 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
                      percent: int = PERCENT) -> DataFrame:
-    """doc_id, key, n_shingles, component_id of every row.
+    """doc_id, key, n_shingles, component_id, root of every row.
 
     Two rows link when 100 * common n-grams >= ``percent`` * united n-grams.
     ``component_id`` is the smallest doc_id that links reach, the row's own
     included; null ids are passed over (null where a component has no other).
+    ``root`` names the component itself: two components differ in it even where
+    they share a doc_id or have none (null for texts without words).
     ``key`` is the hash of (doc_id, text).  Null and empty texts link with
     nothing; rows repeated link with each other; an empty table gives an
     empty result.
@@ -277,7 +279,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = store(classes.join(final, F.col("rep") == F.col("node"), "left").select(
         "d0", "d1", "first_id", F.coalesce("root", "rep").alias("root")), "ngram-named")
     least = store(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "ngram-least")
-    named = named.join(least, "root").select("d0", "d1", "component_id")
+    named = named.join(least, "root").select("d0", "d1", "component_id", "root")
     own = members.join(named, ["d0", "d1"], "left")
     return own.select("doc_id", "key", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                      F.when(F.col("n") > 0, F.col("root")).alias("root"))

@@ -48,3 +48,14 @@ def test_stages_on_an_empty_table(spark, no_docs):
     for _, stage in pipeline.STAGES:
         out = pipeline.store(stage(spark, out, SF), "stage")
     assert out.count() == 0
+
+
+def test_near_duplicates_keep_unrelated_texts(spark):
+    """Several null ids, and one id on two different texts: none of them is a copy."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)),
+            (8, text(6)), (9, text(6)), (None, text(2))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(None, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (8, text(6))], key=str)
