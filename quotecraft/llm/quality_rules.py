@@ -32,6 +32,10 @@ WIDTH = 5
 LEAST_GROUP = 40
 #: fence = upper quartile + FENCE * (upper quartile - median), at least the least fence
 FENCE = 6
+#: a ceiling is taken from the sources of a language, or else of the corpus, if they are at least so many
+LEAST_SOURCES = 3
+#: weight of one source in a ceiling's sketch
+VOTE = 1_000_000
 
 
 def share(num: str, den: str) -> Column:
@@ -72,19 +76,41 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
                     F.greatest(F.col("q75") + FENCE * (F.col("q75") - F.col("q50")), least).cast("long").alias("fence"))
 
 
+def ceilings(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, ceiling): the fence of sketches in which every (lang,
+    source) group of at least ``LEAST_GROUP`` documents weighs the same, so a
+    large group cannot lift it; only where ``LEAST_SOURCES`` groups vote."""
+    group = Window.partitionBy("lang", "source", "measure")
+    votes = (sketch.withColumn("_total", F.sum("n").over(group)).where(F.col("_total") >= LEAST_GROUP)
+             .withColumn("n", F.ceil(F.col("n") * VOTE / F.col("_total")).cast("long")))
+    found = fences(merge(votes, keys), keys).where(F.col("total") >= LEAST_SOURCES * VOTE)
+    return found.select(*keys, "measure", F.col("fence").alias("ceiling"))
+
+
 def thresholds(metrics: DataFrame) -> DataFrame:
     """One row per (lang, source) with a fence per measure, falling back to the
-    language's and then to the whole corpus's merged sketch for small groups."""
+    language's and then to the whole corpus's merged sketch for small groups.
+
+    No fence lies above the ceiling of its language's sources (of all sources
+    where the language has few): where a quarter or more of a group is junk,
+    its upper quartile is the junk's own value and would let all of it pass.
+    """
     fine = sketches(metrics, ["lang", "source"])
     by_lang = fences(merge(fine, ["lang"]), ["lang"]).select(
         F.col("lang").alias("_l"), F.col("measure").alias("_m"), F.col("total").alias("lang_total"),
         F.col("fence").alias("lang_fence"))
     overall = fences(merge(fine, []), []).select(F.col("measure").alias("_a"), F.col("fence").alias("all_fence"))
+    lang_top = ceilings(fine, ["lang"]).select(F.col("lang").alias("_tl"), F.col("measure").alias("_tm"),
+                                               F.col("ceiling").alias("lang_top"))
+    all_top = ceilings(fine, []).select(F.col("measure").alias("_ta"), F.col("ceiling").alias("all_top"))
     each = fences(fine, ["lang", "source"])
     joined = (each.join(by_lang, each["lang"].eqNullSafe(by_lang["_l"]) & (each["measure"] == by_lang["_m"]))
-              .join(overall, F.col("measure") == F.col("_a")))
-    chosen = (F.when(F.col("total") >= LEAST_GROUP, F.col("fence"))
-              .when(F.col("lang_total") >= LEAST_GROUP, F.col("lang_fence")).otherwise(F.col("all_fence")))
+              .join(overall, F.col("measure") == F.col("_a"))
+              .join(lang_top, each["lang"].eqNullSafe(lang_top["_tl"]) & (F.col("measure") == F.col("_tm")), "left")
+              .join(all_top, F.col("measure") == F.col("_ta"), "left"))
+    own = (F.when(F.col("total") >= LEAST_GROUP, F.col("fence"))
+           .when(F.col("lang_total") >= LEAST_GROUP, F.col("lang_fence")).otherwise(F.col("all_fence")))
+    chosen = F.least(own, F.coalesce("lang_top", "all_top"))      # a null ceiling bounds nothing
     return (joined.groupBy("lang", "source")
             .agg(*[F.max(F.when(F.col("measure") == m, chosen)).alias(f"max_{m}") for m in MEASURES]))
 

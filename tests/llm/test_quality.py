@@ -72,3 +72,21 @@ def test_pairs_learn_what_single_features_cannot():
     y = (x[:, 0] * x[:, 1] > 0).astype(float)
     model = quality_gam.fit(x[:3000], y[:3000])
     assert (1, 0) in model.pairs and np.mean((model.score(x[3000:]) > 0.5) == y[3000:]) > 0.85
+
+
+def test_a_bad_source_does_not_lift_its_own_fence(spark):
+    """One source with 60 % junk that holds most rows, beside three clean ones
+    of its language and a language that has this source only."""
+    rng = np.random.default_rng(5)
+    rows, junk = [], set()
+    for lang, source, n, bad in (("en", "s1", 60, 0), ("en", "s2", 60, 0), ("en", "s3", 60, 0),
+                                 ("en", "hot", 400, 60), ("de", "hot", 100, 30)):
+        for k in range(n):
+            words = [f"w{x}x" for x in rng.integers(0, 5000, 80)]
+            if 100 * k < bad * n:
+                words = [w + "#" if i % 2 else w for i, w in enumerate(words)]
+                junk.add(len(rows))
+            rows.append((len(rows), " ".join(words), lang, source))
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept} == junk
