@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotecraft.llm import mixing, ngram_join, packing, quality_gam, substring_dedup
-from quotecraft.llm.common import load, store
+from quotecraft.llm.common import load, store, stored_order
 
+#: target weight per source; None: the square root of its rows
+WEIGHTS: dict[str, float] | None = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -47,12 +49,14 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the source mix (weight: square root of a source's rows)."""
-    return mixing.mixed(docs.select(*COLUMNS))
+    return mixing.mixed(docs.select(*COLUMNS), WEIGHTS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in the packed sequences."""
-    return packing.pack(docs)
+    """Pieces of all documents, with token ids and the document's place in the
+    mix, and their place in the packed sequences.  The mix is the order in which
+    the stage before stored its rows; sequences are made and numbered along it."""
+    return packing.pack(stored_order(docs, "mix_place"), keep_ids=True, order_col="mix_place")
 
 
 STAGES = [

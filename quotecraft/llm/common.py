@@ -104,6 +104,23 @@ def block_count(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
     return max(1, math.ceil(total / block_bytes), math.ceil(row["n"] / 200_000)), total
 
 
+def stored_order(df: DataFrame, out: str) -> DataFrame:
+    """``df``, as read back from :func:`store`, with ``out``: 0, 1, 2, ... in
+    the order in which its rows were written."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    # part-<task>-<id>-c<file of the task>: digits beyond five make names that do not sort as text
+    keyed = df.withColumns({"_task": F.regexp_extract(name, r"^part-(\d+)", 1).cast("long"),
+                            "_file": F.regexp_extract(name, r"-c(\d+)\.", 1).try_cast("long"),
+                            "_at": F.col("_metadata.row_index")})
+    # one row per file
+    sizes = keyed.groupBy("_task", "_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_task", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col("_task").alias("_t"), F.col("_file").alias("_f"),
+                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    return (keyed.join(F.broadcast(shift), (F.col("_task") == F.col("_t")) & F.col("_file").eqNullSafe(F.col("_f")))
+            .withColumn(out, F.col("_shift") + F.col("_at")).select(*df.columns, out))
+
+
 def number_rows(df: DataFrame, key: str, order: str, out: str, rows: int,
                 per_bucket: int = 50_000) -> DataFrame:
     """``df`` with ``out``: 0, 1, 2, ... without gaps inside each ``key``.

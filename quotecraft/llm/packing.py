@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import from_text, number_rows, store, to_text
@@ -26,6 +26,8 @@ CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k"
 #: pre-tokens remembered by one task
 REMEMBER = 500_000
+#: documents of one plan where the order of documents counts
+SEGMENT = 16_384
 
 Pattern = tuple[tuple[int, int], ...]      # ((length, how many), ...)
 Plan = list[tuple[Pattern, int]]           # (pattern, how many bins)
@@ -76,8 +78,8 @@ class PieceIds(dict):
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-                 vocabulary: str = VOCABULARY, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ``ids``) of every piece.
+                 vocabulary: str = VOCABULARY, keep_ids: bool = False, order_col: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ``ids``, ``order_col``) of every piece.
 
     A document is its token ids and a closing 0.  Longer ones are cut into
     pieces of ``capacity``; the first piece takes the remainder.
@@ -86,7 +88,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         book = PieceIds(vocabulary)
         for pdf in batches:
             out: dict[str, list] = {k: [] for k in names}
-            for doc, text in zip(pdf["doc_id"], pdf["_text"], strict=True):
+            for doc, text, order in zip(pdf["doc_id"], pdf["_text"], pdf[order_col] if order_col else pdf["doc_id"], strict=True):
                 ids = (book.encode(text) if isinstance(text, str) else b"") + b"\0\0\0\0"
                 n = len(ids) // 4
                 at, k = 0, 0
@@ -97,12 +99,15 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         out[name].append(v)
                     if keep_ids:
                         out["ids"].append(np.frombuffer(part, dtype="<u4").astype("int32"))
+                    if order_col:
+                        out[order_col].append(order)
                     at, k = at + size, k + 1
             yield pd.DataFrame(out)
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    schema = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids + [order_col] * bool(order_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *[order_col] * bool(order_col))
+    schema = ("doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
+              + f", `{order_col}` bigint" * bool(order_col))
     return from_text(to_text(rows, ["doc_id"]).mapInPandas(cut, schema), rows, ["doc_id"])
 
 
@@ -307,11 +312,58 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return from_text(ranked.mapInPandas(look_up, schema), pieces, ["doc_id"])
 
 
+def place_in_order(pieces: DataFrame, order_col: str, capacity: int = CAPACITY) -> DataFrame:
+    """:func:`place` along an order: ``order_col`` numbers the documents from 0.
+
+    Every ``SEGMENT`` documents that follow each other have a plan of their
+    own, and their sequences follow those of the segment before, so the order
+    holds from segment to segment whatever lengths a source has.  Inside a
+    segment the pieces of a length are taken in order and sequences go by the
+    mean place of their tokens.
+    """
+    segment = SEGMENT
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([order_col, "piece"], kind="stable").reset_index(drop=True)
+        length = pdf["length"].to_numpy()
+        if length.max() > capacity:
+            raise ValueError("a piece is longer than a sequence")
+        table = intervals(bin_completion({int(k): int(n) for k, n in pdf["length"].value_counts().sort_index().items()}, capacity))
+        rank = pdf.groupby("length").cumcount().to_numpy()
+        seq, offset = np.empty(len(pdf), dtype="int64"), np.empty(len(pdf), dtype="int64")
+        for x, mine in table.groupby("length"):
+            mine = mine.sort_values("first", kind="stable")
+            at = np.flatnonzero(length == x)
+            row = np.searchsorted(mine["first"].to_numpy(), rank[at], side="right") - 1
+            k, each = rank[at] - mine["first"].to_numpy()[row], mine["each"].to_numpy()[row]
+            seq[at] = mine["sequence"].to_numpy()[row] + k // each
+            offset[at] = mine["offset"].to_numpy()[row] + k % each * x
+        n = seq.max() + 1
+        mean = (np.bincount(seq, length * (pdf[order_col].to_numpy() % segment), n) / np.bincount(seq, length, n))
+        number = np.empty(n, dtype="int64")
+        number[np.argsort(mean, kind="stable")] = np.arange(n)
+        return pd.DataFrame({"_segment": pdf["_segment"], order_col: pdf[order_col], "piece": pdf["piece"],
+                             "_number": number[seq], "offset": offset})
+
+    # ids and texts stay out of the groups: a piece is known by its document's number and its own
+    narrow = pieces.select(F.expr(f"`{order_col}` div {segment}").alias("_segment"), order_col, "piece", "length")
+    placed = store(narrow.groupBy("_segment").applyInPandas(
+        plan, f"_segment bigint, `{order_col}` bigint, piece int, _number bigint, offset bigint"), "placed")
+    # one row per segment
+    sizes = placed.groupBy("_segment").agg((F.max("_number") + 1).alias("_n"))
+    before = Window.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_segment", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    placed = placed.join(shift, "_segment").select(
+        order_col, "piece", (F.col("_shift") + F.col("_number")).alias("sequence_id"), "offset")
+    return pieces.join(placed, [order_col, "piece"]).select(*pieces.columns, "sequence_id", "offset")
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-         vocabulary: str = VOCABULARY, keep_ids: bool = False) -> DataFrame:
+         vocabulary: str = VOCABULARY, keep_ids: bool = False, order_col: str | None = None) -> DataFrame:
     """Pack all documents; one row per piece with its place.
 
-    A null or empty text is its closing 0 alone; repeated rows are packed
+    ``order_col``: see :func:`place_in_order`; it stays in the result.  A null or empty text is its closing 0 alone; repeated rows are packed
     each; an empty table gives an empty result.
     """
-    return place(store(token_pieces(docs, id_col, text_col, capacity, vocabulary, keep_ids), "pieces"), capacity)
+    pieces = store(token_pieces(docs, id_col, text_col, capacity, vocabulary, keep_ids, order_col), "pieces")
+    return place_in_order(pieces, order_col, capacity) if order_col else place(pieces, capacity)
