@@ -5,10 +5,11 @@ start at slot floor(i / w) and is due at slot ceil((i + 1) / w); at every slot
 the released block due earliest is taken.  Any prefix of the mix then holds
 less than one block more or less of each source than its weight asks for.
 
-Weights are rounded to multiples of 1 / period, so the schedule repeats after
-``period`` slots and one period is worked out once.  When a source is used up
-its weight is shared out among the others and the next phase begins, so every
-document has a place: nothing is dropped or repeated.
+Weights are multiples of 1 / UNIT, so rounding shifts no block before some 10^12
+of them, and every block is scheduled by itself.  When a source is used up its
+weight is shared out among the others and the next phase begins, so every
+document has a place: nothing is dropped or repeated.  The driver works out one
+entry a block, a few numbers for ``BLOCK_ROWS`` documents.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import heapq
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +27,8 @@ BLOCK_ROWS = 32
 #: rows of one numbering bucket, about: few, since they may carry whole documents,
 #: and the same with and without, since buckets decide the order inside a source
 NUMBERED = 2_000
-PERIOD = 1000
-#: most sources one mix takes: the schedule table has sources x period rows at most
-MAX_SOURCES = 2000
+#: weights are whole multiples of one part in so many
+UNIT = 1 << 40
 #: a null source is a source of its own under this name
 NO_SOURCE = "\x00null"
 
@@ -48,55 +48,45 @@ def whole_weights(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def one_period(blocks: dict[str, int], period: int) -> dict[str, list[int]]:
-    """Slot of each block of one period, earliest deadline first among the released."""
-    waiting = sorted(((i * period // n, -(-(i + 1) * period // n), s, i) for s, n in blocks.items() for i in range(n)))
-    slots: dict[str, list[int]] = {s: [0] * n for s, n in blocks.items()}
-    ready: list[tuple[int, str, int]] = []
-    at = 0
-    for slot in range(period):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            _, due, s, i = waiting[at]
-            heapq.heappush(ready, (due, s, i))
-            at += 1
-        due, s, i = heapq.heappop(ready)
-        slots[s][i] = slot
-    return slots
-
-
-def phases(sizes: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> pd.DataFrame:
-    """Rows (source, first_block, per_period, step, slots of one period, ...).
-
-    ``sizes``: blocks per source.  Each phase lasts until its first source is
-    used up.  A row says: block b of ``source`` with first <= b < first + n has
-    slot ``base + k // per_period * period + offsets[k % per_period]``,
-    k = b - first.
+def phases(sizes: dict[str, int], weights: dict[str, float]) -> dict[str, list]:
+    """Columns of one row per block: source, block, phase, weight, release,
+    deadline and slot, the last three counted over the whole mix.
+
+    ``sizes``: blocks per source.  At every slot the released block due earliest
+    is taken (ties to the smaller name); a phase lasts until its first source is
+    used up.  A source's next block is due later, so one block each is waiting.
     """
-    left, done, base, rows, phase = dict(sizes), dict.fromkeys(sizes, 0), 0, [], 0
-    left = {s: n for s, n in left.items() if n}
+    left, done, base, phase = {s: n for s, n in sizes.items() if n}, dict.fromkeys(sizes, 0), 0, 0
+    out: dict[str, list] = {c: [] for c in ("_key", "block", "phase", "weight", "release", "deadline", "slot")}
     while left:
-        span = max(period, len(left))
-        per = whole_weights({s: weights[s] for s in left}, span)
-        slots = one_period(per, span)
-        # slot at which each source gives its last block; the first of them ends the phase
-        ends = {s: (n - 1) // per[s] * span + slots[s][(n - 1) % per[s]] for s, n in left.items()}
-        end = min(ends.values()) + 1
-        whole, part = divmod(end, span)
-        for s in list(left):
-            n = whole * per[s] + sum(x < part for x in slots[s])
-            if n:
-                rows.append((phase, s, done[s], n, base, per[s], span, slots[s]))
+        per = whole_weights({s: weights[s] for s in left}, UNIT)
+        taken, slot = dict.fromkeys(left, 0), 0
+        ready = [(-(-UNIT // w), s) for s, w in per.items()]
+        heapq.heapify(ready)
+        waiting: list[tuple[int, int, str]] = []
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                heapq.heappush(ready, heapq.heappop(waiting)[1:])
+            due, s = heapq.heappop(ready)
+            i, w = taken[s], per[s]
+            for c, v in zip(out, (s, done[s] + i, phase, w / UNIT, base + i * UNIT // w, base + due, base + slot), strict=True):
+                out[c].append(v)
+            taken[s], slot = i + 1, slot + 1
+            if i + 1 == left[s]:
+                break
+            heapq.heappush(waiting, ((i + 1) * UNIT // w, -(-(i + 2) * UNIT // w), s))
+        for s, n in taken.items():
             done[s] += n
             left[s] -= n
             if not left[s]:
                 del left[s]
-        base, phase = base + end, phase + 1
-    return pd.DataFrame(rows, columns=["phase", "source", "first", "n", "base", "per_period", "period", "offsets"])
+        base, phase = base + slot, phase + 1
+    return out
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",
              source_col: str = "source", block_rows: int = BLOCK_ROWS, power: float = 0.5,
-             period: int = PERIOD, carry: bool = False) -> DataFrame:
+             carry: bool = False) -> DataFrame:
     """doc_id, source, block, phase, weight, release, deadline, slot, place of every row.
 
     ``weights``: target weight per source (a null source under ``NO_SOURCE``);
@@ -111,32 +101,21 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: s
                        *([F.struct(*[docs[c] for c in docs.columns]).alias("doc")] if carry else []))
     rows = rows.withColumn("_order", F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id")))
     extra = ["doc"] if carry else []
-    sizes = {r["_key"]: int(r["n"]) for r in rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy("_key").limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = {r["_key"]: int(r["n"]) for r in rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).orderBy("_key").collect()}
     given = weights or {}
     target = {s: float(given.get(s, n ** power)) for s, n in sizes.items()}
     if any(w <= 0 for w in target.values()):
         raise ValueError("weights are positive")
-    plan = phases({s: math.ceil(n / block_rows) for s, n in sizes.items()}, target, period)
-    spark = docs.sparkSession
-    table = spark.createDataFrame(
-        [(int(r.phase), r.source, int(r.first), int(r.first + r.n), int(r.base), int(r.per_period), int(r.period),
-          [int(x) for x in r.offsets]) for r in plan.itertuples()],
-        "phase int, _key string, _first long, _end long, _base long, _per long, _span long, _offsets array<int>")
+    plan = phases({s: math.ceil(n / block_rows) for s, n in sizes.items()}, target)
+    kinds = pa.schema([("_key", pa.string()), ("block", pa.int64()), ("phase", pa.int32()), ("weight", pa.float64()),
+                       ("release", pa.int64()), ("deadline", pa.int64()), ("slot", pa.int64())])
+    table = docs.sparkSession.createDataFrame(pa.table(plan, schema=kinds))
     numbered = number_rows(rows, "_key", "_order", "_n", sum(sizes.values()), NUMBERED).drop("_order")
     numbered = numbered.withColumn("block", (F.col("_n") / block_rows).cast("long"))
-    # at most (phases x sources) rows, both up to MAX_SOURCES: bounded by the sources, not by the rows
-    joined = numbered.join(F.broadcast(table), "_key").where((F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end")))
-    k = F.col("block") - F.col("_first")
-    slot = F.col("_base") + F.expr("(block - _first) div _per") * F.col("_span") + \
-        F.element_at("_offsets", (F.pmod(k, F.col("_per")) + 1).cast("int"))
-    return joined.select(
-        "doc_id", "source", "block", "phase", (F.col("_per") / F.col("_span")).alias("weight"),
-        (F.col("_base") + F.expr("((block - _first) * _span) div _per")).alias("release"),
-        (F.col("_base") + F.expr("((block - _first + 1) * _span + _per - 1) div _per")).alias("deadline"),
-        slot.alias("slot"), F.pmod(F.col("_n"), F.lit(block_rows)).cast("int").alias("place"), *extra)
+    # one row per block: the planner broadcasts a small table, and no key has more than block_rows rows
+    return numbered.join(table, ["_key", "block"]).select(
+        "doc_id", "source", "block", "phase", "weight", "release", "deadline", "slot",
+        F.pmod(F.col("_n"), F.lit(block_rows)).cast("int").alias("place"), *extra)
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",

@@ -111,3 +111,22 @@ def test_shards_are_even_and_keep_groups(spark):
         of[r.digest].add(r.shard)
     assert max(size.values()) < 1.03 * min(size.values()) and max(count.values()) < 1.05 * min(count.values())
     assert sum(len(s) > 1 for s in of.values()) == 1      # only the group with a third of all rows is cut
+
+
+@pytest.mark.parametrize("weights, sizes", [
+    ({"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 2500, "b": 2500, "c": 2500}),
+    ({"a": 0.9999, "tiny": 0.0001}, {"a": 6000, "tiny": 50}),
+])
+def test_mix_stays_within_one_block_of_the_given_weights(spark, weights, sizes):
+    docs = spark.createDataFrame([(f"{s}{k}", s) for s, n in sizes.items() for k in range(n)], "doc_id string, source string")
+    rows = sorted((r for r in mixing.schedule(docs, weights, block_rows=1).collect() if r.phase == 0), key=lambda r: r.slot)
+    assert len(rows) > 5000
+    total, held = sum(weights.values()), defaultdict(int)
+    for t, r in enumerate(rows, 1):
+        held[r.source] += 1
+        assert all(abs(held[s] - t * w / total) < 1 for s, w in weights.items())
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.range(4400).selectExpr("id as doc_id", "concat('s', id % 2200) as source")
+    assert sorted(r.slot for r in mixing.schedule(docs).collect() if r.place == 0) == list(range(2200))
