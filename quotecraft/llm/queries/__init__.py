@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-for _m in ("filters", "scans", "joins", "layout"):
+for _m in ("filters", "scans", "joins", "layout", "corpus"):
     importlib.import_module(f"{__name__}.{_m}")
 
 
