@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, store
+from .common import _A, mix64, store
 from .sketch import pack_sorted
 
 #: bytes of text that a block aims at
@@ -57,12 +57,13 @@ def pack_columns(cols: list[np.ndarray]) -> bytes:
     return b"".join(out)
 
 
-def unpack_columns(raw: bytes, n_cols: int, rows: int) -> list[np.ndarray]:
+def unpack_columns(raw: bytes, n_cols: int, rows: int | list[int]) -> list[np.ndarray]:
+    """``n_cols`` columns of ``rows`` entries (a list: of each column)."""
     out, at = [], 0
-    for _ in range(n_cols):
+    for n in [rows] * n_cols if isinstance(rows, int) else rows:
         kind = "<u" + chr(raw[at])
-        out.append(np.frombuffer(raw, dtype=kind, count=rows, offset=at + 1))
-        at += 1 + rows * int(kind[2])
+        out.append(np.frombuffer(raw, dtype=kind, count=n, offset=at + 1))
+        at += 1 + n * int(kind[2])
     return out
 
 
@@ -77,6 +78,18 @@ def keys_of(high: bytes, low: bytes) -> np.ndarray:
     return (_sorted_part(high) << np.uint64(32)) | np.frombuffer(low, dtype="<u4").astype(np.uint64)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct ``keys``, a place of each, and which of them each place holds."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    which = np.empty(len(keys), dtype=np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return ordered[first], order[first], which
+
+
 # ---------------------------------------------------------------- blocks
 
 def table_bytes(table: pa.Table) -> bytes:
@@ -183,19 +196,34 @@ def answer_columns(answers: pd.DataFrame, n_cols: int, own: bool = False) -> lis
     parts: list[list[np.ndarray]] = [[] for _ in range(n_cols)]
     flags = []
     for raw, mine in zip(answers["cols"], answers["own"], strict=True):
-        rows, bits = int.from_bytes(mine[:4], "little"), mine[4:]
-        for p, c in zip(parts, unpack_columns(raw, n_cols, rows), strict=True):
-            p.append(c.astype(np.int64))
+        rows, kinds, bits = int.from_bytes(mine[:4], "little"), int.from_bytes(mine[4:8], "little"), mine[8:]
+        code, *table = unpack_columns(raw, 1 + n_cols, [rows] + [kinds] * n_cols)
+        for p, c in zip(parts, table, strict=True):
+            p.append(c.astype(np.int64)[code])
         if own:
             flags.append(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=rows).astype(bool))
     out = [np.concatenate(p) if p else np.empty(0, dtype=np.int64) for p in parts]
     return [*out, np.concatenate(flags) if flags else np.empty(0, dtype=bool)] if own else out
 
 
-def answer_row(block: int, shard: int, cols: list[np.ndarray], own: np.ndarray | None = None) -> tuple:
-    rows = len(cols[0])
-    return (block, shard, rows.to_bytes(4, "little") + (np.packbits(own).tobytes() if own is not None else b""),
-            pack_columns(cols), None)
+def coded(cols: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(code per row, columns of the different rows); frequent rows get small codes."""
+    tag = np.zeros(len(cols[0]), dtype=np.uint64)
+    for c in cols:
+        tag = mix64(tag * _A + c.astype(np.uint64))
+    _, first, which = distinct(tag)
+    rank = np.empty(len(first), dtype=np.int64)
+    by = np.argsort(-np.bincount(which, minlength=len(first)), kind="stable")
+    rank[by] = np.arange(len(first))
+    return rank[which], [c[first[by]] for c in cols]
+
+
+def answer_row(block: int, shard: int, code: np.ndarray, table: list[np.ndarray], own: np.ndarray | None = None) -> tuple:
+    """One row of ``ANSWER``: each key's code, and the rows of ``table`` that some key has."""
+    seen, _, mine = distinct(code)
+    head = len(code).to_bytes(4, "little") + len(seen).to_bytes(4, "little")
+    return (block, shard, head + (np.packbits(own).tobytes() if own is not None else b""),
+            pack_columns([mine, *(c[seen] for c in table)]), None)
 
 
 def answer_frame(rows: list[tuple]) -> pd.DataFrame:
@@ -218,22 +246,17 @@ def merge_shards(messages: DataFrame, n_cols: int,
         sizes = [len(p) for p in parts]
         keys = np.concatenate(parts)
         del parts
-        order = np.argsort(keys, kind="stable")
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = keys[order][1:] != keys[order][:-1]
-        first = np.flatnonzero(new)
-        which = np.empty(len(keys), dtype=np.int64)
-        which[order] = np.cumsum(new) - 1
+        keys, one, which = distinct(keys)
         unpacked = [unpack_columns(raw, n_cols, n) for raw, n in zip(pdf["cols"], sizes, strict=True)]
-        sums = [np.add.reduceat(np.concatenate([u[c].astype(np.int64) for u in unpacked])[order], first)
-                for c in range(n_cols)]
-        back, stats = finish(shard, keys[order[first]], sums)
-        own = np.zeros(len(keys), dtype=bool)
-        own[order[first]] = True
+        # sums of integers, exact as floats up to 2**53
+        sums = [np.bincount(which, np.concatenate([u[c] for u in unpacked]), len(keys)).astype(np.int64) for c in range(n_cols)]
+        back, stats = finish(shard, keys, sums)
+        own = np.zeros(len(which), dtype=bool)
+        own[one] = True
         out, at = [(None, shard, None, None, stats)], 0
+        code, table = coded(back)
         for block, n in zip(pdf["block"], sizes, strict=True):
-            mine = which[at:at + n]
-            out.append(answer_row(int(block), shard, [c[mine] for c in back], own[at:at + n]))
+            out.append(answer_row(int(block), shard, code[which[at:at + n]], table, own[at:at + n]))
             at += n
         return answer_frame(out)
 
@@ -246,6 +269,6 @@ def sum_stats(answers: DataFrame, n: int) -> list[int]:
     return [int(v or 0) for v in row]
 
 
-__all__ = ["stored_blocks", "Shards", "merge_shards", "answer_columns", "answer_row", "answer_frame", "message_frame",
+__all__ = ["stored_blocks", "Shards", "merge_shards", "answer_columns", "answer_row", "answer_frame", "message_frame", "distinct", "coded",
            "keys_of", "pack_columns", "unpack_columns", "sum_stats", "table_of", "table_bytes", "unmix64", "mix64",
            "MESSAGE", "ANSWER"]

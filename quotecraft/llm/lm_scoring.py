@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 from ..session import local_path, new_table_path
 from ..sources.tables import drop
 from .common import _A, mix64, store
-from .exchange import (ANSWER, MESSAGE, Shards, answer_columns, answer_frame, answer_row, keys_of, merge_shards,
-                       message_frame, pack_columns, stored_blocks, sum_stats, table_of, unpack_columns)
+from .exchange import (ANSWER, MESSAGE, Shards, answer_columns, answer_frame, answer_row, coded, distinct, keys_of,
+                       merge_shards, message_frame, pack_columns, stored_blocks, sum_stats, table_of, unpack_columns)
 
 ORDER = 3
 #: bits of an n-gram's hash that count inside its shard, from order 2 on; words keep all 64
@@ -100,12 +101,9 @@ def _file(path: str, order: int, shard: int) -> str:
 
 def shard_arrays(keys: np.ndarray, cols: list[np.ndarray], narrow: bool) -> dict[str, np.ndarray]:
     """Sorted hash array and, per hash, a row of a table of the different figures."""
-    tag = np.zeros(len(keys), dtype=np.uint64)
-    for c in cols:
-        tag = mix64(tag * _A + c.astype(np.uint64))
-    _, first, code = np.unique(tag, return_index=True, return_inverse=True)
-    values = np.stack([c[first] for c in cols], axis=1).astype(np.int64)
-    small = np.uint8 if len(first) < 1 << 8 else np.uint16 if len(first) < 1 << 16 else np.uint32
+    code, table = coded(cols)
+    values = np.stack(table, axis=1).astype(np.int64)
+    small = np.uint8 if len(values) < 1 << 8 else np.uint16 if len(values) < 1 << 16 else np.uint32
     if not narrow:
         return {"keys": keys, "code": code.astype(small), "values": values}
     # the leading bits are the place in ``first``, the other 32 are stored
@@ -114,20 +112,28 @@ def shard_arrays(keys: np.ndarray, cols: list[np.ndarray], narrow: bool) -> dict
             "code": code.astype(small), "values": values}
 
 
-def look_up(arrays: dict[str, np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
-    """Figures of ``keys`` in a shard's arrays; zeros for those it does not hold."""
-    known = arrays.get("keys")
-    if known is None:
-        lead = np.repeat(np.arange(len(arrays["first"]) - 1, dtype=np.uint64), np.diff(arrays["first"]))
-        known = (lead << np.uint64(32)) | arrays["low"].astype(np.uint64)
-    values = arrays["values"]
-    if not len(known):
-        return [np.zeros(len(keys), dtype=np.int64)] * values.shape[1]
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    hit = known[at] == keys
-    rows = np.where(hit, arrays["code"][at].astype(np.int64), -1)
-    table = np.vstack([values, np.zeros((1, values.shape[1]), dtype=np.int64)])
-    return list(table[rows].T)
+class ShardArrays:
+    """A shard's arrays, mapped from its file; ``n_cols`` figures a hash."""
+
+    def __init__(self, path: str, n_cols: int):
+        try:
+            arrays = map_arrays(path)
+        except FileNotFoundError:                      # no training n-gram fell into this shard
+            arrays = shard_arrays(np.empty(0, np.uint64), [np.empty(0, np.int64)] * n_cols, False)
+        self.known, self.code = arrays.get("keys"), arrays["code"]
+        if self.known is None:
+            lead = np.repeat(np.arange(len(arrays["first"]) - 1, dtype=np.uint64), np.diff(arrays["first"]))
+            self.known = (lead << np.uint64(32)) | arrays["low"]
+        #: figures by code; the last row, zeros, is that of hashes the shard does not hold
+        self.table = [np.append(c, 0) for c in arrays["values"].T]
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """Code of each of ``keys``."""
+        absent = len(self.table[0]) - 1
+        if not len(self.known):
+            return np.full(len(keys), absent)
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return np.where(self.known[at] == keys, self.code[at].astype(np.int64), absent)
 
 
 # ---------------------------------------------------------------- blocks
@@ -147,16 +153,18 @@ def text_blocks(docs: DataFrame, keep: dict[str, str] | None = None, id_col: str
     def encode(table: pa.Table) -> dict:
         import xxhash
 
-        seen: dict[bytes, int] = {}
-        sizes, codes = [], []
-        for raw in table.column("_raw").to_pylist():
-            words = raw.lower().split() if raw else []      # bytes: A-Z only, and the six blanks
-            sizes.append(len(words))
-            codes.append(np.array([seen.setdefault(w, len(seen)) for w in words], dtype=np.uint32))
-        hashes = b"".join(xxhash.xxh3_64_digest(w)[::-1] for w in seen)
-        all_codes = np.concatenate(codes)
+        # Arrow's ASCII functions: A-Z only, and the six blanks; bytes beyond ASCII pass as they are
+        text = pc.fill_null(table.column("_raw"), b"").combine_chunks()
+        text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+        split = pc.ascii_split_whitespace(pc.ascii_lower(text.view(pa.string())))
+        words, to = split.flatten(), split.offsets.to_numpy()
+        real = pc.greater(pc.binary_length(words), 0)    # blanks at an end leave an empty word
+        before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+        sizes = np.diff(before[to - to[0]])
+        coded_words = pc.dictionary_encode(words.filter(real))
+        hashes = b"".join(xxhash.xxh3_64_digest(w)[::-1] for w in coded_words.dictionary.view(pa.binary()).to_pylist())
         return {"docs": table.drop_columns(["_raw"]).append_column("_words", pa.array(sizes, pa.int64())),
-                "hashes": hashes, "codes": pack_columns([all_codes]), "n_tokens": len(all_codes) + len(sizes)}
+                "hashes": hashes, "codes": pack_columns([coded_words.indices.to_numpy()]), "n_tokens": int(sizes.sum()) + len(sizes)}
 
     return stored_blocks(docs, keep | {"held_out": held}, text_col, encode, ["hashes", "codes"], ["n_tokens"], "lm-blocks")
 
@@ -197,9 +205,8 @@ class Block:
 
     def distinct(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct keys of the k-grams, a position of each, and each position's key."""
-        keys = self.shards[k - 1].key(self.grams[k - 1][self.at[k - 1]])
-        uniq, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        return uniq, self.at[k - 1][first], which
+        keys, first, which = distinct(self.shards[k - 1].key(self.grams[k - 1][self.at[k - 1]]))
+        return keys, self.at[k - 1][first], which
 
 
 def _order_columns(k: int, order: int) -> int:
@@ -328,11 +335,8 @@ def answers_of(blocks: DataFrame, model: KneserNey, k: int) -> DataFrame:
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
-        try:
-            arrays = map_arrays(_file(path, k, shard))
-        except FileNotFoundError:                      # no training n-gram fell into this shard
-            arrays = shard_arrays(np.empty(0, np.uint64), [np.empty(0, np.int64)] * n_cols, False)
-        return answer_frame([answer_row(int(b), shard, look_up(arrays, keys_of(h, lo)))
+        arrays = ShardArrays(_file(path, k, shard), n_cols)
+        return answer_frame([answer_row(int(b), shard, arrays.look_up(keys_of(h, lo)), arrays.table)
                              for b, h, lo in zip(pdf["block"], pdf["high"], pdf["low"], strict=True)])
 
     found = blocks.mapInPandas(ask, MESSAGE).groupBy("shard").applyInPandas(answer, ANSWER)

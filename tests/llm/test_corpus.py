@@ -123,7 +123,8 @@ def test_model_files_are_mapped_and_rewritten_whole(tmp_path):
     assert isinstance(arrays["low"].base, np.memmap) or isinstance(arrays["low"], np.memmap)
     ask = np.unique(np.concatenate([keys[::3], rng.integers(0, 1 << 44, 100, dtype=np.uint64)]))
     at = {int(k): i for i, k in enumerate(keys)}
-    for c, found in zip(cols, lm_scoring.look_up(arrays, ask), strict=True):
+    shard = lm_scoring.ShardArrays(path, 2)
+    for c, found in zip(cols, [t[shard.look_up(ask)] for t in shard.table], strict=True):
         assert found.tolist() == [int(c[at[int(k)]]) if int(k) in at else 0 for k in ask]
     assert len(list(tmp_path.glob("model/order-2/*"))) == 1
 
