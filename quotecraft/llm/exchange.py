@@ -38,6 +38,15 @@ _M1 = np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
 _M2 = np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
 
 
+def squeeze(raw: bytes) -> bytes:
+    """``raw`` compressed (entropy coding: frequent small numbers have no repeats for a plain matcher)."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def unsqueeze(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True) if raw else b""
+
+
 def unmix64(h: np.ndarray) -> np.ndarray:
     """Inverse of ``mix64``."""
     h = (h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))) * _M2
@@ -75,7 +84,7 @@ def _sorted_part(raw: bytes) -> np.ndarray:
 
 def keys_of(high: bytes, low: bytes) -> np.ndarray:
     """Keys of one message, without the bits that name its shard."""
-    return (_sorted_part(high) << np.uint64(32)) | np.frombuffer(low, dtype="<u4").astype(np.uint64)
+    return (_sorted_part(unsqueeze(high)) << np.uint64(32)) | np.frombuffer(low, dtype="<u4").astype(np.uint64)
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +109,8 @@ def table_bytes(table: pa.Table) -> bytes:
 
 
 def table_of(raw: bytes) -> pa.Table:
-    return pa.ipc.open_stream(raw).read_all()
+    """The documents of a block of :func:`stored_blocks`."""
+    return pa.ipc.open_stream(unsqueeze(raw)).read_all()
 
 
 def stored_blocks(docs: DataFrame, columns: dict, text_col: str, encode: Callable[[pa.Table], dict],
@@ -126,7 +136,7 @@ def stored_blocks(docs: DataFrame, columns: dict, text_col: str, encode: Callabl
         def done() -> pa.RecordBatch:
             nonlocal number, held, size
             row = encode(pa.Table.from_batches(held).combine_chunks())
-            row |= {"block": number, "docs": table_bytes(row["docs"])}
+            row |= {"block": number, "docs": squeeze(table_bytes(row["docs"]))}
             number, held, size = number + 1, [], 0
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
@@ -180,9 +190,9 @@ class Shards:
         rest = keys & np.uint64((1 << (64 - self.j - self.drop)) - 1)
         for k in np.flatnonzero(np.diff(at)):
             mine = slice(at[k], at[k + 1])
-            out.append((int(k), block, pack_sorted(rest[mine] >> np.uint64(32)),
+            out.append((int(k), block, squeeze(pack_sorted(rest[mine] >> np.uint64(32))),
                         (rest[mine] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
-                        pack_columns([c[mine] for c in cols])))
+                        squeeze(pack_columns([c[mine] for c in cols]))))
         return out
 
 
@@ -196,8 +206,9 @@ def answer_columns(answers: pd.DataFrame, n_cols: int, own: bool = False) -> lis
     parts: list[list[np.ndarray]] = [[] for _ in range(n_cols)]
     flags = []
     for raw, mine in zip(answers["cols"], answers["own"], strict=True):
+        mine = unsqueeze(mine)
         rows, kinds, bits = int.from_bytes(mine[:4], "little"), int.from_bytes(mine[4:8], "little"), mine[8:]
-        code, *table = unpack_columns(raw, 1 + n_cols, [rows] + [kinds] * n_cols)
+        code, *table = unpack_columns(unsqueeze(raw), 1 + n_cols, [rows] + [kinds] * n_cols)
         for p, c in zip(parts, table, strict=True):
             p.append(c.astype(np.int64)[code])
         if own:
@@ -222,8 +233,8 @@ def answer_row(block: int, shard: int, code: np.ndarray, table: list[np.ndarray]
     """One row of ``ANSWER``: each key's code, and the rows of ``table`` that some key has."""
     seen, _, mine = distinct(code)
     head = len(code).to_bytes(4, "little") + len(seen).to_bytes(4, "little")
-    return (block, shard, head + (np.packbits(own).tobytes() if own is not None else b""),
-            pack_columns([mine, *(c[seen] for c in table)]), None)
+    return (block, shard, squeeze(head + (np.packbits(own).tobytes() if own is not None else b"")),
+            squeeze(pack_columns([mine, *(c[seen] for c in table)])), None)
 
 
 def answer_frame(rows: list[tuple]) -> pd.DataFrame:
@@ -247,7 +258,7 @@ def merge_shards(messages: DataFrame, n_cols: int,
         keys = np.concatenate(parts)
         del parts
         keys, one, which = distinct(keys)
-        unpacked = [unpack_columns(raw, n_cols, n) for raw, n in zip(pdf["cols"], sizes, strict=True)]
+        unpacked = [unpack_columns(unsqueeze(raw), n_cols, n) for raw, n in zip(pdf["cols"], sizes, strict=True)]
         # sums of integers, exact as floats up to 2**53
         sums = [np.bincount(which, np.concatenate([u[c] for u in unpacked]), len(keys)).astype(np.int64) for c in range(n_cols)]
         back, stats = finish(shard, keys, sums)
@@ -270,5 +281,5 @@ def sum_stats(answers: DataFrame, n: int) -> list[int]:
 
 
 __all__ = ["stored_blocks", "Shards", "merge_shards", "answer_columns", "answer_row", "answer_frame", "message_frame", "distinct", "coded",
-           "keys_of", "pack_columns", "unpack_columns", "sum_stats", "table_of", "table_bytes", "unmix64", "mix64",
+           "keys_of", "pack_columns", "unpack_columns", "sum_stats", "table_of", "table_bytes", "squeeze", "unsqueeze", "unmix64", "mix64",
            "MESSAGE", "ANSWER"]

@@ -32,7 +32,8 @@ from ..session import local_path, new_table_path
 from ..sources.tables import drop
 from .common import _A, mix64, store
 from .exchange import (ANSWER, MESSAGE, Shards, answer_columns, answer_frame, answer_row, coded, distinct, keys_of,
-                       merge_shards, message_frame, pack_columns, stored_blocks, sum_stats, table_of, unpack_columns)
+                       merge_shards, message_frame, pack_columns, squeeze, stored_blocks, sum_stats, table_of,
+                       unpack_columns, unsqueeze)
 
 ORDER = 3
 #: bits of an n-gram's hash that count inside its shard, from order 2 on; words keep all 64
@@ -164,7 +165,7 @@ def text_blocks(docs: DataFrame, keep: dict[str, str] | None = None, id_col: str
         coded_words = pc.dictionary_encode(words.filter(real))
         hashes = b"".join(xxhash.xxh3_64_digest(w)[::-1] for w in coded_words.dictionary.view(pa.binary()).to_pylist())
         return {"docs": table.drop_columns(["_raw"]).append_column("_words", pa.array(sizes, pa.int64())),
-                "hashes": hashes, "codes": pack_columns([coded_words.indices.to_numpy()]), "n_tokens": int(sizes.sum()) + len(sizes)}
+                "hashes": hashes, "codes": squeeze(pack_columns([coded_words.indices.to_numpy()])), "n_tokens": int(sizes.sum()) + len(sizes)}
 
     return stored_blocks(docs, keep | {"held_out": held}, text_col, encode, ["hashes", "codes"], ["n_tokens"], "lm-blocks")
 
@@ -176,7 +177,7 @@ class Block:
         self.docs = table_of(row["docs"])
         self.sizes = self.docs.column("_words").to_numpy().astype(np.int64)
         words = np.concatenate([np.frombuffer(row["hashes"], dtype="<u8"), [START, END]])
-        codes = unpack_columns(row["codes"], 1, int(self.sizes.sum()))[0]
+        codes = unpack_columns(unsqueeze(row["codes"]), 1, int(self.sizes.sum()))[0]
         lengths = self.sizes + 2
         ends = np.cumsum(lengths)
         self.first = ends - lengths                    # the start symbol of each document

@@ -11,12 +11,14 @@ pieces are ranked inside their length by Spark and look up their place.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,10 @@ from .common import from_text, number_rows, store, to_text
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k"
-#: pre-tokens remembered by one task
-REMEMBER = 500_000
+#: bytes that one task spends on remembered chunks
+REMEMBER = 16 << 20
+#: documents, and bytes of ids, that a task holds before it passes pieces on
+HOLD = (256, 4 << 20)
 #: documents of one plan where the order of documents counts
 SEGMENT = 16_384
 
@@ -51,12 +55,16 @@ class PieceIds(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._fast = tiktoken.Encoding(vocabulary, pat_str=known.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._file, self._whole = known.path(f"{vocabulary}.json"), None
+        self._bytes = 0
 
     def __missing__(self, chunk: str) -> bytes:
         ids = np.array(self._fast.encode_ordinary(chunk), dtype="<u4").tobytes()
         if len(chunk) <= 64:
-            if len(self) >= REMEMBER:
+            # a key, a value and their place in the table
+            self._bytes += sys.getsizeof(chunk) + sys.getsizeof(ids) + 100
+            if self._bytes > REMEMBER:
                 self.clear()
+                self._bytes = 0
             self[chunk] = ids
         return ids
 
@@ -84,31 +92,48 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A document is its token ids and a closing 0.  Longer ones are cut into
     pieces of ``capacity``; the first piece takes the remainder.
     """
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = ["piece", "start", "length", "ids_crc32"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = PieceIds(vocabulary)
-        for pdf in batches:
-            out: dict[str, list] = {k: [] for k in names}
-            for doc, text, order in zip(pdf["doc_id"], pdf["_text"], pdf[order_col] if order_col else pdf["doc_id"], strict=True):
-                ids = (book.encode(text) if isinstance(text, str) else b"") + b"\0\0\0\0"
-                n = len(ids) // 4
-                at, k = 0, 0
-                while at < n:
-                    size = (n - at) % capacity or capacity
-                    part = ids[4 * at:4 * (at + size)]
-                    for name, v in zip(names, (doc, k, at, size, zlib.crc32(part)), strict=False):
-                        out[name].append(v)
-                    if keep_ids:
-                        out["ids"].append(np.frombuffer(part, dtype="<u4").astype("int32"))
-                    if order_col:
-                        out[order_col].append(order)
-                    at, k = at + size, k + 1
-            yield pd.DataFrame(out)
-
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids + [order_col] * bool(order_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *[order_col] * bool(order_col))
-    schema = ("doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
-              + f", `{order_col}` bigint" * bool(order_col))
-    return from_text(to_text(rows, ["doc_id"]).mapInPandas(cut, schema), rows, ["doc_id"])
+        for whole in batches:
+            at = 0
+            while at < whole.num_rows:
+                rows: list[tuple] = []
+                of: list[int] = []
+                parts: list[bytes] = []
+                size, first = 0, at
+                while at < whole.num_rows and at - first < HOLD[0] and size < HOLD[1]:
+                    text = whole.column("_text")[at].as_py()
+                    ids = (book.encode(text) if text else b"") + b"\0\0\0\0"
+                    n, start, piece = len(ids) // 4, 0, 0
+                    while start < n:
+                        length = (n - start) % capacity or capacity
+                        part = ids[4 * start:4 * (start + length)]
+                        rows.append((piece, start, length, zlib.crc32(part)))
+                        piece += 1
+                        of.append(at)
+                        if keep_ids:
+                            parts.append(part)
+                        start += length
+                    size += len(ids)
+                    at += 1
+                columns = [whole.column("doc_id").take(pa.array(of))]
+                columns += [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                if keep_ids:
+                    ends = np.cumsum([0, *(r[2] for r in rows)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))))
+                if order_col:
+                    columns.append(whole.column(order_col).take(pa.array(of)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", *counts] + ["ids"] * keep_ids + [order_col] * bool(order_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"),
+                       *([F.col(order_col).cast("long").alias(order_col)] if order_col else []))
+    schema = (f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
+              + ", ids array<int>" * keep_ids + f", `{order_col}` bigint" * bool(order_col))
+    return rows.mapInArrow(cut, schema)
 
 
 # ---------------------------------------------------------------- the plan

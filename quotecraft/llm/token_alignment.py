@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix64, store
-from .exchange import (MESSAGE, Shards, answer_columns, merge_shards, message_frame, pack_columns, stored_blocks,
-                       table_of, unmix64, unpack_columns)
+from .exchange import (MESSAGE, Shards, answer_columns, merge_shards, message_frame, pack_columns, squeeze,
+                       stored_blocks, table_of, unmix64, unpack_columns, unsqueeze)
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k", "piece_bpe_32k"
 #: bytes of text whose tokens are held as arrays at once
@@ -186,8 +186,8 @@ def alignment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
                             ("_pairs", n_pairs)):
             out = out.append_column(name, pa.array(np.concatenate(parts), pa.int64()))
         out = out.append_column("groups_sha256", pa.array([h for s in slices for h in s.sha], pa.string()))
-        return {"docs": out, "pairs": pairs.astype("<u8").tobytes(), "counts": pack_columns([docs_of]),
-                "held": pack_columns([np.concatenate(codes), np.concatenate([s.times for s in slices])]),
+        return {"docs": out, "pairs": pairs.astype("<u8").tobytes(), "counts": squeeze(pack_columns([docs_of])),
+                "held": squeeze(pack_columns([np.concatenate(codes), np.concatenate([s.times for s in slices])])),
                 "n_pairs": len(pairs), "n_held": sum(len(c) for c in codes)}
 
     blocks = stored_blocks(docs, keep, text_col, encode, ["pairs", "counts", "held"], ["n_pairs", "n_held"], "alignment-blocks")
@@ -197,7 +197,7 @@ def alignment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         for pdf in batches:
             for block, pairs, counts in zip(pdf["block"], pdf["pairs"], pdf["counts"], strict=True):
                 keys = np.frombuffer(pairs, dtype="<u8")
-                yield message_frame(shards.send(int(block), keys, unpack_columns(counts, 1, len(keys))))
+                yield message_frame(shards.send(int(block), keys, unpack_columns(unsqueeze(counts), 1, len(keys))))
 
     def first_ids(keys: np.ndarray, shard: int) -> np.ndarray:
         whole = keys | (np.uint64(shard) << np.uint64(64 - shards.j)) if shards.j else keys
@@ -226,7 +226,7 @@ def alignment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
             table = table_of(row["docs"])
             count = answer_columns(found, 1)[0]
             a = (unmix64(np.frombuffer(row["pairs"], dtype="<u8")) >> np.uint64(32)).astype(np.int64)
-            code, times = unpack_columns(row["held"], 2, row["n_held"])
+            code, times = unpack_columns(unsqueeze(row["held"]), 2, row["n_held"])
             times = times.astype(np.int64)
             n = table.column("_pairs").to_numpy()
             of = np.repeat(np.arange(len(n)), n)
