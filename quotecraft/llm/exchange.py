@@ -22,11 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _A, mix64, store
+from .common import _A, BLOCK_BYTES, mix64, store
 from .sketch import pack_sorted
 
-#: bytes of text that a block aims at
-BLOCK_BYTES = 4 << 20
 #: entries that a shard aims at
 SHARD_ENTRIES = 1 << 20
 
@@ -84,7 +82,18 @@ def _sorted_part(raw: bytes) -> np.ndarray:
 
 def keys_of(high: bytes, low: bytes) -> np.ndarray:
     """Keys of one message, without the bits that name its shard."""
-    return (_sorted_part(unsqueeze(high)) << np.uint64(32)) | np.frombuffer(low, dtype="<u4").astype(np.uint64)
+    return (_sorted_part(unsqueeze(high)) << np.uint64(24)) | from_three_bytes(np.frombuffer(low, dtype=np.uint8))
+
+
+def three_bytes(a: np.ndarray) -> np.ndarray:
+    """The lowest 24 bits of each integer, one after another: they have no pattern to compress."""
+    return a.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].ravel()
+
+
+def from_three_bytes(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 3, 8), dtype=np.uint8)
+    out[:, :3] = raw.reshape(-1, 3)
+    return out.ravel().view("<u8")
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,8 +199,7 @@ class Shards:
         rest = keys & np.uint64((1 << (64 - self.j - self.drop)) - 1)
         for k in np.flatnonzero(np.diff(at)):
             mine = slice(at[k], at[k + 1])
-            out.append((int(k), block, squeeze(pack_sorted(rest[mine] >> np.uint64(32))),
-                        (rest[mine] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
+            out.append((int(k), block, squeeze(pack_sorted(rest[mine] >> np.uint64(24))), three_bytes(rest[mine]).tobytes(),
                         squeeze(pack_columns([c[mine] for c in cols]))))
         return out
 
@@ -281,5 +289,5 @@ def sum_stats(answers: DataFrame, n: int) -> list[int]:
 
 
 __all__ = ["stored_blocks", "Shards", "merge_shards", "answer_columns", "answer_row", "answer_frame", "message_frame", "distinct", "coded",
-           "keys_of", "pack_columns", "unpack_columns", "sum_stats", "table_of", "table_bytes", "squeeze", "unsqueeze", "unmix64", "mix64",
+           "keys_of", "pack_columns", "unpack_columns", "sum_stats", "table_of", "table_bytes", "squeeze", "unsqueeze", "three_bytes", "from_three_bytes", "unmix64", "mix64",
            "MESSAGE", "ANSWER"]

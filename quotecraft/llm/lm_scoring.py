@@ -31,13 +31,14 @@ from pyspark.sql import types as T
 from ..session import local_path, new_table_path
 from ..sources.tables import drop
 from .common import _A, mix64, store
-from .exchange import (ANSWER, MESSAGE, Shards, answer_columns, answer_frame, answer_row, coded, distinct, keys_of,
-                       merge_shards, message_frame, pack_columns, squeeze, stored_blocks, sum_stats, table_of,
-                       unpack_columns, unsqueeze)
+from .exchange import (ANSWER, MESSAGE, Shards, answer_columns, answer_frame, answer_row, coded, distinct,
+                       from_three_bytes, keys_of, merge_shards, message_frame, pack_columns, squeeze, stored_blocks,
+                       sum_stats, table_of, three_bytes, unpack_columns, unsqueeze)
 
 ORDER = 3
-#: bits of an n-gram's hash that count inside its shard, from order 2 on; words keep all 64
-GRAM_BITS = 44
+#: bits of an n-gram's hash that count inside its shard, from order 2 on (words keep all 64): an n-gram that
+#: was never seen is taken for another one in about one of a million look-ups, at every size of the corpus
+GRAM_BITS = 40
 #: discounts where the counts of counts give none (fixed values)
 FALLBACK = (0.5, 1.0, 1.5)
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -107,9 +108,9 @@ def shard_arrays(keys: np.ndarray, cols: list[np.ndarray], narrow: bool) -> dict
     small = np.uint8 if len(values) < 1 << 8 else np.uint16 if len(values) < 1 << 16 else np.uint32
     if not narrow:
         return {"keys": keys, "code": code.astype(small), "values": values}
-    # the leading bits are the place in ``first``, the other 32 are stored
-    lead = np.arange((1 << (GRAM_BITS - 32)) + 1, dtype=np.uint64) << np.uint64(32)
-    return {"first": np.searchsorted(keys, lead).astype(np.uint32), "low": (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32),
+    # how many hashes have each leading part, and the other 24 bits of each
+    lead = np.bincount((keys >> np.uint64(24)).astype(np.int64), minlength=1 << (GRAM_BITS - 24))
+    return {"lead": lead.astype(np.uint8 if lead.max() < 1 << 8 else np.uint32), "low": three_bytes(keys),
             "code": code.astype(small), "values": values}
 
 
@@ -123,8 +124,8 @@ class ShardArrays:
             arrays = shard_arrays(np.empty(0, np.uint64), [np.empty(0, np.int64)] * n_cols, False)
         self.known, self.code = arrays.get("keys"), arrays["code"]
         if self.known is None:
-            lead = np.repeat(np.arange(len(arrays["first"]) - 1, dtype=np.uint64), np.diff(arrays["first"]))
-            self.known = (lead << np.uint64(32)) | arrays["low"]
+            lead = np.repeat(np.arange(len(arrays["lead"]), dtype=np.uint64), arrays["lead"])
+            self.known = (lead << np.uint64(24)) | from_three_bytes(arrays["low"])
         #: figures by code; the last row, zeros, is that of hashes the shard does not hold
         self.table = [np.append(c, 0) for c in arrays["values"].T]
 
@@ -344,10 +345,11 @@ def answers_of(blocks: DataFrame, model: KneserNey, k: int) -> DataFrame:
     return store(found.withColumn("order", F.lit(k)), f"lm-answers-{k}")
 
 
-def score(blocks: DataFrame, model: KneserNey) -> DataFrame:
+def score(blocks: DataFrame, model: KneserNey, drop_model: bool = False) -> DataFrame:
     """Per document of ``blocks``: its columns, held_out, n_tokens, n_known,
     train_tokens, base_score, score and perplexity (10 to the power of -score / n_tokens).
 
+    ``drop_model``: the model's files go once all n-grams are looked up (their figures are stored).
     Without any training token all words are unknown and the model is uniform over one."""
     order, shards, discounts = model.order, model.shards, model.discounts
     total, n1, n2, n3 = model.base
@@ -356,6 +358,8 @@ def score(blocks: DataFrame, model: KneserNey) -> DataFrame:
     for k in range(order, 0, -1):
         one = answers_of(blocks, model, k)
         answers = one if answers is None else answers.unionByName(one)
+    if drop_model:
+        drop(blocks.sparkSession, path=model.path)
 
     def texts(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, found = left.to_pandas(), right.to_pandas()
@@ -421,8 +425,10 @@ def score_documents(docs: DataFrame, order: int = ORDER, keep: dict[str, str] |
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the rows that are not held out and score every row (see :func:`score`).
 
+    The model is this call's own and goes after use; :func:`train` and :func:`score` keep one.
+
     Null and empty texts are the end symbol alone.  Repeated rows are learned and
     scored each.  An empty table gives an empty result.  Texts are read whole.
     """
     blocks = text_blocks(docs, keep, id_col, text_col)
-    return score(blocks, train(blocks, order))
+    return score(blocks, train(blocks, order), drop_model=True)

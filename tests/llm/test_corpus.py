@@ -114,14 +114,14 @@ def test_probabilities_add_up_to_one():
 
 def test_model_files_are_mapped_and_rewritten_whole(tmp_path):
     rng = np.random.default_rng(5)
-    keys = np.unique(rng.integers(0, 1 << 44, 5000, dtype=np.uint64))
+    keys = np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64))
     cols = [rng.integers(0, 400, len(keys)), rng.integers(0, 1 << 40, len(keys))]
     path = f"file:{tmp_path}/model/order-2/00000000.arrays"
     for _ in range(2):                                       # a task that runs again
         lm_scoring.write_arrays(path, lm_scoring.shard_arrays(keys, cols, True))
     arrays = lm_scoring.map_arrays(path)
     assert isinstance(arrays["low"].base, np.memmap) or isinstance(arrays["low"], np.memmap)
-    ask = np.unique(np.concatenate([keys[::3], rng.integers(0, 1 << 44, 100, dtype=np.uint64)]))
+    ask = np.unique(np.concatenate([keys[::3], rng.integers(0, 1 << 40, 100, dtype=np.uint64)]))
     at = {int(k): i for i, k in enumerate(keys)}
     shard = lm_scoring.ShardArrays(path, 2)
     for c, found in zip(cols, [t[shard.look_up(ask)] for t in shard.table], strict=True):
@@ -156,7 +156,7 @@ def test_hash_is_inverted_and_columns_come_back():
 
 def test_shards_add_up_what_blocks_send(spark):
     entries = 20 * exchange.SHARD_ENTRIES                    # many shards, few entries
-    shards = exchange.Shards(entries, 44)
+    shards = exchange.Shards(entries, 40)
     rng = np.random.default_rng(2)
     pool = shards.key(rng.integers(0, 1 << 64, 600, dtype=np.uint64))
     sent, rows = {}, []
