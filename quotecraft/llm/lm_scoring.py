@@ -15,8 +15,6 @@ that one file into memory, looks the n-grams up and answers.
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 from dataclasses import dataclass, field
 
@@ -28,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import local_path, new_table_path
+from ..session import new_table_path
 from ..sources.tables import drop
+from .array_files import map_arrays, write_arrays
 from .common import _A, mix64, store
 from .exchange import (ANSWER, MESSAGE, Shards, answer_columns, answer_frame, answer_row, coded, distinct,
                        from_three_bytes, keys_of, merge_shards, message_frame, pack_columns, squeeze, stored_blocks,
-                       sum_stats, table_of, three_bytes, unpack_columns, unsqueeze)
+                       sum_stats, table_bytes, table_of, three_bytes, unpack_columns, unsqueeze)
 
 ORDER = 3
 #: bits of an n-gram's hash that count inside its shard, from order 2 on (words keep all 64): an n-gram that
@@ -44,59 +43,6 @@ FALLBACK = (0.5, 1.0, 1.5)
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
-# ---------------------------------------------------------------- array files
-
-def _open(path: str):
-    """(file system, path on it); a folder of this machine's file tree can be mapped."""
-    if path.startswith("file:") or "://" not in path:
-        return None, "/" + local_path(path).lstrip("/")
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
-def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """Arrays one after another behind a header.  Written aside, then moved into
-    place, so a task that runs twice leaves one whole file."""
-    at, head, body = 0, {}, []
-    for name, a in arrays.items():
-        a = np.ascontiguousarray(a)
-        head[name] = (a.dtype.str, a.shape, at)
-        body += [a.tobytes(), bytes(-a.nbytes % 64)]
-        at += a.nbytes + -a.nbytes % 64
-    text = json.dumps(head).encode()
-    text += b" " * (-(len(text) + 8) % 64)
-    raw = b"".join([len(text).to_bytes(8, "little"), text, *body])
-    system, p = _open(path)
-    aside = f"{p}.{uuid.uuid4().hex[:8]}"
-    if system is None:
-        os.makedirs(os.path.dirname(p), exist_ok=True)
-        with open(aside, "wb") as f:
-            f.write(raw)
-        os.replace(aside, p)
-    else:
-        system.create_dir(os.path.dirname(p), recursive=True)
-        with system.open_output_stream(aside) as f:
-            f.write(raw)
-        system.move(aside, p)
-
-
-def map_arrays(path: str) -> dict[str, np.ndarray]:
-    """Arrays of a file: mapped where the shared folder is mounted, else read."""
-    system, p = _open(path)
-    if system is None:
-        raw = np.memmap(p, dtype=np.uint8, mode="r")
-    else:
-        with system.open_input_file(p) as f:
-            raw = np.frombuffer(f.read(), dtype=np.uint8)
-    n = int.from_bytes(raw[:8].tobytes(), "little")
-    out = {}
-    for name, (kind, shape, at) in json.loads(raw[8:8 + n].tobytes()).items():
-        size = int(np.prod(shape)) * np.dtype(kind).itemsize
-        out[name] = raw[8 + n + at:8 + n + at + size].view(kind).reshape(shape) if size else np.empty(shape, kind)
-    return out
-
-
 def _file(path: str, order: int, shard: int) -> str:
     return f"{path}/order-{order}/{shard:08d}.arrays"
 
@@ -142,7 +88,8 @@ class ShardArrays:
 
 def text_blocks(docs: DataFrame, keep: dict[str, str] | None = None, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """Documents as blocks: the block's distinct words' hashes and each word's place among them.
+    """Documents as blocks: the block's distinct words' hashes and each word's place among them,
+    in a file of the shared folder that every later pass maps, so no text is shuffled.
 
     ``keep``: result columns (new name -> column of ``docs``; default doc_id).
     A row is held out if crc32(id as text) mod 10 is 0; a null id is held out.
@@ -165,20 +112,26 @@ def text_blocks(docs: DataFrame, keep: dict[str, str] | None = None, id_col: str
         sizes = np.diff(before[to - to[0]])
         coded_words = pc.dictionary_encode(words.filter(real))
         hashes = b"".join(xxhash.xxh3_64_digest(w)[::-1] for w in coded_words.dictionary.view(pa.binary()).to_pylist())
-        return {"docs": table.drop_columns(["_raw"]).append_column("_words", pa.array(sizes, pa.int64())),
-                "hashes": hashes, "codes": squeeze(pack_columns([coded_words.indices.to_numpy()])), "n_tokens": int(sizes.sum()) + len(sizes)}
+        docs_of = table.drop_columns(["_raw"]).append_column("_words", pa.array(sizes, pa.int64()))
+        path = f"{folder}/{uuid.uuid4().hex}.arrays"      # a task that runs again writes files of its own
+        write_arrays(path, {"hashes": np.frombuffer(hashes, dtype="<u8"),
+                            "codes": np.frombuffer(squeeze(pack_columns([coded_words.indices.to_numpy()])), dtype=np.uint8),
+                            "docs": np.frombuffer(squeeze(table_bytes(docs_of)), dtype=np.uint8)})
+        return {"docs": docs_of.slice(0, 0), "path": path.encode(), "n_tokens": int(sizes.sum()) + len(sizes)}
 
-    return stored_blocks(docs, keep | {"held_out": held}, text_col, encode, ["hashes", "codes"], ["n_tokens"], "lm-blocks")
+    folder = new_table_path(docs.sparkSession, "lm-block-arrays")
+    return stored_blocks(docs, keep | {"held_out": held}, text_col, encode, ["path"], ["n_tokens"], "lm-blocks")
 
 
 class Block:
     """Positions of a block: per document the start symbol, its words, the end symbol."""
 
     def __init__(self, row, training: bool, order: int, shards: list[Shards]):
-        self.docs = table_of(row["docs"])
+        arrays = map_arrays(row["path"].decode())
+        self.docs = table_of(arrays["docs"].tobytes())
         self.sizes = self.docs.column("_words").to_numpy().astype(np.int64)
-        words = np.concatenate([np.frombuffer(row["hashes"], dtype="<u8"), [START, END]])
-        codes = unpack_columns(unsqueeze(row["codes"]), 1, int(self.sizes.sum()))[0]
+        words = np.concatenate([arrays["hashes"], [START, END]])
+        codes = unpack_columns(unsqueeze(arrays["codes"].tobytes()), 1, int(self.sizes.sum()))[0]
         lengths = self.sizes + 2
         ends = np.cumsum(lengths)
         self.first = ends - lengths                    # the start symbol of each document
@@ -205,10 +158,22 @@ class Block:
             # an n-gram goes on unless its last symbol ends the text
             self.at.append(p[~self.is_end[p + k - 2]])
 
-    def distinct(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct keys of the k-grams, a position of each, and each position's key."""
-        keys, first, which = distinct(self.shards[k - 1].key(self.grams[k - 1][self.at[k - 1]]))
-        return keys, self.at[k - 1][first], which
+    def keys(self, k: int) -> np.ndarray:
+        """Keys of the k-grams at their positions."""
+        return self.shards[k - 1].key(self.grams[k - 1][self.at[k - 1]])
+
+    def counted(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys of the k-grams and how often each occurs."""
+        keys = np.sort(self.keys(k))
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+        return keys[first], np.diff(np.append(first, len(keys)))
+
+    def places(self, k: int) -> np.ndarray:
+        """A position of each distinct key, in the order of the keys."""
+        keys = self.keys(k)
+        order = np.argsort(keys)
+        keys = keys[order]
+        return self.at[k - 1][order[np.append(True, keys[1:] != keys[:-1])[:len(keys)]]]
 
 
 def _order_columns(k: int, order: int) -> int:
@@ -220,13 +185,15 @@ def _order_columns(k: int, order: int) -> int:
 def order_counts(block: Block, k: int, order: int, above: pd.DataFrame | None) -> tuple[np.ndarray, list[np.ndarray]]:
     """What a block adds to its k-grams: at the highest order their count; below it
     the continuation counts and followers that its own (k+1)-grams give."""
-    uniq, _, which = block.distinct(k)
+    if k == order > 1:
+        uniq, plain = block.counted(k)
+        return uniq, [plain]
+    uniq, _, which = distinct(block.keys(k))
     m, at = len(uniq), block.at[k - 1]
-    plain = np.bincount(which, minlength=m)
     if k == order:
-        cols = [plain]
+        cols = [np.bincount(which, minlength=m)]
     else:
-        _, p, _ = block.distinct(k + 1)
+        p = block.places(k + 1)
         total, own = answer_columns(above, 1, own=True)
         index = np.full(len(block.is_end), -1, dtype=np.int64)
         index[at] = which
@@ -275,6 +242,11 @@ def _rows(pdf: pd.DataFrame):
     return (row for _, row in pdf.iterrows())
 
 
+def _spread(blocks: DataFrame) -> DataFrame:
+    """Some blocks a task: the table itself is small, the files its rows name are not."""
+    return blocks.repartition(max(1, -(-blocks.count() // 4)))
+
+
 def _sender(k: int, order: int, shards: list[Shards]):
     """Block rows and the answers of the order above -> messages of order k."""
     def send(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
@@ -307,7 +279,7 @@ def train(blocks: DataFrame, order: int = ORDER) -> KneserNey:
     for k in range(order, 0, -1):
         send, finish = _sender(k, order, shards), _finisher(k, path)
         if answers is None:
-            sent = blocks.mapInPandas(lambda batches, send=send: (
+            sent = _spread(blocks).mapInPandas(lambda batches, send=send: (
                 send(pdf.iloc[n:n + 1], None) for pdf in batches for n in range(len(pdf))), MESSAGE)
         else:
             sent = blocks.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInPandas(send, MESSAGE)
@@ -332,7 +304,7 @@ def answers_of(blocks: DataFrame, model: KneserNey, k: int) -> DataFrame:
     def ask(batches):
         for pdf in batches:
             for row in _rows(pdf):
-                keys, _, _ = Block(row, False, k, shards).distinct(k)
+                keys, _ = Block(row, False, k, shards).counted(k)
                 yield message_frame(shards[k - 1].send(int(row["block"]), keys, []))
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -341,7 +313,7 @@ def answers_of(blocks: DataFrame, model: KneserNey, k: int) -> DataFrame:
         return answer_frame([answer_row(int(b), shard, arrays.look_up(keys_of(h, lo)), arrays.table)
                              for b, h, lo in zip(pdf["block"], pdf["high"], pdf["low"], strict=True)])
 
-    found = blocks.mapInPandas(ask, MESSAGE).groupBy("shard").applyInPandas(answer, ANSWER)
+    found = _spread(blocks).mapInPandas(ask, MESSAGE).groupBy("shard").applyInPandas(answer, ANSWER)
     return store(found.withColumn("order", F.lit(k)), f"lm-answers-{k}")
 
 
@@ -366,36 +338,36 @@ def score(blocks: DataFrame, model: KneserNey, drop_model: bool = False) -> Data
         out = []
         for row in _rows(rows):
             block = Block(row, False, order, shards)
-            figures = {}
-            for k in range(1, order + 1):
-                _, _, which = block.distinct(k)
-                cols = answer_columns(found[found["order"] == k], _order_columns(k, order))
-                figures[k] = [c[which] for c in cols]
+            # figures are worked out per distinct n-gram, then taken to the positions
             scored = ~block.is_start
-            at = block.at[0]                           # all positions
-            count, raw = figures[1][0], figures[1][-1]
-            d = discounts[0]
             uniform = 1.0 / (vocabulary + 1)
-            left_over = (d[0] * n1 + d[1] * n2 + d[2] * n3) / total if total else 1.0
-            p = (np.maximum(count - _discount(count, d), 0) / total if total else 0.0) + left_over * uniform
-            p = np.where(scored, p, 1.0)
-            for k in range(2, order + 1):
-                first = block.at[k - 1]
-                before = np.full(len(at), -1, dtype=np.int64)
-                before[block.at[k - 2]] = np.arange(len(block.at[k - 2]))
-                mine = before[first]                   # the context, among the (k-1)-grams
-                _, sums, ones, twos, more = (c[mine] for c in figures[k - 1][:5])
-                seen = sums > 0
-                c, d = figures[k][0], discounts[k - 1]
-                back = np.where(seen, (d[0] * ones + d[1] * twos + d[2] * more) / np.maximum(sums, 1), 1.0)
-                last = first + k - 1
-                p[last] = np.where(seen, np.maximum(c - _discount(c, d), 0) / np.maximum(sums, 1), 0.0) + back * p[last]
-            starts, log = block.first, np.log10
-            base = log((raw + 0.1) / (n_train + 0.1 * (vocabulary + 1)))
+            p = back = share = None
+            for k in range(1, order + 1):
+                cols = answer_columns(found[found["order"] == k], _order_columns(k, order))
+                _, _, which = distinct(block.keys(k))
+                first, d = block.at[k - 1], discounts[k - 1]
+                over = np.maximum(cols[0] - _discount(cols[0], d), 0)
+                if k == 1:
+                    rest = (d[0] * n1 + d[1] * n2 + d[2] * n3) / total if total else 1.0
+                    p = ((over / total if total else over * 0.0) + rest * uniform)[which]
+                    known = (cols[-1] > 0)[which]
+                    base = np.log10((cols[-1] + 0.1) / (n_train + 0.1 * (vocabulary + 1)))[which]
+                else:
+                    # the context of an n-gram starts where it starts
+                    last = first + k - 1
+                    p[last] = over[which] * share[first] + back[first] * p[last]
+                if k < order:
+                    up = discounts[k]
+                    seen = cols[1] > 0
+                    sums = np.maximum(cols[1], 1)
+                    back, share = np.ones(len(p)), np.zeros(len(p))
+                    back[first] = np.where(seen, (up[0] * cols[2] + up[1] * cols[3] + up[2] * cols[4]) / sums, 1.0)[which]
+                    share[first] = np.where(seen, 1.0 / sums, 0.0)[which]
+            p[block.is_start] = 1.0
             docs, n = block.docs, block.sizes + 1
-            add = lambda v: np.add.reduceat(np.where(scored, v, 0), starts)
-            scores = add(log(p))
-            new = {"n_tokens": n, "n_known": add(raw > 0), "train_tokens": np.full(len(n), n_train),
+            add = lambda v: np.add.reduceat(np.where(scored, v, 0), block.first)
+            scores = add(np.log10(p))
+            new = {"n_tokens": n, "n_known": add(known), "train_tokens": np.full(len(n), n_train),
                    "base_score": add(base), "score": scores, "perplexity": 10.0 ** (-scores / n)}
             docs = docs.drop_columns(["_words"])
             for name, v in new.items():

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quotecraft.llm import exchange, lm_scoring, source_divergence, token_alignment
+from quotecraft.llm import array_files, exchange, lm_scoring, source_divergence, token_alignment
 from quotecraft.llm.common import mix64
 
 
@@ -118,8 +118,8 @@ def test_model_files_are_mapped_and_rewritten_whole(tmp_path):
     cols = [rng.integers(0, 400, len(keys)), rng.integers(0, 1 << 40, len(keys))]
     path = f"file:{tmp_path}/model/order-2/00000000.arrays"
     for _ in range(2):                                       # a task that runs again
-        lm_scoring.write_arrays(path, lm_scoring.shard_arrays(keys, cols, True))
-    arrays = lm_scoring.map_arrays(path)
+        array_files.write_arrays(path, lm_scoring.shard_arrays(keys, cols, True))
+    arrays = array_files.map_arrays(path)
     assert isinstance(arrays["low"].base, np.memmap) or isinstance(arrays["low"], np.memmap)
     ask = np.unique(np.concatenate([keys[::3], rng.integers(0, 1 << 40, 100, dtype=np.uint64)]))
     at = {int(k): i for i, k in enumerate(keys)}
