@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..params import FIXED_HOLIDAYS
 from ..session import new_table_path
+from .relational import match_flag
 
 CAL_COLUMNS = ["date", "y", "m", "d", "dow", "trading"]
 
@@ -72,11 +73,14 @@ def calendar_spanning(bounds: DataFrame, holidays: Iterable[tuple[int, int]] = F
     the reference inserts by hand so the first day gets a return -- through
     ``last_date``.  Everything stays lazy: no value reaches the driver.
     """
+    # a year back: holidays repeat every year, so a year without a trading day means there is none at all
     back = bounds.select(
         "last_date",
-        F.explode(F.sequence(F.date_sub("first_date", 10), F.date_sub("first_date", 1))).alias("date"))
-    span = (back.where(trading_flag(F.col("date"), holidays) == 1)
-            .agg(F.max("date").alias("start"), F.max("last_date").alias("end")))
+        F.explode(F.sequence(F.date_sub("first_date", 366), F.date_sub("first_date", 1))).alias("date"))
+    span = back.agg(F.max(F.when(trading_flag(F.col("date"), holidays) == 1, F.col("date"))).alias("start"),
+                    F.max("last_date").alias("end"))
+    missing = F.raise_error(F.lit("no trading day in the year before the first date")).cast("date")
+    span = span.select(F.when(F.col("start").isNull() & F.col("end").isNotNull(), missing).otherwise(F.col("start")).alias("start"), "end")
     dates = span.select(F.explode(F.sequence("start", "end")).alias("date"))
     return calendar_from_dates(dates, holidays)
 
@@ -104,15 +108,10 @@ def enrich_calendar(cal: DataFrame) -> DataFrame:
 
 # --- the join forms of the same enrichment --------------------------------
 
-def eom_flags_by_join(cal: DataFrame) -> DataFrame:
-    """JON-10: (date, endofm) by a left join to the per-month last trading day."""
-    last = (cal.where(F.col("trading") == 1).groupBy("y", "m")
-            .agg(F.max("d").alias("lastd")))
-    c, e = cal.alias("cc"), F.broadcast(last).alias("eom")   # <= 12 rows a year
-    return (c.join(e, (F.col("cc.y") == F.col("eom.y")) & (F.col("cc.m") == F.col("eom.m"))
-                   & (F.col("cc.d") == F.col("eom.lastd")), "left")
-            .select(F.col("cc.date").alias("date"),
-                    F.when(F.col("eom.y").isNull(), 0).otherwise(1).alias("endofm")))
+def month_end_flags(cal: DataFrame) -> DataFrame:
+    """JON-10: (date, endofm), 1 on the last trading day of a month: a left join with a match flag."""
+    ends = cal.where(F.col("trading") == 1).groupBy("y", "m").agg(F.max("date").alias("date"))
+    return match_flag(cal, ends, ["date"], "endofm").select("date", "endofm")
 
 
 def update_from(target: DataFrame, source: DataFrame, key: str | list[str],

@@ -4,36 +4,35 @@ The reference solves one 16-asset problem.  Here a portfolio is a set of
 (portfolio_id, symbol) rows, and every step is a Spark job over all
 portfolios:
 
-1. universe   (portfolio_id, symbol): a fixed list or seeded samples
-2. returns    universe joined to the long return table on symbol
-3. split      last ``test_rows`` dates are held out (one small date rank)
-4. complete   training dates on which every asset of the portfolio has a return
-5. target     mean training return of the benchmark, per portfolio
-6. solve      ``groupBy(portfolio_id).applyInPandas``: sample means and
-              covariance of that portfolio's (dates x assets) block, then
-              the bordered (KKT) system of
-              min w'Sw  s.t.  sum(w) = 1, w'mu = target
+1. universe   (portfolio_id, symbol): a fixed list or seeded draws
+2. pack       one row per symbol with its returns as an array on the day index
+3. split      the last ``test_rows`` dates are held out (one small date rank)
+4. moments    means and blocked covariances over the days on which every asset
+              of the portfolio has a return (day bitmaps, ``packed``)
+5. target     mean training return of the benchmark, or the assets' mean
+6. solve      one row per portfolio (its packed series); a batch of portfolios is
+              one stack of matrices: min w'Sw  s.t.  sum(w) = 1, w'mu = target;
+              without short positions by the critical line algorithm
 7. apply      daily portfolio return on the test dates = sum(w * r)
 
-A portfolio's block is bounded by (trading days x assets), whatever the
-size of the market, so no solve group grows with the data; the shuffle is by
-portfolio_id, which spreads portfolios over executors.
+A portfolio's row is bounded by (days x assets), whatever the size of the market.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import BENCHMARK, TEST_ROWS
+from .critical_line import long_only as min_variance_long_only
+from .packed import bundles, stacks
 from .series import dense_index, train_test_split
 
 WEIGHT_SCHEMA = "portfolio_id long, symbol string, weight double, status string"
-COV_SCHEMA = "portfolio_id long, asset_a string, asset_b string, cov double"
 
 
 # --- 1. universe ---------------------------------------------------------------------
@@ -43,18 +42,16 @@ def fixed_universe(spark: SparkSession, symbols: Sequence[str], portfolio_id: in
     return spark.createDataFrame([(int(portfolio_id), s) for s in symbols], "portfolio_id long, symbol string")
 
 
-def _draw(batches, n_assets: int, seed: int):
-    for pdf in batches:
-        rows = []
-        for pid, size in zip(pdf["portfolio_id"], pdf["n_universe"]):
-            k = int(n_assets)
-            if k > int(size):
-                raise ValueError(f"cannot draw {k} distinct symbols from a pool of {size}")
-            rng = np.random.default_rng([int(seed), int(pid)])
-            for idx in rng.choice(int(size), size=k, replace=False):
-                rows.append((int(pid), int(idx) + 1))
-        yield pd.DataFrame(rows, columns=["portfolio_id", "idx"]).astype({"portfolio_id": "int64",
-                                                                          "idx": "int64"})
+def drawn_places(portfolio_id: Column, size: Column, n: int, seed: int) -> Column:
+    """``n`` different numbers of 1..``size`` as an array, by Floyd's draw: for j from
+    size - n + 1 to size take a number t of 1..j, and j itself where t is taken already.
+
+    t is 1 + (the first 60 bits of md5('seed,portfolio,j') mod j): the same in any engine."""
+    def step(taken: Column, j: Column) -> Column:
+        text = F.concat_ws(",", F.lit(str(seed)), portfolio_id.cast("string"), j.cast("string"))
+        t = F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"), j) + 1
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, t), j).otherwise(t)))
+    return F.aggregate(F.sequence(size - n + 1, size), F.array().cast("array<bigint>"), step)
 
 
 def sampled_universe(symbols: DataFrame, n_portfolios: int, n_assets: int, seed: int = 100,
@@ -63,20 +60,20 @@ def sampled_universe(symbols: DataFrame, n_portfolios: int, n_assets: int, seed:
     distinct symbols each (``sample(colnames, n)``; a smaller pool is an error), plus ``include`` symbols
     in every portfolio (the benchmark, in the script).
 
-    The draw is repeatable (numpy generator seeded by (seed, portfolio_id));
-    R's generator is not reproduced.  Symbols are numbered 1..n once
-    (:func:`series.dense_index`, in parallel) and each portfolio draws
-    indices in an Arrow-batched ``mapInPandas`` -- no portfolio x symbol
-    product is formed.
+    Symbols are numbered 1..n by the md5 of their names (:func:`series.dense_index`, in
+    parallel), and each portfolio draws its numbers by itself: no portfolio x symbol
+    product is formed, and any engine with md5 repeats the draw.
+    R's generator is not reproduced.
     """
     pool = symbols.select("symbol").distinct()
     if include:
         pool = pool.where(~F.col("symbol").isin(list(include)))
-    numbered = dense_index(pool, "symbol")                 # 1..n, numbered in parallel
-    n_universe = pool.agg(F.count(F.lit(1))).scalar()
+    numbered = dense_index(pool, "symbol")
     ids = symbols.sparkSession.range(n_portfolios).select(
-        F.col("id").alias("portfolio_id"), n_universe.alias("n_universe"))
-    picks = ids.mapInPandas(lambda it: _draw(it, n_assets, seed), "portfolio_id long, idx long")
+        F.col("id").alias("portfolio_id"), pool.agg(F.count(F.lit(1))).scalar().alias("_n"))
+    able = ids.withColumn("_n", F.when(F.col("_n") >= n_assets, F.col("_n")).otherwise(F.raise_error(
+        F.format_string(f"cannot draw {n_assets} distinct symbols from a pool of %d", "_n")).cast("long")))
+    picks = able.select("portfolio_id", F.explode(drawn_places(F.col("portfolio_id"), F.col("_n"), n_assets, seed)).alias("idx"))
     out = picks.join(numbered, "idx").select("portfolio_id", "symbol")
     if include:
         extra = ids.select("portfolio_id", F.explode(F.array(*[F.lit(s) for s in include])).alias("symbol"))
@@ -134,182 +131,153 @@ def asset_means(train_complete: DataFrame) -> DataFrame:
     return train_complete.groupBy("portfolio_id", "symbol").agg(F.avg("ret").alias("mean"))
 
 
-# --- 6. per-portfolio numpy steps ----------------------------------------------------------
-
-def _block(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-    """(dates x assets) matrix of one portfolio; incomplete dates dropped.
+# --- 6. the solve --------------------------------------------------------------------------
 
-    Rows are placed by factorised (date, symbol) codes into a NaN-filled
-    array; dropping rows with a NaN keeps exactly the dates on which every
-    asset has a return.
-    """
-    d_codes, _ = pd.factorize(pdf["date"], sort=True)
-    s_codes, symbols = pd.factorize(pdf["symbol"], sort=True)
-    x = np.full((d_codes.max() + 1 if len(d_codes) else 0, len(symbols)), np.nan)
-    x[d_codes, s_codes] = pdf["ret"].to_numpy(dtype="float64", na_value=np.nan)
-    x = x[~np.isnan(x).any(axis=1)]
-    return [str(s) for s in symbols], x
+def moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, sample covariances and number of complete days of a stack (portfolios, assets, days)."""
+    full = ~np.isnan(x).any(axis=1, keepdims=True)
+    n = full.sum(axis=(1, 2))
+    mu = np.where(full, x, 0.0).sum(axis=2) / np.maximum(n, 1)[:, None]
+    away = np.where(full, x - mu[:, :, None], 0.0)
+    cov = away @ away.transpose(0, 2, 1) / np.maximum(n - 1, 1)[:, None, None]
+    return mu, cov, n
 
 
-def min_variance(mu: np.ndarray, cov: np.ndarray, target: float | None) -> tuple[np.ndarray | None, str]:
-    """Bordered system of the equality-constrained minimum-variance problem.
+def min_variance_stack(mu: np.ndarray, cov: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bordered systems of a stack of equality-constrained minimum-variance problems:
+    (weights, solved).  A NaN target drops the return constraint (global minimum variance).
 
-    ``target=None`` drops the return constraint (global minimum variance).
+    Matrices are judged singular after scaling: variances by their mean, means by
+    their distance from the average mean.
     """
-    n = len(mu)
-    rows = [np.ones(n)] + ([mu] if target is not None else [])
-    a = np.vstack(rows)
-    m = a.shape[0]
-    k = np.zeros((n + m, n + m))
-    k[:n, :n] = 2.0 * cov
-    k[:n, n:] = a.T
-    k[n:, :n] = a
-    rhs = np.zeros(n + m)
-    rhs[n] = 1.0
-    if target is not None:
-        rhs[n + 1] = target
-    try:
-        if not np.isfinite(k).all() or np.linalg.cond(k) > 1e14:
-            return None, "singular"
-        sol = np.linalg.solve(k, rhs)
-    except np.linalg.LinAlgError:
-        return None, "singular"
-    return sol[:n], "optimal"
-
-
-def min_variance_long_only(mu: np.ndarray, cov: np.ndarray, target: float | None,
-                           tol: float = 1e-12) -> tuple[np.ndarray | None, str]:
-    """PTF-05: the same problem with w >= 0, by an active-set loop.
-
-    Solve on the free set; clamp the most negative weight to zero; release a
-    clamped asset whose KKT multiplier is negative.  Infeasible when the
-    target lies outside [min(mu), max(mu)].
-    """
-    n = len(mu)
-    if target is not None and (target < mu.min() - tol or target > mu.max() + tol):
-        return None, "infeasible"
-    free = np.ones(n, dtype=bool)
-    for _ in range(10 * n + 10):
-        idx = np.flatnonzero(free)
-        if len(idx) == 0:
-            return None, "infeasible"
-        wf, st = min_variance(mu[idx], cov[np.ix_(idx, idx)], target)
-        if wf is None:
-            # a lone asset (or a degenerate set) may still meet the constraints
-            if len(idx) == 1 and (target is None or abs(mu[idx[0]] - target) <= 1e-12):
-                wf = np.array([1.0])
-            else:
-                return None, st
-        if (wf < -tol).any():
-            free[idx[np.argmin(wf)]] = False
-            continue
-        w = np.zeros(n)
-        w[idx] = np.maximum(wf, 0.0)
-        # multipliers of the equality constraints from the free-set gradient
-        g = 2.0 * cov @ w
-        a = np.vstack([np.ones(n)] + ([mu] if target is not None else []))
-        lam, *_ = np.linalg.lstsq(a[:, idx].T, -g[idx], rcond=None)
-        s = g + a.T @ lam                       # bound multipliers (>= 0 at optimum)
-        clamped = np.flatnonzero(~free)
-        if len(clamped) and s[clamped].min() < -1e-10:
-            free[clamped[np.argmin(s[clamped])]] = True
+    count, n = mu.shape
+    weights, solved = np.full((count, n), np.nan), np.zeros(count, dtype=bool)
+    free = np.isnan(target)
+    with np.errstate(all="ignore"):
+        c = cov / np.einsum("bii->b", cov)[:, None, None] * n
+        middle = mu.mean(axis=1)
+        spread = np.abs(mu - middle[:, None]).max(axis=1)
+        m, t = (mu - middle[:, None]) / spread[:, None], (target - middle) / spread
+    for some, rows in ((free, 1), (~free, 2)):
+        at = np.flatnonzero(some)
+        if not len(at):
             continue
-        return w, "optimal"
-    return None, "no_convergence"
+        k = np.zeros((len(at), n + rows, n + rows))
+        k[:, :n, :n] = 2.0 * c[at]
+        k[:, :n, n] = k[:, n, :n] = 1.0
+        rhs = np.zeros((len(at), n + rows, 1))
+        rhs[:, n] = 1.0
+        if rows == 2:
+            k[:, :n, n + 1] = k[:, n + 1, :n] = m[at]
+            rhs[:, n + 1, 0] = t[at]
+        ok = np.isfinite(k).all(axis=(1, 2)) & np.isfinite(rhs).all(axis=(1, 2))
+        ok[ok] = np.linalg.cond(k[ok]) < 1e14
+        weights[at[ok]] = np.linalg.solve(k[ok], rhs[ok])[:, :n, 0]
+        solved[at[ok]] = True
+    return weights, solved
 
 
-def _weights_frame(pid, symbols, w, status) -> pd.DataFrame:
-    return pd.DataFrame({"portfolio_id": np.full(len(symbols), pid, dtype="int64"), "symbol": symbols,
-                         "weight": (w if w is not None else np.full(len(symbols), np.nan)),
-                         "status": status})
+def min_variance(mu: np.ndarray, cov: np.ndarray, target: float | None) -> tuple[np.ndarray | None, str]:
+    """One problem of :func:`min_variance_stack`; ``target=None`` drops the return constraint."""
+    w, solved = min_variance_stack(np.asarray(mu, dtype=float)[None], np.atleast_2d(np.asarray(cov, dtype=float))[None],
+                                   np.array([np.nan if target is None else target]))
+    return (w[0], "optimal") if solved[0] else (None, "singular")
 
 
-def _solver(long_only: bool):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pid = int(pdf["portfolio_id"].iloc[0])
-        target = pdf["target"].iloc[0]
-        target = None if pd.isna(target) else float(target)
-        symbols, x = _block(pdf)
-        if x.shape[0] < 2:
-            return _weights_frame(pid, symbols, None, "too_few_dates")
-        mu = x.mean(axis=0)
-        cov = np.atleast_2d(np.cov(x, rowvar=False, ddof=1))
-        w, status = (min_variance_long_only if long_only else min_variance)(mu, cov, target)
-        return _weights_frame(pid, symbols, w, status)
-    return solve
+#: targets besides a given one
+NAIVE = "naive"
 
 
-def solve_weights(train_complete: DataFrame, target: DataFrame, long_only: bool = False) -> DataFrame:
+def solve_weights(universe: DataFrame, packed: DataFrame, n_days: int, n_train: int,
+                  target: Column | str | None, long_only: bool = False) -> DataFrame:
     """PTF-04 / PTF-05: (portfolio_id, symbol, weight, status) per portfolio.
 
-    ``target`` is (portfolio_id, target); a NULL target solves the global
-    minimum-variance portfolio.  Singular or infeasible problems give NULL
-    weights and their status instead of failing the job.  ``train`` may be
-    the complete rows (:func:`complete_rows`) or all training rows: the
-    per-portfolio block keeps complete dates either way, so the solve path
-    can skip that extra shuffle.
+    ``packed``: the series (:func:`packed.pack_series`), ``n_days`` long, of which the first
+    ``n_train`` are learned from; days on which an asset has no return are left out.
+    ``target``: a scalar column (one target for all), ``NAIVE`` (the mean of the portfolio's
+    asset means), or ``None`` (least variance at any mean).  Singular or infeasible
+    problems give NULL weights and their status instead of failing the job.
     """
-    # dates travel as day numbers: cheaper through Arrow than date objects
-    x = train_complete.select("portfolio_id", F.unix_date("date").alias("date"), "symbol", "ret") \
-        .join(target, "portfolio_id", "left")
-    return x.groupBy("portfolio_id").applyInPandas(_solver(long_only), WEIGHT_SCHEMA)
-
-
-def _cov_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-    pid = int(pdf["portfolio_id"].iloc[0])
-    symbols, x = _block(pdf)
-    cov = np.atleast_2d(np.cov(x, rowvar=False, ddof=1)) if x.shape[0] > 1 else \
-        np.full((len(symbols), len(symbols)), np.nan)
-    a, b = np.meshgrid(np.arange(len(symbols)), np.arange(len(symbols)), indexing="ij")
-    return pd.DataFrame({"portfolio_id": np.full(a.size, pid, dtype="int64"),
-                         "asset_a": [symbols[i] for i in a.ravel()], "asset_b": [symbols[j] for j in b.ravel()],
-                         "cov": cov.ravel()})
-
-
-def covariance(train_complete: DataFrame) -> DataFrame:
-    """PTF-03: sample covariance of each portfolio's assets (long N x N form)."""
-    return train_complete.select("portfolio_id", F.unix_date("date").alias("date"), "symbol", "ret") \
-        .groupBy("portfolio_id").applyInPandas(_cov_frame, COV_SCHEMA)
-
-
-def optimality(train_complete: DataFrame, target: DataFrame, weights: DataFrame) -> DataFrame:
+    naive = isinstance(target, str)
+    goal = F.lit(None).cast("double") if target is None or naive else target
+    rows = bundles(universe, packed).withColumn("target", goal)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("portfolio_id").to_numpy()
+            goals = batch.column("target").to_numpy(zero_copy_only=False).astype(float)
+            for at, names, x in stacks(batch, n_days):
+                mu, cov, days = moments(x[:, :, :n_train])
+                t = mu.mean(axis=1) if naive else goals[at]
+                few = days < 2
+                if long_only:
+                    got = [min_variance_long_only(m, c, None if np.isnan(g) else float(g)) for m, c, g in zip(mu, cov, t, strict=True)]
+                    w = np.array([np.full(mu.shape[1], np.nan) if v is None else v for v, _ in got])
+                    status = np.array([s for _, s in got], dtype=object)
+                else:
+                    w, solved = min_variance_stack(mu, cov, t)
+                    status = np.where(solved, "optimal", "singular").astype(object)
+                w[few], status[few] = np.nan, "too_few_dates"
+                n, flat = mu.shape[1], w.ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids[at], n)), pa.array([s for row in names for s in row], pa.string()),
+                     pa.array(flat, mask=np.isnan(flat)), pa.array(np.repeat(status, n), pa.string())],
+                    names=["portfolio_id", "symbol", "weight", "status"])
+
+    return rows.mapInArrow(solve, WEIGHT_SCHEMA)
+
+
+def optimality(train_complete: DataFrame, target: DataFrame, weights: DataFrame, bounded: bool = False) -> DataFrame:
     """How well solved weights meet their problem, per portfolio: n_assets, status,
     sum_weights, gap (expected return against the target, over the largest mean),
     least_weight and kkt.
 
-    At the minimum variance each asset's covariance with the portfolio is a line
-    in the asset's mean; ``kkt`` is the largest distance from the fitted line over
-    the largest covariance (for weights bounded by zero it need not vanish).  The
-    covariance with the portfolio's own return takes the place of the matrix, so
-    no pairs of assets are made.
+    At the minimum variance each held asset's covariance with the portfolio is a line
+    in the asset's mean, and (``bounded``: weights not below zero) an asset left out lies on
+    it or above.  ``kkt`` is the largest distance from that over the largest
+    covariance.  The covariance with the portfolio's own return takes the place of the
+    matrix, so no pairs of assets are made.
     """
     held = train_complete.join(weights, ["portfolio_id", "symbol"])
-    own = held.groupBy("portfolio_id", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("_own"))
-    each = held.join(own, ["portfolio_id", "date"]).groupBy("portfolio_id", "symbol").agg(
-        F.avg("ret").alias("_mu"), F.covar_samp("ret", "_own").alias("_g"), F.max("weight").alias("_w"),
-        F.max("status").alias("_status"))
-    line = each.groupBy("portfolio_id").agg(
+    day = Window.partitionBy("portfolio_id", "date")
+    each = (held.withColumn("_own", F.sum(F.col("weight") * F.col("ret")).over(day)).groupBy("portfolio_id", "symbol").agg(
+        F.avg("ret").alias("_mu"), F.covar_samp("ret", "_own").alias("_g"), F.max("weight").alias("_w"), F.max("status").alias("_status")))
+    in_use = F.col("_w") > 1e-9 if bounded else F.lit(True)
+    # one row per asset of the portfolio
+    whole = Window.partitionBy("portfolio_id")
+    each = each.withColumns({"_in": in_use, "_gi": F.when(in_use, F.col("_g")), "_mi": F.when(in_use, F.col("_mu"))})
+    each = each.withColumns({"_slope": F.regr_slope("_gi", "_mi").over(whole), "_g1": F.max("_gi").over(whole),
+                             "_m1": F.max("_mi").over(whole)})
+    # a single held asset leaves the slope open: the least one that the assets of lower mean allow, else
+    # the largest that those of higher mean allow
+    edge = (F.col("_g") - F.col("_g1")) / (F.col("_mu") - F.col("_m1"))
+    low, high = F.max(F.when(F.col("_mu") < F.col("_m1"), edge)).over(whole), F.min(F.when(F.col("_mu") > F.col("_m1"), edge)).over(whole)
+    each = each.withColumn("_slope", F.coalesce("_slope", low, high, F.lit(0.0)))
+    each = each.withColumn("_at", F.avg(F.col("_gi") - F.col("_slope") * F.col("_mi")).over(whole))
+    off = F.col("_g") - F.col("_at") - F.col("_slope") * F.col("_mu")
+    line = each.withColumn("_off", F.when(F.col("_in"), F.abs(off)).otherwise(F.greatest(-off, F.lit(0.0)))).groupBy("portfolio_id").agg(
         F.count(F.lit(1)).alias("n_assets"), F.max("_status").alias("status"), F.sum("_w").alias("sum_weights"),
         F.sum(F.col("_w") * F.col("_mu")).alias("_mean"), F.max(F.abs("_mu")).alias("_top"),
-        F.min("_w").alias("least_weight"), F.regr_slope("_g", "_mu").alias("_slope"),
-        F.regr_intercept("_g", "_mu").alias("_at"), F.max(F.abs("_g")).alias("_most"))
-    off = each.join(line, "portfolio_id").groupBy("portfolio_id").agg(
-        F.max(F.abs(F.col("_g") - F.col("_at") - F.col("_slope") * F.col("_mu")) / F.col("_most")).alias("kkt"))
-    return line.join(off, "portfolio_id").join(target, "portfolio_id").select(
+        F.min("_w").alias("least_weight"), F.max("_off").alias("_off"), F.max(F.abs("_g")).alias("_most"))
+    return line.join(target, "portfolio_id").select(
         "portfolio_id", "n_assets", "status", "sum_weights",
-        (F.abs(F.col("_mean") - F.col("target")) / F.col("_top")).alias("gap"), "least_weight", "kkt")
+        (F.abs(F.col("_mean") - F.col("target")) / F.col("_top")).alias("gap"), "least_weight",
+        (F.col("_off") / F.col("_most")).alias("kkt"))
 
 
 # --- 7-8. apply and compare ----------------------------------------------------------------
 
-def apply_weights(test: DataFrame, weights: DataFrame) -> DataFrame:
-    """PTF-07: daily portfolio return sum(w * r); NULL on a date where an asset is missing."""
-    n = weights.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("_n"))
-    j = test.join(weights.select("portfolio_id", "symbol", "weight"), ["portfolio_id", "symbol"])
-    g = j.groupBy("portfolio_id", "date").agg(F.count("ret").alias("_k"),
-                                              F.sum(F.col("weight") * F.col("ret")).alias("_s"))
-    return g.join(n, "portfolio_id").select(
-        "portfolio_id", "date", F.when(F.col("_k") == F.col("_n"), F.col("_s")).alias("ret"))
+def apply_weights(weights: DataFrame, packed: DataFrame, days: DataFrame, n_days: int, n_train: int) -> DataFrame:
+    """PTF-07: daily portfolio return sum(w * r) on the days after the first ``n_train``; NULL on a
+    date when an asset has no return.
+
+    The weights meet one row per symbol; only the held-out days are spread to rows."""
+    late = packed.select("symbol", F.slice("rets", n_train + 1, max(n_days - n_train, 1)).alias("_r"))
+    rows = weights.join(late, "symbol").select("portfolio_id", "weight", F.posexplode("_r").alias("_k", "ret"))
+    sums = rows.groupBy("portfolio_id", (F.col("_k") + n_train).alias("day")).agg(
+        F.when(F.count("ret") == F.count(F.lit(1)), F.sum(F.col("weight") * F.col("ret"))).alias("ret"))
+    # one row per day
+    return sums.join(F.broadcast(days.select("day", "date")), "day").select("portfolio_id", "date", "ret")
 
 
 def with_benchmark(port_ret: DataFrame, bench_test: DataFrame, label: str = "ptf",
@@ -317,7 +285,6 @@ def with_benchmark(port_ret: DataFrame, bench_test: DataFrame, label: str = "ptf
     """PTF-08: portfolio and benchmark test series side by side, long form
     (portfolio_id, series, date, ret) -- ``Rp`` of the script."""
     dates = port_ret.select("portfolio_id", "date")
-    b = dates.join(F.broadcast(bench_test.select("date", "ret")), "date").select(   # one row per date
-        "portfolio_id", F.lit(bench).alias("series"), "date", "ret")
+    b = dates.join(bench_test.select("date", "ret"), "date").select("portfolio_id", F.lit(bench).alias("series"), "date", "ret")
     p = port_ret.select("portfolio_id", F.lit(label).alias("series"), "date", "ret")
     return p.unionByName(b)

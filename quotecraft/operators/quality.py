@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -35,11 +35,13 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 def not_null_violations(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """DQ-02: (column_name, *keys) for each NULL in a NOT NULL column."""
-    parts = [df.where(F.col(c).isNull()).select(F.lit(c).alias("column_name"), *keys) for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    bad = violations([(F.col(c).isNull(), F.struct(F.lit(c).alias("column_name"))) for c in columns])
+    return df.select(*keys, F.explode(bad).alias("_v")).select("_v.column_name", *keys)
+
+
+def violations(checks: Sequence[tuple[Column, Column]]) -> Column:
+    """An array of the structs whose condition holds: exploded, all checks of a row in one scan."""
+    return F.array_compact(F.array(*[F.when(bad, what) for bad, what in checks]))
 
 
 def fk_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -65,13 +67,9 @@ def length_report(df: DataFrame, limits: dict[str, int]) -> DataFrame:
 
 def length_violations(df: DataFrame, limits: dict[str, int], keys: Sequence[str]) -> DataFrame:
     """DQ-04: (column_name, *keys, length) for each value over its limit."""
-    parts = [df.where(F.length(c) > lim).select(F.lit(c).alias("column_name"), *keys,
-                                                 F.length(c).alias("length"))
-             for c, lim in limits.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    bad = violations([(F.length(c) > lim, F.struct(F.lit(c).alias("column_name"), F.length(c).alias("length")))
+                      for c, lim in limits.items()])
+    return df.select(*keys, F.explode(bad).alias("_v")).select("_v.column_name", *keys, "_v.length")
 
 
 def zero_to_null(df: DataFrame, column: str) -> DataFrame:
@@ -98,10 +96,32 @@ def cast_lenient(df: DataFrame, casts: dict[str, str], keys: Sequence[str]) -> t
     """
     typed = df.select(*[F.expr(f"try_cast(`{c}` AS {casts[c]})").alias(c) if c in casts else F.col(c)
                         for c in df.columns])
-    parts = [df.where(F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` AS {t})").isNull())
-             .select(*keys, F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-             for c, t in casts.items()]
-    rejects = parts[0]
-    for p in parts[1:]:
-        rejects = rejects.unionByName(p)
-    return typed, rejects
+    bad = violations([(_rejected(c, t), F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")))
+                      for c, t in casts.items()])
+    return typed, df.select(*keys, F.explode(bad).alias("_v")).select(*keys, "_v.column_name", "_v.value")
+
+
+def _rejected(column: str, kind: str) -> Column:
+    return F.col(column).isNotNull() & F.expr(f"try_cast(`{column}` AS {kind})").isNull()
+
+
+def observed(df: DataFrame, required: Sequence[str] = (), limits: dict[str, int] | None = None,
+             casts: dict[str, str] | None = None) -> tuple[DataFrame, Observation]:
+    """``df`` with counters that the next action on it fills, in its own scan: DQ-02, DQ-04 and CLN-03
+    while a load is written.  ``load_report`` reads them.
+
+    Metrics: n_rows, and per column its NULLs (``required``), values over their length
+    (``limits``) and texts that do not convert (``casts``)."""
+    count = lambda bad: F.count(F.when(bad, 1))
+    metrics = [F.count(F.lit(1)).alias("n_rows")]
+    metrics += [count(F.col(c).isNull()).alias(f"null:{c}") for c in required]
+    metrics += [count(F.length(c) > lim).alias(f"long:{c}") for c, lim in (limits or {}).items()]
+    metrics += [count(_rejected(c, t)).alias(f"cast:{c}") for c, t in (casts or {}).items()]
+    seen = Observation()
+    return df.observe(seen, *metrics), seen
+
+
+def load_report(df: DataFrame, seen: Observation) -> DataFrame:
+    """(check_name, column_name, n) of an :func:`observed` load, after its action."""
+    rows = [(*(k.split(":", 1) if ":" in k else (k, "")), int(v)) for k, v in seen.get.items()]
+    return df.sparkSession.createDataFrame(rows, "check_name string, column_name string, n long")

@@ -54,6 +54,14 @@ def missing_from(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return left.select(left_key).join(r, F.col(left_key) == F.col("_r"), "left_anti").distinct()
 
 
+def match_flag(left: DataFrame, right: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """JON-10: every row of ``left`` once, with 1 in ``out`` where ``right`` holds its keys and 0 elsewhere.
+
+    NULL keys match nothing, as in any join."""
+    hits = right.select(*keys).distinct().withColumn(out, F.lit(1))
+    return left.join(hits, keys, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+
+
 def missing_by_outer_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """JON-04: the outer-join form -- LEFT JOIN ... WHERE right key IS NULL."""
     r = right.select(F.col(right_key).alias("_r")).distinct()

@@ -62,16 +62,18 @@ def symbols_matching(df: DataFrame, pattern: str, key: str = "symbol") -> DataFr
     return df.select(key).distinct().where(F.col(key).rlike(pattern))
 
 
-def dense_index(df: DataFrame, key: str, buckets: int = 64, out: str = "idx") -> DataFrame:
-    """Number the distinct values of ``key`` 1..n without a single-partition sort.
+def dense_index(df: DataFrame, key: str, buckets: int | None = None, out: str = "idx") -> DataFrame:
+    """Number the distinct values of ``key`` 1..n by (md5 of the value, value).
 
-    Values are spread over ``buckets`` hash buckets and ranked inside each
-    bucket in parallel; a running sum over the (few) bucket sizes gives each
-    bucket its offset.  Deterministic for a given set of values.
+    The order does not depend on ``buckets``: they are ranges of the md5 (about 10,000 values
+    each unless given), numbered in parallel and shifted by the sizes of the ranges before.
     """
-    vals = df.select(key).distinct().withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    ranked = vals.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
+    vals = df.select(key).distinct().withColumn("_m", F.md5(F.col(key).cast("string").cast("binary")))
+    n = F.lit(buckets) if buckets else F.greatest(F.ceil(vals.agg(F.count(F.lit(1))).scalar() / 10_000), F.lit(1))
+    first = F.conv(F.substring("_m", 1, 8), 16, 10).cast("long")
+    vals = vals.withColumn("_b", F.shiftright(first * n, 32).cast("long"))
+    ranked = vals.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_m", key)))
     sizes = vals.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per bucket: a tiny window, broadcast back
+    # one row per range
     offsets = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_off"))
-    return ranked.join(F.broadcast(offsets), "_b").select(key, (F.col("_off") + F.col("_r")).alias(out))
+    return ranked.join(offsets, "_b").select(key, (F.col("_off") + F.col("_r")).alias(out))

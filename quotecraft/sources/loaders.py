@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.columns import nan_to_null
 from ..params import BENCHMARK
+from ..session import new_table_path
 
 _CSV_READ = {"header": "true", "sep": ",", "quote": '"', "escape": '"', "mode": "FAILFAST"}
 # writing must keep blanks: the staging table's leading/trailing blanks are data
@@ -43,6 +45,40 @@ def read_company_file(spark: SparkSession, path: str, market: str) -> DataFrame:
     return raw.select("symbol", F.lit(market).alias("exchange"), *[c for c in raw.columns if c != "symbol"])
 
 
+#: column that holds a line which does not fit the declared columns
+BAD_LINE = "_corrupt_record"
+
+
+def read_company_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """SRC-01 for all markets' files of ``folder`` in one read: (staging rows, rejects).
+
+    The market is the file's name without ``.csv``, in capitals (a file may be a folder of parts, as
+    Spark writes it).  A line with more or fewer than the 11 declared columns, or with
+    quotes that do not close, does not end the load: it is a reject (exchange, line).  The files are
+    parsed once, into a table of the shared folder that both results read.
+    """
+    schema = T.StructType([*S.COMPANY_FILE.fields, T.StructField(BAD_LINE, T.StringType())])
+    raw = (spark.read.schema(schema).options(**dict(_CSV_READ, mode="PERMISSIVE"))
+           .option("columnNameOfCorruptRecord", BAD_LINE).option("recursiveFileLookup", "true")
+           .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(folder))
+    market = F.upper(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv(/[^/]*)?$", 1))
+    parsed = new_table_path(spark, "company_lines")
+    raw.withColumn("exchange", market).write.parquet(parsed)
+    tagged = spark.read.parquet(parsed)
+    good = tagged.where(F.col(BAD_LINE).isNull()).select(
+        "symbol", "exchange", *[c for c in S.COMPANY_FILE.names if c != "symbol"])
+    return good, tagged.where(F.col(BAD_LINE).isNotNull()).select("exchange", F.col(BAD_LINE).alias("line"))
+
+
+def load_company_files(spark: SparkSession, folder: str, path: str, markets: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """SRC-01 + SRC-08 for three files: each market's staging rows are appended to the company table
+    at ``path``, one insert a market as the reference does; (company table, rejects)."""
+    staging, rejects = read_company_files(spark, folder)
+    for market in markets:
+        company_list_from_staging(staging.where(F.col("exchange") == market), market).write.mode("append").parquet(path)
+    return spark.read.parquet(path), rejects
+
+
 def company_list_from_staging(staging: DataFrame, market: str | None = None) -> DataFrame:
     """SRC-08 + CLN-03: ``INSERT INTO company_list SELECT symbol, '<market>', ...``.
 

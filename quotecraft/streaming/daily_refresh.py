@@ -2,38 +2,107 @@
 
 The reference keeps every calendar day in its exports because "data is
 updated daily" and re-runs its stored views.  This is the incremental form
-of that step: new price files (symbol, date, adj_close) land in a folder;
-each micro-batch
-
-1. writes its rows to the price table, partitioned by (date, batch) with
-   dynamic partition overwrite, so a replayed batch replaces exactly its own
-   folders (idempotent);
-2. reads back only the dates it touches -- the new dates, their previous
-   trading days and the trading days after them: the span of those dates
-   bounds the partition column through scalar subqueries (runtime partition
-   pruning, the history is not scanned), then a semi join keeps the dates;
-3. computes strict returns (RET-01 semantics) for every new row and for
-   every stored row whose previous trading day is a newly arrived date (a
-   late price fixes the return of the day after it);
-4. writes those returns to the return table the same way.
-
-The current value of a (symbol, date) is the one from the highest batch id
-(:func:`current_prices`, :func:`current_returns`).  Progress and replay are
-the stream's own checkpoint under the shared folder.
+of that step: new price files (symbol, date, adj_close) land in a folder, and
+the stream keeps one state per symbol, its prices by day.  A micro-batch
+
+1. joins its rows to the calendar (one row per day): the trading day before, and
+   the days whose trading day before this one is;
+2. updates the symbol's prices and derives the strict returns (RET-01 semantics) that
+   they touch: those of the new days, and those of days after them that came
+   earlier (a late price fixes the return of the day after it);
+3. appends a row (symbol, date, adj_close, ret, seq) for each.
+
+A symbol's state is bounded by the calendar, and a batch reads nothing but its own
+files and the states of its symbols.  The row of the highest ``seq`` is the current one
+(:func:`current_prices`, :func:`current_returns`).  State, progress and the list of written
+files are in the stream's checkpoint and output log under the shared folder, so a replayed
+batch neither counts twice nor leaves rows behind.  :func:`compact` writes the current rows as
+a table of few files.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.returns import real_ratio_minus_one
+from ..session import new_table_path
 
 PRICE_SCHEMA = "symbol string, date date, adj_close float"
-_PRICE_TABLE = "symbol string, adj_close float, date date, batch long"
-_RETURN_TABLE = "symbol string, ret double, date date, batch long"
+_ROW = "symbol string, day int, adj_close float, ret double, has_ret boolean, seq long"
+_STATE = "days array<int>, prices array<float>, seq long"
+_TABLE = "symbol string, date date, adj_close float, ret double, has_ret boolean, seq long"
+
+
+def _neighbour_days(calendar: DataFrame) -> DataFrame:
+    """(date, prev, nexts): day numbers of the trading day before a date and of the dates it comes before."""
+    cal = calendar.select("date", "prev_trading_day")
+    after = cal.where(F.col("prev_trading_day").isNotNull()).groupBy(F.col("prev_trading_day").alias("date")).agg(
+        F.collect_list(F.unix_date("date")).alias("nexts"))       # a weekend or some holidays
+    return cal.join(after, "date", "left").select(
+        "date", F.unix_date("prev_trading_day").alias("prev"),
+        F.coalesce("nexts", F.array().cast("array<int>")).alias("nexts"))
+
+
+def _ret(now: float, before: float) -> float | None:
+    if np.isnan(now) or np.isnan(before):
+        return None
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return float(np.float32(now) / np.float32(before)) - 1.0
+
+
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    days, prices, seq = state.get if state.exists else ([], [], 0)
+    known = {int(d): np.nan if p is None else float(p) for d, p in zip(days, prices, strict=True)}
+    new: dict[int, float] = {}
+    before: dict[int, int | None] = {}
+    after: dict[int, list[int]] = {}
+    for pdf in batches:
+        for day, price, prev, nexts in zip(pdf["day"], pdf["adj_close"], pdf["prev"], pdf["nexts"], strict=True):
+            day = int(day)
+            # two prices of one day in a batch: the larger, so that a replay keeps the same one
+            new[day] = float(np.fmax(new.get(day, np.nan), price))
+            before[day] = None if pd.isna(prev) else int(prev)
+            after[day] = [int(n) for n in nexts]
+    known |= new
+    touched = {d: p for d, p in before.items()}
+    for day, nexts in after.items():
+        touched |= {n: day for n in nexts if n in known and n not in new}
+    seq = int(seq) + 1
+    rows = []
+    for day in sorted(touched):
+        prev = touched[day]
+        has = prev is not None and prev in known
+        price = known[day]
+        rows.append((key[0], day, None if np.isnan(price) else price, _ret(price, known[prev]) if has else None, has, seq))
+    order = sorted(known)
+    state.update((order, [None if np.isnan(known[d]) else known[d] for d in order], seq))
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in _ROW.split(", ")])
+    yield out.astype({"adj_close": "float32", "ret": "float64"})
+
+
+def start_daily_refresh(spark: SparkSession, incoming: str, calendar: DataFrame, path: str, checkpoint: str,
+                        files_per_batch: int = 1, available_now: bool = True) -> StreamingQuery:
+    """Start the stream over ``incoming`` (parquet files of PRICE_SCHEMA in folders); rows go to ``path``."""
+    # written once: a batch reads it instead of deriving the calendar again
+    days = new_table_path(spark, "stream-days")
+    _neighbour_days(calendar).write.parquet(days)
+    src = (spark.readStream.schema(PRICE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+           .parquet(f"{incoming.rstrip('/')}/*/*.parquet"))
+    rows = src.join(F.broadcast(spark.read.parquet(days)), "date").select(    # one row per day
+        "symbol", F.unix_date("date").alias("day"), F.col("adj_close").cast("float").alias("adj_close"), "prev", "nexts")
+    out = rows.groupBy("symbol").applyInPandasWithState(_advance, _ROW, _STATE, "append", GroupStateTimeout.NoTimeout)
+    writer = (out.select("symbol", F.date_from_unix_date("day").alias("date"), "adj_close", "ret", "has_ret", "seq")
+              .writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append"))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
 
 
 def _read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -45,89 +114,43 @@ def _read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _write(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("date", "batch").parquet(path))
-
-
-def _latest(df: DataFrame, value: str) -> DataFrame:
-    return df.groupBy("symbol", "date").agg(F.max_by(value, "batch").alias(value))
-
-
-def current_prices(spark: SparkSession, price_path: str) -> DataFrame:
-    """Latest stored price per (symbol, date)."""
-    return _latest(_read_table(spark, price_path, _PRICE_TABLE), "adj_close")
-
-
-def current_returns(spark: SparkSession, return_path: str) -> DataFrame:
-    """Latest computed strict return per (symbol, date)."""
-    return _latest(_read_table(spark, return_path, _RETURN_TABLE), "ret")
-
-
-def _process(batch: DataFrame, batch_id: int, spark: SparkSession, calendar: DataFrame,
-             price_path: str, return_path: str) -> None:
-    # two prices of one key in a batch: the larger, so that a replay keeps the same one
-    rows = (batch.groupBy("symbol", F.col("date").cast("date").alias("date"))
-            .agg(F.max(F.col("adj_close").cast("float")).alias("adj_close")))
-    _write(rows.withColumn("batch", F.lit(batch_id).cast("long")), price_path)
-
-    cal = F.broadcast(calendar.select("date", "prev_trading_day"))     # one row per day
-    new_dates = rows.select("date").distinct()
-    # the dates this batch touches: new days, the days before them, the days after them
-    touched = (new_dates
-               .unionByName(new_dates.join(cal, "date").select(F.col("prev_trading_day").alias("date")))
-               .unionByName(cal.join(new_dates.select(F.col("date").alias("prev_trading_day")),
-                                     "prev_trading_day").select("date"))
-               .where(F.col("date").isNotNull()).distinct())
-    stored = _read_table(spark, price_path, _PRICE_TABLE)
-    # scalar-subquery bounds become runtime partition filters on ``date``:
-    # only the touched span of date folders is listed and read
-    lo, hi = touched.agg(F.min("date")).scalar(), touched.agg(F.max("date")).scalar()
-    span = stored.where(F.col("date").between(lo, hi))
-    prices = _latest(span.join(F.broadcast(touched), "date", "left_semi"), "adj_close")
-
-    new_keys = rows.select("symbol", "date")
-    after = (prices.join(cal, "date")
-             .join(new_keys.select("symbol", F.col("date").alias("prev_trading_day")),
-                   ["symbol", "prev_trading_day"], "left_semi")
-             .select("symbol", "date"))
-    affected = new_keys.unionByName(after).distinct()
-    cur = prices.join(affected, ["symbol", "date"], "left_semi").join(cal, "date")
-    prev = prices.select("symbol", F.col("date").alias("prev_trading_day"), F.col("adj_close").alias("prev_close"))
-    rets = cur.join(prev, ["symbol", "prev_trading_day"]).select(
-        "symbol", "date", real_ratio_minus_one(F.col("adj_close"), F.col("prev_close")).alias("ret"),
-        F.lit(batch_id).cast("long").alias("batch"))
-    _write(rets, return_path)
-
-
-def start_daily_refresh(spark: SparkSession, incoming: str, calendar: DataFrame, price_path: str,
-                        return_path: str, checkpoint: str, files_per_batch: int = 1,
-                        available_now: bool = True) -> StreamingQuery:
-    """Start the stream over ``incoming`` (parquet files of PRICE_SCHEMA)."""
-    src = (spark.readStream.schema(PRICE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
-           .parquet(f"{incoming.rstrip('/')}/*/*.parquet"))
-    writer = (src.writeStream.foreachBatch(
-        lambda df, bid: _process(df, bid, spark, calendar, price_path, return_path))
-        .option("checkpointLocation", checkpoint))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+def _current(spark: SparkSession, path: str) -> DataFrame:
+    rows = _read_table(spark, path, _TABLE)
+    last = F.max_by(F.struct("adj_close", "ret", "has_ret", "seq"), "seq").alias("_v")
+    return rows.groupBy("symbol", "date").agg(last).select("symbol", "date", "_v.*")
+
+
+def current_prices(spark: SparkSession, path: str) -> DataFrame:
+    """Latest price per (symbol, date)."""
+    return _current(spark, path).select("symbol", "date", "adj_close")
+
+
+def current_returns(spark: SparkSession, path: str) -> DataFrame:
+    """Latest strict return per (symbol, date) that has a price on the trading day before."""
+    return _current(spark, path).where("has_ret").select("symbol", "date", "ret")
+
+
+def compact(spark: SparkSession, path: str, to: str) -> str:
+    """The current rows as one table, in ranges of symbol and date; the stream's own files stay as they are."""
+    _current(spark, path).repartitionByRange("symbol", "date").sortWithinPartitions("symbol", "date").write.parquet(to)
+    return to
 
 
-def write_daily_files(prices: DataFrame, incoming: str, order: list | None = None) -> list:
-    """Split a price table into one folder per arriving day (test input).
+def write_daily_files(prices: DataFrame, incoming: str, late: dt.date | None = None) -> str:
+    """Split a price table into one folder per arriving day (test input), in one job.
 
-    ``order`` gives the arrival order of dates; by default oldest first.
-    Folder ``d<k>`` holds the k-th arrival; the stream reads
-    ``<incoming>/*/*.parquet``, so Spark's own ``_temporary`` and marker files
-    are never picked up.
+    Days arrive oldest first, ``late`` last.  Folder ``arrival=<k>`` holds the k-th arrival; the stream
+    reads ``<incoming>/*/*.parquet``, so Spark's own ``_temporary`` and marker files are never
+    picked up.
     """
-    dates = order if order is not None else \
-        [r.date for r in prices.select("date").distinct().orderBy("date").collect()]
-    # the date list is bounded by the calendar; this helper only prepares test input
-    for i, d in enumerate(dates):
-        part = prices.where(F.col("date") == F.lit(d)).select("symbol", "date", "adj_close")
-        part.coalesce(1).write.mode("overwrite").parquet(f"{incoming}/d{i:05d}")
-    return dates
+    # one row per date: bounded by the calendar
+    dates = prices.select("date").distinct()
+    order = dates.withColumn("arrival", F.row_number().over(
+        Window.orderBy(F.col("date").eqNullSafe(F.lit(late).cast("date")), "date")))
+    rows = prices.join(F.broadcast(order), "date").select("symbol", "date", "adj_close", "arrival")
+    # a hot day is written by several tasks, each a file of its folder
+    rows.repartitionByRange("arrival", "symbol").write.mode("overwrite").partitionBy("arrival").parquet(incoming)
+    return incoming
 
 
-__all__ = ["start_daily_refresh", "current_prices", "current_returns", "write_daily_files"]
+__all__ = ["start_daily_refresh", "current_prices", "current_returns", "compact", "write_daily_files"]

@@ -29,7 +29,7 @@ def test_enrichment_matches_join_forms(spark):
     cal = C.trading_calendar(spark, "2023-12-20", "2024-02-05")
     enr = C.enrich_calendar(cal)
     asof = C.prev_trading_day_asof(cal)
-    eom_join = C.eom_flags_by_join(cal)
+    eom_join = C.month_end_flags(cal)
     a = {r.date: r.prev_trading_day for r in enr.collect()}
     b = {r.date: r.ptd for r in asof.collect()}
     assert a == b                                      # JON-13 == WIN-01

@@ -77,12 +77,154 @@ def test_singular():
     assert w is None and status == "singular"
 
 
-def test_block_drops_incomplete_dates():
-    import pandas as pd
-    pdf = pd.DataFrame({"date": [1, 1, 2, 2, 3], "symbol": ["a", "b", "a", "b", "a"],
-                        "ret": [0.1, 0.2, None, 0.3, 0.5]})
-    syms, x = PT._block(pdf)
-    assert syms == ["a", "b"] and x.tolist() == [[0.1, 0.2]]
+def test_moments_drop_incomplete_dates():
+    x = np.array([[[0.1, np.nan, 0.3, 0.5], [0.2, 0.3, 0.1, 0.4]]])
+    mu, cov, n = PT.moments(x)
+    full = x[0][:, [0, 2, 3]]
+    assert n.tolist() == [3] and np.allclose(mu[0], full.mean(axis=1)) and np.allclose(cov[0], np.cov(full, ddof=1))
+
+
+def _returns(spark, x, symbols):
+    """Rows (symbol, date, day, ret) of a (symbols, days) matrix; NaN is NULL, infinity is no row."""
+    import datetime as dt
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=d), d, None if np.isnan(v) else float(v))
+            for s, series in zip(symbols, x, strict=True) for d, v in enumerate(series) if not np.isinf(v)]
+    return spark.createDataFrame(rows, "symbol string, date date, day int, ret double")
+
+
+@pytest.fixture(scope="module")
+def gappy(spark):
+    """40 series of 150 days with NULLs and missing rows, one without any return, and 30 portfolios of them."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(0.001, 0.02, (41, 150)) + rng.normal(0, 0.002, (41, 1))
+    x[rng.random(x.shape) < 0.004] = np.nan
+    x[rng.random(x.shape) < 0.003] = np.inf
+    x[7, 64:128] = np.inf                                    # a whole word of the bitmap
+    x[40] = np.nan
+    symbols = [f"S{i:02d}" for i in range(41)]
+    universe = [(p, symbols[i]) for p in range(30) for i in rng.choice(40, 2 + p % 7, replace=False)]
+    universe += [(30, s) for s in symbols[:40]] + [(31, "S40"), (31, "S01"), (32, "S03")]
+    u = spark.createDataFrame(universe, "portfolio_id long, symbol string")
+    clean = np.where(np.isinf(x), np.nan, x)
+    return symbols, clean, u, _returns(spark, x, symbols), universe
+
+
+def test_packed_series_and_bitmaps(spark, gappy):
+    from quotecraft.operators import packed as pk
+    symbols, x, u, ret, universe = gappy
+    got = {r.symbol: [np.nan if v is None else v for v in r.rets] for r in pk.pack_series(ret, 150).collect()}
+    assert set(got) == set(symbols)
+    for s, series in zip(symbols, x, strict=True):
+        assert np.array_equal(got[s], series, equal_nan=True)
+    days = {r.portfolio_id: pk.days_of(r.words, 150) for r in pk.complete_days(u, pk.day_bitmaps(ret)).collect()}
+    for p in range(33):
+        mine = [symbols.index(s) for q, s in universe if q == p]
+        assert (days[p] == ~np.isnan(x[mine]).any(axis=0)).all()
+
+
+@pytest.mark.parametrize("block", [256, 4, 1])
+def test_blocked_covariance(spark, gappy, block):
+    from quotecraft.operators import packed as pk
+    symbols, x, u, ret, universe = gappy
+    packed = pk.pack_series(ret, 150)
+    got = {}
+    for r in pk.covariance_blocks(u, packed, pk.complete_days(u, pk.day_bitmaps(ret)), 150, block).collect():
+        assert (r.portfolio_id, r.asset_a, r.asset_b) not in got
+        got[r.portfolio_id, r.asset_a, r.asset_b] = r["cov"]
+    for p in range(33):
+        mine = sorted(s for q, s in universe if q == p)
+        m = x[[symbols.index(s) for s in mine]]
+        m = m[:, ~np.isnan(m).any(axis=0)]
+        for i, a in enumerate(mine):
+            for j, b in enumerate(mine):
+                if m.shape[1] < 2:
+                    assert got[p, a, b] is None
+                else:
+                    assert got[p, a, b] == pytest.approx(np.cov(m[i], m[j])[0, 1], abs=1e-15)
+    once = pk.covariance_blocks(u, packed, pk.complete_days(u, pk.day_bitmaps(ret)), 150, block, both=False).collect()
+    assert len(once) == sum(1 for p, a, b in got if a <= b) and all(r.asset_a <= r.asset_b for r in once)
+
+
+@pytest.mark.parametrize("long_only", [False, True])
+def test_stacked_weights_equal_single_solves(spark, gappy, long_only):
+    from quotecraft.operators import packed as pk
+    symbols, x, u, ret, universe = gappy
+    packed = pk.pack_series(ret, 150)
+    got = {}
+    for r in PT.solve_weights(u, packed, 150, 120, PT.NAIVE, long_only).collect():
+        got.setdefault(r.portfolio_id, {})[r.symbol] = (r.weight, r.status)
+    for p in range(31):
+        mine = sorted(s for q, s in universe if q == p)
+        m = x[[symbols.index(s) for s in mine]][:, :120]
+        m = m[:, ~np.isnan(m).any(axis=0)]
+        mu, cov = m.mean(axis=1), np.cov(m)
+        w, status = (PT.min_variance_long_only if long_only else PT.min_variance)(mu, cov, mu.mean())
+        if w is None:
+            assert p == 30 and not long_only or len(mine) > m.shape[1]    # more assets than complete days
+            continue
+        assert [got[p][s][0] for s in mine] == pytest.approx(list(w), abs=1e-8)
+        assert {got[p][s][1] for s in mine} == {status}
+    assert {s for _, s in got[31].values()} == {"too_few_dates"} and all(w is None for w, _ in got[31].values())
+
+
+def test_critical_line_meets_the_conditions():
+    """Random problems of up to 24 assets: no better direction exists at the solution."""
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(2, 25))
+        x = rng.normal(0.001, 0.02, (120, n)) + rng.normal(0, 0.002, n)
+        mu, cov = x.mean(axis=0), np.cov(x, rowvar=False)
+        t = mu.min() + rng.uniform(0.01, 0.99) * (mu.max() - mu.min())
+        w, status = PT.min_variance_long_only(mu, cov, t)
+        assert status == "optimal" and (w >= 0).all()
+        assert w.sum() == pytest.approx(1) and w @ mu == pytest.approx(t, abs=1e-12)
+        g, held = cov @ w, w > 0
+        a = np.column_stack([mu[held], np.ones(held.sum())])
+        slope, at = np.linalg.lstsq(a, g[held], rcond=None)[0]
+        off = g - slope * mu - at
+        assert np.abs(off[held]).max() < 1e-7 * np.abs(g).max()
+        if held.sum() > 1:
+            assert off[~held].min(initial=0) > -1e-7 * np.abs(g).max()
+
+
+def test_critical_line_at_the_ends_and_with_ties():
+    cov = np.diag([1.0, 2.0, 3.0])
+    w, status = PT.min_variance_long_only(np.array([0.01, 0.01, 0.02]), cov, 0.01)
+    assert status == "optimal" and w == pytest.approx([2 / 3, 1 / 3, 0])
+    w, _ = PT.min_variance_long_only(np.array([0.01, 0.01, 0.02]), cov, 0.02)
+    assert w == pytest.approx([0, 0, 1])
+    w, _ = PT.min_variance_long_only(np.array([0.01, 0.01, 0.01]), cov, None)
+    assert w == pytest.approx(np.array([6, 3, 2]) / 11)
+    w, _ = PT.min_variance_long_only(np.array([0.01, 0.01, 0.02]), cov, 0.015)
+    assert w == pytest.approx([1 / 3, 1 / 6, 1 / 2], abs=1e-6)
+    assert PT.min_variance_long_only(np.array([0.01, 0.02]), np.full((2, 2), np.nan), 0.015) == (None, "singular")
+
+
+def test_badly_scaled_problems_are_solved():
+    """Tiny variances beside large means are no singular system."""
+    mu, cov = _problem(5, 4)
+    want, _ = PT.min_variance(mu, cov, mu.mean())
+    for k in (1e-9, 1e6):
+        w, status = PT.min_variance(mu * k, cov * k * 1e-6, mu.mean() * k)
+        assert status == "optimal" and w == pytest.approx(want, abs=1e-7)
+
+
+def test_draws_are_distinct_uniform_and_repeated_by_duckdb(spark):
+    import collections
+
+    import duckdb
+
+    from quotecraft.queries.q_portfolio import draw_ctes
+    names = [f"S{i}" for i in range(9)]
+    pool = spark.createDataFrame([(s,) for s in names], "symbol string")
+    got = sorted((r.portfolio_id, r.symbol) for r in PT.sampled_universe(pool, 3000, 4, seed=5).collect())
+    values = ", ".join(f"('{s}')" for s in names)
+    ctes = draw_ctes("x", 3000, 4, 5, f"SELECT symbol FROM (VALUES {values}) v(symbol)")
+    sql = "WITH " + ", ".join(f"{k} AS ({v})" for k, v in ctes.items()) + " SELECT portfolio_id, symbol FROM x_universe"
+    assert got == sorted(duckdb.sql(sql).fetchall())
+    assert len(set(got)) == 3000 * 4
+    seen = collections.Counter(s for _, s in got)
+    assert all(abs(n - 3000 * 4 / 9) < 5 * (3000 * 4 / 9 * 5 / 9) ** 0.5 for n in seen.values())
 
 
 def test_sampled_universe_distinct_and_repeatable(spark):
@@ -167,3 +309,16 @@ def test_optimality_tells_wrong_weights(spark):
     assert good.least_weight == pytest.approx(w.min())
     bad = PT.optimality(train, target, frame(w + np.array([0.2, -0.2, 0.1, -0.1]))).first()
     assert bad.sum_weights == pytest.approx(1) and bad.kkt > 1e-3
+    # without short positions: the solution passes, a feasible portfolio beside it does not
+    mu = x.mean(axis=0)
+    t = mu.min() + 0.9 * (mu.max() - mu.min())
+    goal = spark.createDataFrame([(7, float(t))], "portfolio_id long, target double")
+    v, _ = PT.min_variance_long_only(mu, np.cov(x, rowvar=False), t)
+    good = PT.optimality(train, goal, frame(v), bounded=True).first()
+    assert good.kkt < 1e-9 and good.gap < 1e-9 and good.least_weight == 0
+    top, low = int(np.argmax(mu)), int(np.argmin(mu))
+    ends = np.zeros(4)
+    ends[top] = (t - mu[low]) / (mu[top] - mu[low])
+    ends[low] = 1 - ends[top]
+    bad = PT.optimality(train, goal, frame(ends), bounded=True).first()
+    assert bad.gap < 1e-9 and bad.least_weight == 0 and (bad.kkt > 1e-3 or np.allclose(ends, v))

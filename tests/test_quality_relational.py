@@ -72,3 +72,40 @@ def test_markets_and_group_null(spark):
     assert [r.symbol for r in REL.on_markets(c, "symbol", ["NASDAQ", "NYSE"], ["symbol"]).collect()] == ["A"]
     g = {r.country for r in REL.distinct_markets_at_least(c, ["country"], 1, exact=True).collect()}
     assert None in g                                 # GROUP BY keeps the NULL group
+
+
+def _scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Scan parquet") + plan.count("Scan ExistingRDD")
+
+
+def test_checks_of_all_columns_are_one_scan(spark, tmp_path):
+    path = str(tmp_path / "c")
+    _companies(spark).write.parquet(path)
+    c = spark.read.parquet(path)
+    bad = Q.not_null_violations(c, ["market_cap", "country", "sector", "symbol"], ["symbol", "stock_mkt_name"])
+    assert sorted((r.column_name, r.symbol, r.stock_mkt_name) for r in bad.collect()) == [
+        ("country", "B", "NASDAQ"), ("country", "B", "NASDAQ"), ("market_cap", "B", "NASDAQ"), ("sector", "A", "NYSE"),
+        ("sector", "C", "AMEX")]
+    long = Q.length_violations(c, {"company_name": 10, "sector": 4}, ["symbol"])
+    assert sorted((r.column_name, r.symbol, r.length) for r in long.collect()) == [
+        ("company_name", "A", 12), ("sector", "A", 5)]
+    _, rejects = Q.cast_lenient(c, {"country": "int", "sector": "double"}, ["symbol"])
+    assert sorted((r.symbol, r.column_name, r.value) for r in rejects.collect()) == [
+        ("A", "country", " US "), ("A", "country", "US"), ("A", "sector", "Tech "), ("B", "sector", "Fin"), ("B", "sector", "Fin"),
+        ("C", "country", "DE")]
+    assert all(_scans(df) == 1 for df in (bad, long, rejects))
+
+
+def test_a_load_measures_itself(spark, tmp_path):
+    c, seen = Q.observed(_companies(spark), ["country", "symbol"], {"company_name": 10}, {"sector": "int"})
+    c.write.parquet(str(tmp_path / "c"))
+    got = {(r.check_name, r.column_name): r.n for r in Q.load_report(c, seen).collect()}
+    assert got == {("n_rows", ""): 5, ("null", "country"): 2, ("null", "symbol"): 0, ("long", "company_name"): 1, ("cast", "sector"): 3}
+
+
+def test_match_flag_keeps_every_left_row_once(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1)], "k string, n int")
+    right = spark.createDataFrame([("a",), ("a",), (None,), ("c",)], "k string")
+    got = REL.match_flag(left, right, ["k"], "hit")
+    assert sorted(((r.k or "", r.n, r.hit) for r in got.collect())) == [("", 1, 0), ("a", 1, 1), ("a", 2, 1), ("b", 1, 0)]

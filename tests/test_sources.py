@@ -113,3 +113,91 @@ def test_append_enforces_primary_key(spark):
     with pytest.raises(ValueError):
         sv.append("exclusions", spark.createDataFrame([("A", "z")], "ticker string, reason string"), key=["ticker"])
     assert sv.read("exclusions").count() == 2
+
+
+def _views(spark, exclusions):
+    """Stored exclusions, prices without the excluded symbols, and a count per symbol on top."""
+    from quotecraft.sources.refresh import StoredViews
+    prices = spark.createDataFrame([(s, d, float(d)) for s in "ABCDE" for d in range(4)], "symbol string, day int, px double")
+    sv, built = StoredViews(spark), []
+    sv.store("exclusions", spark.createDataFrame([(t,) for t in exclusions], "ticker string"), key="ticker")
+
+    def kept(v, symbols=None):
+        built.append(None if symbols is None else {r.symbol for r in symbols.collect()})
+        rows = prices if symbols is None else prices.join(symbols, "symbol", "left_semi")
+        return rows.join(v.read("exclusions").withColumnRenamed("ticker", "symbol"), "symbol", "left_anti")
+
+    def counts(v, symbols=None):
+        rows = v.read("prices")
+        rows = rows if symbols is None else rows.join(symbols, "symbol", "left_semi")
+        return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+
+    sv.define("prices", kept, on=["exclusions"], part=kept)
+    sv.define("counts", counts, on=["prices"], part=counts)
+    sv.refresh("prices")
+    sv.refresh("counts")
+    return sv, built
+
+
+def test_refresh_of_changed_symbols_equals_rebuild(spark):
+    sv, built = _views(spark, "AB")
+    read = lambda n: sorted(tuple(r) for r in sv.read(n).collect())
+    sv.append("exclusions", spark.createDataFrame([("C",)], "ticker string"), key=["ticker"])
+    assert {s for s, *_ in read("prices")} == set("CDE")            # stale
+    assert sv.refresh_changed("prices") and sv.refresh_changed("counts")
+    assert built[-1] == {"C"}                                       # nothing else was derived again
+    assert {s for s, *_ in read("prices")} == set("DE") and read("counts") == [("D", 4), ("E", 4)]
+    # another version of the list: A comes back, E goes; the change is the difference of the versions
+    sv.store("exclusions", spark.createDataFrame([("B",), ("C",), ("E",)], "ticker string"), key="ticker")
+    assert sv.refresh_changed("prices") and sv.refresh_changed("counts")
+    assert built[-1] == {"A", "E"}
+    changed = (read("prices"), read("counts"))
+    sv.refresh("prices")
+    sv.refresh("counts")
+    assert changed == (read("prices"), read("counts")) and {s for s, *_ in read("prices")} == set("AD")
+    # prices were rebuilt as a whole: what changed in them is not known, so counts are too
+    sv.refresh("prices")
+    assert not sv.refresh_changed("counts") and read("counts") == [("A", 4), ("D", 4)]
+    assert sv.refresh_changed("counts") and read("counts") == [("A", 4), ("D", 4)]    # nothing to do
+
+
+def test_versions_are_never_written_again(spark):
+    sv, _ = _views(spark, "A")
+    old = sv.read("exclusions")
+    before = sv.version("exclusions")
+    sv.append("exclusions", spark.createDataFrame([("B",)], "ticker string"))
+    assert [r.ticker for r in old.collect()] == ["A"] and sv.version("exclusions")[:-1] == before
+    assert sorted(r.ticker for r in sv.read("exclusions").collect()) == ["A", "B"]
+
+
+def _exchanges(df):
+    import re
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)", plan)
+
+
+def test_bucketed_tables_need_no_exchange(spark):
+    from quotecraft.queries import queries
+    for name in ("jon_03_bucketed_self_join", "ret_01_bucketed_returns", "ret_02_bucketed_grid_returns"):
+        # beyond the broadcast threshold, as at scale
+        df = queries()[name](spark, SF)
+        df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert _exchanges(df) == [], name
+    plain = R.prev_price_join(Study(spark, SF, W_LONG).mv_eod, Study(spark, SF, W_LONG).calendar)
+    assert _exchanges(plain)
+
+
+def test_company_files_with_bad_lines(spark, tmp_path):
+    head = ",".join(SC.COMPANY_FILE.names)
+    good = lambda s, name="x": f"{s},{name},1,0,0%,5,US,1999,0,Tech,Soft"
+    (tmp_path / "nasdaq.csv").write_text("\n".join([head, good("A", '"Inc, ""A"""'), good("B") + ",more", good("C")]) + "\n")
+    (tmp_path / "nyse.csv").write_text("\n".join([head, "D,too,short", good("E", " blank ")]) + "\n")
+    (tmp_path / "amex.csv").write_text(head + "\n")
+    staging, rejects = loaders.read_company_files(spark, str(tmp_path))
+    assert sorted((r.symbol, r.exchange, r["name"]) for r in staging.collect()) == [
+        ("A", "NASDAQ", 'Inc, "A"'), ("C", "NASDAQ", "x"), ("E", "NYSE", " blank ")]
+    assert sorted((r.exchange, r.line) for r in rejects.collect()) == [("NASDAQ", good("B") + ",more"), ("NYSE", "D,too,short")]
+    table, _ = loaders.load_company_files(spark, str(tmp_path), new_table_path(spark, "companies"), ("NASDAQ", "AMEX", "NYSE"))
+    assert sorted((r.symbol, r.stock_mkt_name, r.market_cap, r.ipo_year) for r in table.collect()) == [
+        ("A", "NASDAQ", 5.0, 1999), ("C", "NASDAQ", 5.0, 1999), ("E", "NYSE", 5.0, 1999)]

@@ -1,28 +1,74 @@
 import datetime as dt
+import glob
+import os
 
 from pyspark.sql import functions as F
 
 from quotecraft.operators import returns as R
 from quotecraft.params import W_SHORT
 from quotecraft.plans.study import Study
-from quotecraft.session import new_table_path
-from quotecraft.streaming import current_returns, start_daily_refresh, write_daily_files
+from quotecraft.session import local_path, new_table_path
+from quotecraft.streaming import (compact, current_prices, current_returns, start_daily_refresh,
+                                  write_daily_files)
+
+SYMBOLS = ("U1", "U2", "U3", "U7", "SP500TR")
+
+
+def _prices(st):
+    return st.eod_r.where(F.col("symbol").isin(*SYMBOLS)).select(
+        "symbol", "date", F.col("adj_close").cast("float").alias("adj_close"))
+
+
+def _run(spark, st, incoming, path, checkpoint, files):
+    q = start_daily_refresh(spark, incoming, st.calendar, path, checkpoint, files_per_batch=files)
+    assert q.awaitTermination(300)
 
 
 def test_streamed_returns_equal_batch_returns_with_late_day(spark):
     st = Study(spark, "/root/testdata/sf0.01", W_SHORT)
-    prices = st.eod_r.where(F.col("symbol").isin("U1", "U2", "U3", "U7", "SP500TR")) \
-        .select("symbol", "date", F.col("adj_close").cast("float").alias("adj_close"))
-    dates = [r.date for r in prices.select("date").distinct().orderBy("date").collect()]
+    prices = _prices(st)
     late = dt.date(2024, 1, 10)
-    order = [d for d in dates if d != late] + [late]           # one day arrives last
-    incoming = new_table_path(spark, "incoming")
-    write_daily_files(prices, incoming, order)
-    price_path, ret_path = new_table_path(spark, "prices"), new_table_path(spark, "returns")
-    q = start_daily_refresh(spark, incoming, st.calendar, price_path, ret_path,
-                            new_table_path(spark, "stream-ckpt"), files_per_batch=4)
-    q.awaitTermination(300)
-    streamed = {(r.symbol, r.date): r.ret for r in current_returns(spark, ret_path).collect()}
+    incoming, path, ckpt = (new_table_path(spark, n) for n in ("incoming", "stream-rows", "stream-ckpt"))
+    # all days but one, then a second start of the stream with the late day
+    write_daily_files(prices.where(F.col("date") != F.lit(late)), incoming)
+    _run(spark, st, incoming, path, ckpt, 4)
+    early = {(r.symbol, r.date) for r in current_returns(spark, path).collect()}
+    prices.where(F.col("date") == F.lit(late)).write.parquet(f"{incoming}/arrival=late")
+    _run(spark, st, incoming, path, ckpt, 4)
+    streamed = {(r.symbol, r.date): r.ret for r in current_returns(spark, path).collect()}
     batch = {(r.symbol, r.date): r.ret for r in R.strict_returns(prices, st.calendar).collect()}
     assert streamed == batch
-    assert any(k[1] == late for k in batch) and any(k[1] == dt.date(2024, 1, 11) for k in batch)
+    after = dt.date(2024, 1, 11)
+    assert any(k[1] == late for k in batch) and any(k[1] == after for k in batch)
+    assert not any(d in (late, after) for _, d in early)
+    assert sorted(current_prices(spark, path).collect()) == sorted(prices.collect())
+    # a start without new files changes nothing
+    _run(spark, st, incoming, path, ckpt, 4)
+    assert {(r.symbol, r.date): r.ret for r in current_returns(spark, path).collect()} == batch
+    table = spark.read.parquet(compact(spark, path, new_table_path(spark, "stream-compact")))
+    assert table.count() == prices.count() and table.where("has_ret").count() == len(batch)
+
+
+def test_corrected_price_and_replayed_batch(spark):
+    """A price that comes again replaces the one before; a batch that runs again after a crash (its commit
+    is missing) leaves the same rows once."""
+    st = Study(spark, "/root/testdata/sf0.01", W_SHORT)
+    prices = _prices(st)
+    incoming, path, ckpt = (new_table_path(spark, n) for n in ("incoming", "stream-rows", "stream-ckpt"))
+    write_daily_files(prices, incoming)
+    _run(spark, st, incoming, path, ckpt, 1000)
+    day = prices.where("symbol = 'SP500TR'").agg(F.min("date")).first()[0]
+    fixed = prices.where((F.col("symbol") == "SP500TR") & (F.col("date") == F.lit(day))).withColumn(
+        "adj_close", (F.col("adj_close") * 2).cast("float"))
+    fixed.write.parquet(f"{incoming}/arrival=again")
+    _run(spark, st, incoming, path, ckpt, 1000)
+    now = prices.join(fixed.select("symbol", "date"), ["symbol", "date"], "left_anti").unionByName(fixed)
+    want = {(r.symbol, r.date): r.ret for r in R.strict_returns(now, st.calendar).collect()}
+    assert {(r.symbol, r.date): r.ret for r in current_returns(spark, path).collect()} == want
+    rows = spark.read.parquet(path).count()
+    last = max(glob.glob(f"{local_path(ckpt)}/commits/[0-9]*"), key=lambda f: int(os.path.basename(f)))
+    for name in (os.path.basename(last), f".{os.path.basename(last)}.crc"):
+        os.replace(f"{local_path(ckpt)}/commits/{name}", f"{local_path(ckpt)}/gone-{name}")
+    _run(spark, st, incoming, path, ckpt, 1000)
+    assert {(r.symbol, r.date): r.ret for r in current_returns(spark, path).collect()} == want
+    assert spark.read.parquet(path).count() == rows
