@@ -6,19 +6,20 @@ hash.  The order is cut into fragments.  Partial overlaps of a pair of texts
 are counted fragment by fragment and summed per pair.
 
 Pairs come from the ends of the order where similar texts must meet (prefix,
-size and position bounds), in two rounds.  First each text meets one central
-text per n-gram, linearly many pairs, whose links give most of each group of
-copies its component.  Then every pair that the bounds leave and that still
-lies in two components is counted, so no link between components is lost while
-a group of near copies is never expanded into all its pairs.  Texts with equal
-n-gram sets are one class from the start.
+size and position bounds).  First each text meets one central text per n-gram,
+linearly many pairs, whose links give most of each group of copies its
+component.  Then, round by round, texts meet some other texts per n-gram where those
+lie in other components, linearly many pairs again, until a round joins few components.
+Then every pair that the bounds leave and that still lies in two components is counted,
+so no link between components is lost while a group of near copies is never expanded
+into all its pairs.  Texts with equal n-gram sets are one class from the start.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import block_count, from_text, store, to_text, window_hashes, word_hashes, words_of
@@ -33,6 +34,10 @@ PIVOTS = ((2, 1 << 62), (2, 2 << 62), (2, 3 << 62), (3, 0), (3, 1 << 63), (4, 0)
 SLOTS_PER_NGRAM = 8
 #: size classes grow by this factor
 SIZE_STEP = 1.02
+#: texts per n-gram and size class that the others meet in a round
+CENTRES = 8
+#: rounds go on while one joins at least this share of the components that still share an n-gram
+WORTH = 0.1
 
 _SET = "_block int, key bigint, n int, weight double, tokens array<bigint>, places array<int>, fragments array<binary>"
 
@@ -226,6 +231,29 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def merge_components(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, comp) after joining the components that the links ``found`` (a, b) connect; a component
+    goes by the smallest key in it."""
+    edges = found.join(comp.select(F.col("key").alias("a"), F.col("comp").alias("ca")), "a").join(
+        comp.select(F.col("key").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = components(edges, "ngram-components")
+    return store(comp.join(roots, F.col("comp") == F.col("node"), "left").select(
+        "key", F.coalesce("root", "comp").alias("comp")), "ngram-roots")
+
+
+def _between_components(larger: DataFrame, smaller: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of n-grams and size classes that more than one component shares: (larger, smaller, their keys)."""
+    x, y = larger.join(comp, "key"), smaller.join(comp, "key")
+    lists = store(x.select("token", "cls", "comp").unionByName(y.select("token", "cls", "comp"))
+                  .groupBy("token", "cls").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                  .where("lo <> hi").select("token", "cls"), "ngram-split")
+    x = store(x.join(lists, ["token", "cls"], "left_semi"), "ngram-larger")
+    y = store(y.join(lists, ["token", "cls"], "left_semi").select(
+        "token", "cls", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("rest").alias("brest"),
+        F.col("comp").alias("bcomp")), "ngram-smaller")
+    return x, y, x.select("key", "comp").unionByName(y.select(F.col("b").alias("key"), F.col("bcomp").alias("comp")))
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
                      percent: int = PERCENT) -> DataFrame:
     """doc_id, key, n_shingles, component_id, root of every row.
@@ -255,29 +283,38 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = (larger.join(centre, ["token", "cls"]).where((F.col("key") != F.col("b")) & _possible(percent))
              .select(F.col("key").alias("a"), "b", "n", "bn").distinct())
     found = store(links(first, sets, percent), "ngram-links")
-    roots = components(found, "ngram-components")
-
-    # round 2: all other possible pairs between two components
-    comp = sets.select("key").join(roots, F.col("key") == F.col("node"), "left").select(
-        "key", F.coalesce("root", "key").alias("comp"))
-    comp = store(comp, "ngram-roots")
-    larger, smaller = larger.join(comp, "key"), smaller.join(comp, "key")
-    split = store(larger.select("token", "cls", "comp").unionByName(smaller.select("token", "cls", "comp"))
-                  .groupBy("token", "cls").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                  .where("lo <> hi").select("token", "cls"), "ngram-split")
-    x = store(larger.join(split, ["token", "cls"], "left_semi"), "ngram-larger")
-    y = store(smaller.join(split, ["token", "cls"], "left_semi").select(
-        "token", "cls", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("rest").alias("brest"),
-        F.col("comp").alias("bcomp")), "ngram-smaller")
+    comp = merge_components(sets.select("key", F.col("key").alias("comp")), found)
+
+    # rounds of some centres per n-gram and size class, drawn anew each time
+    turn = 0
+    while True:
+        x, y, split = _between_components(larger, smaller, comp)
+        # lists that one component fills stay filled: the next round looks at the others only
+        larger, smaller = x.drop("comp"), y.select("token", "cls", F.col("b").alias("key"), F.col("bn").alias("n"), F.col("brest").alias("rest"))
+        turn += 1
+        drawn = Window.partitionBy("token", "cls").orderBy(F.xxhash64("b", F.lit(turn)), "b")
+        some = store(y.withColumn("_place", F.row_number().over(drawn)).where(F.col("_place") <= CENTRES).drop("_place"), "ngram-centres")
+        pairs = (x.join(some, ["token", "cls"]).where((F.col("comp") != F.col("bcomp")) & _possible(percent))
+                 .select(F.col("key").alias("a"), "b", "n", "bn").distinct())
+        found = store(links(pairs, sets, percent), "ngram-links")
+        before = split.select("comp").distinct().count()
+        if not before or found.isEmpty():
+            break
+        comp = merge_components(comp, found)
+        now = split.select("key").distinct().join(comp, "key").select("comp").distinct().count()
+        if before - now < WORTH * before:
+            x, y, _ = _between_components(larger, smaller, comp)
+            break
+
+    # all other possible pairs between two components
     once = (F.col("n") > F.col("bn")) | (F.col("key") < F.col("b"))
-    second = (x.join(y, ["token", "cls"]).where((F.col("comp") != F.col("bcomp")) & once & _possible(percent))
-              .select(F.col("key").alias("a"), "b", "n", "bn").distinct())
-    more = links(second, sets, percent)
-    final = components(found.unionByName(more), "ngram-components")
+    rest = (x.join(y, ["token", "cls"]).where((F.col("comp") != F.col("bcomp")) & once & _possible(percent))
+            .select(F.col("key").alias("a"), "b", "n", "bn").distinct())
+    final = merge_components(comp, store(links(rest, sets, percent), "ngram-links"))
 
     # classes to components, components to their smallest document
-    named = store(classes.join(final, F.col("rep") == F.col("node"), "left").select(
-        "d0", "d1", "first_id", F.coalesce("root", "rep").alias("root")), "ngram-named")
+    named = store(classes.join(final, F.col("rep") == F.col("key"), "left").select(
+        "d0", "d1", "first_id", F.coalesce("comp", "rep").alias("root")), "ngram-named")
     least = store(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "ngram-least")
     named = named.join(least, "root").select("d0", "d1", "component_id", "root")
     own = members.join(named, ["d0", "d1"], "left")
