@@ -38,6 +38,17 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, dtype="<u" + chr(raw[0]), offset=1).astype(np.int64))
 
 
+def scaled(h: np.ndarray, slots: int) -> np.ndarray:
+    """``h * slots / 2**64``, rounded down: every slot can be reached, however many there are."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    a, b, c, d = h >> half, h & low, np.uint64(slots >> 32), np.uint64(slots & 0xFFFFFFFF)
+    if not c:
+        return (a * d + (b * d >> half)) >> half
+    ad, bc = a * d, b * c
+    middle = (b * d >> half) + (ad & low) + (bc & low)
+    return a * c + (ad >> half) + (bc >> half) + (middle >> half)
+
+
 class Shape:
     """Slots per sketch row and their cut into shards, from the expected entries."""
 
@@ -52,10 +63,7 @@ class Shape:
         out = []
         for r in range(self.depth):
             h = h0 if r == 0 else h1 if r == 1 else mix64(h0 + np.uint64(r))
-            # the high 32 bits scaled to the slots: even over any number of slots
-            out.append(((h >> np.uint64(32)) * np.uint64(self.slots >> 16) >> np.uint64(16)).astype(np.int64)
-                       if self.slots >= 1 << 31 else
-                       ((h >> np.uint64(32)) * np.uint64(self.slots) >> np.uint64(32)).astype(np.int64))
+            out.append(scaled(h, self.slots).astype(np.int64))
         return out
 
     def cuts(self, slots: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ import numpy as np
 
 from quotecraft.llm import ngram_join, substring_dedup
 from quotecraft.llm.common import window_hashes
-from quotecraft.llm.sketch import Shape, pack_sorted, unpack_sorted
+from quotecraft.llm.sketch import Shape, pack_sorted, scaled, unpack_sorted
 
 
 def test_substring_dedup_equals_brute_force(tricky):
@@ -64,3 +64,29 @@ def test_window_hashes_and_sketch_codes():
     shape = Shape(10_000_000, 2, 4)
     for slots in shape.rows(h, h):
         assert slots.min() >= 0 and slots.max() < shape.slots
+
+
+def test_every_slot_can_be_reached():
+    """Whole 64-bit hashes are scaled: more slots than 2**32 do not share them."""
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    for slots in (1 << 12, 1 << 21, (1 << 32) - 5, 1 << 32, 1 << 33, 3_000_000_000_000):
+        assert scaled(h, slots).tolist() == [int(x) * slots >> 64 for x in h]
+    near = (np.uint64(7) << np.uint64(32)) + np.arange(4096, dtype=np.uint64) * np.uint64(1 << 20)   # equal high halves
+    assert len(np.unique(scaled(near, 1 << 44))) == 4096
+
+
+def test_components_of_a_family_that_one_centre_does_not_join(spark):
+    """Chains of versions of a text: each is similar to its neighbours only, so rounds must go on."""
+    rng = __import__("random").Random(13)
+    rows = []
+    for family in range(4):
+        text = [f"f{family}w{k}" for k in range(60)]
+        for k in range(40):
+            rows.append((1000 * family + k, " ".join(text)))
+            text = list(text)
+            text[rng.randrange(60)] = f"f{family}n{k}"
+    want = Counter((d, *x) for (d, _), x in zip(rows, brute.components(rows), strict=True))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs).collect())
+    assert got == want and len({c for _, _, c in want}) == 4
