@@ -4,7 +4,7 @@ Equal texts form a group and stay in one shard.  Items are placed largest
 first into the shard where the dot product of the item's vector (shares of all
 bytes, tokens and rows) with the shard's residual capacity is highest.  Groups
 above a set share of the corpus are items of their own (there can be only so
-many); all smaller groups are bundled by hash, so the number of items depends
+many), cut only where one shard's share cannot hold them; all smaller groups are bundled by hash, so the number of items depends
 on the shard count and not on the corpus.
 """
 
@@ -20,9 +20,6 @@ N_SHARDS = 40
 #: bundles of small groups per shard; a group above 1 / (shards x BUNDLES) of
 #: any dimension is an item of its own: at most 3 x shards x BUNDLES of them
 BUNDLES = 64
-#: a group above 1 / (shards x PIECES) of the corpus cannot be balanced whole
-#: and is cut into pieces below that share
-PIECES = 4
 #: bytes that a document costs besides its text
 OVERHEAD = 16
 
@@ -63,8 +60,9 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", te
     limit = 1.0 / (n_shards * BUNDLES)
     n_rows = int(total["rows"])
     # at most 3 / limit rows: one per group above the share
+    # a group that one shard's share holds stays whole; a larger one goes into as few pieces as fit
     large = groups.where(share > limit).select("digest", *dims, F.greatest(
-        F.lit(1), F.ceil(share * n_shards * PIECES)).cast("int").alias("pieces"))
+        F.lit(1), F.ceil(share * n_shards)).cast("int").alias("pieces"))
     bundle = F.pmod(F.xxhash64("digest"), F.lit(n_shards * BUNDLES)).cast("string")
     # pieces of a cut group: its rows dealt by id
     keyed = (rows.join(F.broadcast(large.select("digest", "pieces")), "digest", "left")

@@ -113,6 +113,18 @@ def test_shards_are_even_and_keep_groups(spark):
     assert sum(len(s) > 1 for s in of.values()) == 1      # only the group with a third of all rows is cut
 
 
+def test_a_group_that_a_shard_can_hold_stays_whole(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "CASE WHEN id % 25 < 2 THEN 'a copied text of some words' "
+                                          "WHEN id % 25 = 2 THEN 'another copied text' ELSE concat('text number ', id) END as text")
+    rows = sharding.assign(docs, 10).collect()
+    of, size = defaultdict(set), defaultdict(int)
+    for r in rows:
+        of[r.digest].add(r.shard)
+        size[r.shard] += r.size
+    assert all(len(s) == 1 for s in of.values())           # eight hundredths of the rows, of a tenth a shard
+    assert max(size.values()) < 1.1 * min(size.values())
+
+
 @pytest.mark.parametrize("weights, sizes", [
     ({"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 2500, "b": 2500, "c": 2500}),
     ({"a": 0.9999, "tiny": 0.0001}, {"a": 6000, "tiny": 50}),
