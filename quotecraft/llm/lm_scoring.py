@@ -40,6 +40,8 @@ ORDER = 3
 GRAM_BITS = 40
 #: discounts where the counts of counts give none (fixed values)
 FALLBACK = (0.5, 1.0, 1.5)
+#: columns the operator makes; ``keep`` cannot use their names
+MADE = {"held_out", "_words", "_raw", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"}
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -96,8 +98,8 @@ def text_blocks(docs: DataFrame, keep: dict[str, str] | None = None, id_col: str
     Null texts are empty."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(True))
     keep = keep or {"doc_id": id_col}
-    if {"held_out", "_words"} & set(keep):
-        raise ValueError("held_out and _words are the operator's own columns")
+    if clash := MADE & set(keep):
+        raise ValueError(f"the operator makes columns of its own: {sorted(clash)}")
 
     def encode(table: pa.Table) -> dict:
         import xxhash

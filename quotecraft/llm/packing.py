@@ -344,7 +344,9 @@ def place_in_order(pieces: DataFrame, order_col: str, capacity: int = CAPACITY)
     own, and their sequences follow those of the segment before, so the order
     holds from segment to segment whatever lengths a source has.  Inside a
     segment the pieces of a length are taken in order and sequences go by the
-    mean place of their tokens.
+    mean place of their tokens, ties to the earlier sequence of the plan.  ``order_col`` must not
+    be null (``stored_order`` numbers every row); repeated rows have numbers of their own; an
+    empty table gives an empty result.
     """
     segment = SEGMENT
 

@@ -160,7 +160,7 @@ def alignment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     result.  Texts are read whole.
     """
     keep = keep or {"doc_id": id_col}
-    made = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum", "_pairs"]
+    made = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum", "_pairs", "_raw"]
     if set(made) & set(keep):
         raise ValueError(f"the operator makes columns of its own: {sorted(set(made) & set(keep))}")
 

@@ -137,6 +137,8 @@ def test_held_out_texts_and_empty_tables(spark, no_docs):
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == 0 and r.n_tokens == 3 for r in got)
     with pytest.raises(ValueError):
         lm_scoring.text_blocks(docs, {"held_out": "doc_id"})
+    with pytest.raises(ValueError):
+        lm_scoring.score_documents(docs, keep={"score": "doc_id"})
 
 
 def test_learned_order_beats_single_words(spark):
