@@ -20,7 +20,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the additive model does not reject (score of 0.3 or more)."""
+    """Documents that the additive model does not reject (score of 0.3 or more).
+
+    Null and empty texts are scored as texts without words; repeated rows are judged each, alike;
+    other columns pass as they are, nulls included; an empty table stays empty."""
     model = quality_gam.train(docs, load(spark, sf_dir, "labels"))
     scored = quality_gam.score_documents(docs, model, keep={c: c for c in COLUMNS})
     return scored.where("predicted = 1").select(*COLUMNS)
@@ -48,14 +51,18 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the source mix (weight: square root of a source's rows)."""
+    """All documents in the order of the source mix (weight: square root of a source's rows).
+
+    A null source is a source of its own; repeated rows, null and empty texts keep a place each;
+    an empty table stays empty."""
     return mixing.mixed(docs.select(*COLUMNS), WEIGHTS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, with token ids and the document's place in the
     mix, and their place in the packed sequences.  The mix is the order in which
-    the stage before stored its rows; sequences are made and numbered along it."""
+    the stage before stored its rows; sequences are made and numbered along it.  A null or empty
+    text is its closing token alone; repeated rows are packed each; no rows, no pieces."""
     return packing.pack(stored_order(docs, "mix_place"), keep_ids=True, order_col="mix_place")
 
 
@@ -73,7 +80,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written and read back."""
+    """Apply the stages to ``documents``; each result is written and read back.  Columns besides
+    those of ``documents`` go in the first stage; an empty table passes through all of them."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
