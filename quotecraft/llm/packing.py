@@ -11,7 +11,6 @@ pieces are ranked inside their length by Spark and look up their place.
 
 from __future__ import annotations
 
-import sys
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -26,8 +25,6 @@ from .common import from_text, number_rows, store, to_text
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k"
-#: bytes that one task spends on remembered chunks
-REMEMBER = 16 << 20
 #: documents, and bytes of ids, that a task holds before it passes pieces on
 HOLD = (256, 4 << 20)
 #: documents of one plan where the order of documents counts
@@ -37,12 +34,11 @@ Pattern = tuple[tuple[int, int], ...]      # ((length, how many), ...)
 Plan = list[tuple[Pattern, int]]           # (pattern, how many bins)
 
 
-class PieceIds(dict):
-    """Blank-separated chunk of a text -> its token ids as little-endian bytes.
+class PieceIds:
+    """Token ids of a text as little-endian bytes.
 
-    The vocabulary's splitting rule always starts a new pre-token at a blank
-    before a non-blank, so chunks cut there are encoded one by one and joined.
-    ``tiktoken`` reads the same vocabulary as ranks and gives the same ids.
+    ``tiktoken`` reads the same vocabulary as ranks and gives the same ids; a text that may
+    hold a special token's string goes to the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
@@ -55,34 +51,14 @@ class PieceIds(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._fast = tiktoken.Encoding(vocabulary, pat_str=known.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._file, self._whole = known.path(f"{vocabulary}.json"), None
-        self._bytes = 0
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self._fast.encode_ordinary(chunk), dtype="<u4").tobytes()
-        if len(chunk) <= 64:
-            # a key, a value and their place in the table
-            self._bytes += sys.getsizeof(chunk) + sys.getsizeof(ids) + 100
-            if self._bytes > REMEMBER:
-                self.clear()
-                self._bytes = 0
-            self[chunk] = ids
-        return ids
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text:                   # may hold a special token's string: the tokenizer itself decides
+        if "<|" in text:
             if self._whole is None:
                 from tokenizers import Tokenizer
                 self._whole = Tokenizer.from_file(self._file)
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        chunks: list[str] = []
-        for k, part in enumerate(text.split(" ")):
-            if not k:
-                chunks.append(part)
-            elif part and not part[0].isspace():
-                chunks.append(" " + part)
-            else:
-                chunks[-1] += " " + part
-        return b"".join(map(self.__getitem__, chunks))
+        return np.array(self._fast.encode_ordinary(text), dtype="<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
