@@ -20,6 +20,9 @@ N_SHARDS = 40
 #: bundles of small groups per shard; a group above 1 / (shards x BUNDLES) of
 #: any dimension is an item of its own: at most 3 x shards x BUNDLES of them
 BUNDLES = 64
+#: a group above one shard's share is cut into pieces below this part of a shard, so
+#: that what lies in several shards anyway can be balanced
+PIECES = 4
 #: bytes that a document costs besides its text
 OVERHEAD = 16
 
@@ -60,9 +63,9 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", te
     limit = 1.0 / (n_shards * BUNDLES)
     n_rows = int(total["rows"])
     # at most 3 / limit rows: one per group above the share
-    # a group that one shard's share holds stays whole; a larger one goes into as few pieces as fit
-    large = groups.where(share > limit).select("digest", *dims, F.greatest(
-        F.lit(1), F.ceil(share * n_shards)).cast("int").alias("pieces"))
+    # a group that one shard's share holds stays whole
+    large = groups.where(share > limit).select("digest", *dims, F.when(share * n_shards <= 1, 1).otherwise(
+        F.ceil(share * n_shards * PIECES)).cast("int").alias("pieces"))
     bundle = F.pmod(F.xxhash64("digest"), F.lit(n_shards * BUNDLES)).cast("string")
     # pieces of a cut group: its rows dealt by id
     keyed = (rows.join(F.broadcast(large.select("digest", "pieces")), "digest", "left")

@@ -114,7 +114,7 @@ def test_shards_are_even_and_keep_groups(spark):
 
 
 def test_a_group_that_a_shard_can_hold_stays_whole(spark):
-    docs = spark.range(20_000).selectExpr("id as doc_id", "CASE WHEN id % 25 < 2 THEN 'a copied text of some words' "
+    docs = spark.range(20_000).selectExpr("id as doc_id", "CASE WHEN id % 25 < 2 THEN 'some copied text' "
                                           "WHEN id % 25 = 2 THEN 'another copied text' ELSE concat('text number ', id) END as text")
     rows = sharding.assign(docs, 10).collect()
     of, size = defaultdict(set), defaultdict(int)
