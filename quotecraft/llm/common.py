@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..session import new_table_path
 
-#: bytes of text that one block of documents aims at; a block is one Python group
-BLOCK_BYTES = 6 << 20
+#: bytes of text that one block of documents aims at; a block is one Python group, whose
+#: arrays take some thirty times as much memory
+BLOCK_BYTES = 3 << 20
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
