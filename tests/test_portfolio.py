@@ -145,6 +145,33 @@ def test_blocked_covariance(spark, gappy, block):
     assert len(once) == sum(1 for p, a, b in got if a <= b) and all(r.asset_a <= r.asset_b for r in once)
 
 
+def test_pairs_become_rows_in_the_jvm(spark):
+    """70 assets in blocks of 50: blocks are longer than a strip, and one of them has only assets without a series."""
+    from quotecraft.operators import packed as pk
+    rng = np.random.default_rng(5)
+    symbols, x = [f"S{i:03d}" for i in range(170)], rng.normal(0, 1e-4, (70, 12))
+    u = spark.createDataFrame([(7, s) for s in symbols], "portfolio_id long, symbol string")
+    packed = pk.pack_series(_returns(spark, x, symbols[:70]), 12)
+    want = np.cov(x)
+    for both in (False, True):
+        c = pk.covariance_blocks(u, packed, None, 12, 50, both)
+        got = {(r.asset_a, r.asset_b): r["cov"] for r in c.collect()}
+        assert len(got) == c.count() == (70 * 70 if both else 70 * 71 // 2)
+        assert all(got[a, b] == pytest.approx(want[symbols.index(a), symbols.index(b)], abs=1e-18) for a, b in got)
+        # Python hands over arrays, not pairs
+        made = [s for s in c._jdf.queryExecution().executedPlan().toString().splitlines() if "FlatMapGroupsInArrow" in s]
+        assert made and all("covs" in s and "asset_b" not in s for s in made)
+
+
+def test_rounding_of_many_values(spark):
+    from quotecraft.queries.registry import rnd, rnd_many
+    rng = np.random.default_rng(6)
+    v = [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, -1e-12, 5e-9, -5e-9, 1.5e-8, 2.5e-8, 0.285, 1234.000000005, 1e4, 1e300, -7e12 / 3]
+    v += rng.normal(0, 1e-3, 3000).tolist() + (rng.integers(-10**9, 10**9, 3000) / 1e9).tolist() + ((rng.integers(-10**6, 10**6, 3000) + 0.5) / 1e8).tolist()
+    df = spark.createDataFrame([(x,) for x in v], "x double").select(rnd("x", 8).alias("a"), rnd_many("x", 8).alias("b"))
+    assert df.where("not (a <=> b)").count() == 0
+
+
 @pytest.mark.parametrize("long_only", [False, True])
 def test_stacked_weights_equal_single_solves(spark, gappy, long_only):
     from quotecraft.operators import packed as pk
