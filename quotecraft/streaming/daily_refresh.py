@@ -3,17 +3,20 @@
 The reference keeps every calendar day in its exports because "data is
 updated daily" and re-runs its stored views.  This is the incremental form
 of that step: new price files (symbol, date, adj_close) land in a folder, and
-the stream keeps one state per symbol, its prices by day.  A micro-batch
+the stream keeps its symbols' prices by day, in one state per bucket of symbols.  A micro-batch
 
 1. joins its rows to the calendar (one row per day): the trading day before, and
    the days whose trading day before this one is;
-2. updates the symbol's prices and derives the strict returns (RET-01 semantics) that
+2. updates the prices and derives the strict returns (RET-01 semantics) that
    they touch: those of the new days, and those of days after them that came
-   earlier (a late price fixes the return of the day after it);
+   earlier (a late price fixes the return of the day after it), all symbols of a bucket
+   at once in arrays;
 3. appends a row (symbol, date, adj_close, ret, seq) for each.
 
-A symbol's state is bounded by the calendar, and a batch reads nothing but its own
-files and the states of its symbols.  The row of the highest ``seq`` is the current one
+A call of Python, its frames and its state have a price of about a millisecond: with one state
+per symbol a batch took that for each of them, with buckets it takes it at most ``BUCKETS`` times.
+A bucket's state is bounded by its symbols and the calendar, and a batch reads nothing but its own
+files and the states of its buckets.  The row of the highest ``seq`` is the current one
 (:func:`current_prices`, :func:`current_returns`).  State, progress and the list of written
 files are in the stream's checkpoint and output log under the shared folder, so a replayed
 batch neither counts twice nor leaves rows behind.  :func:`compact` writes the current rows as
@@ -37,7 +40,10 @@ from ..session import new_table_path
 
 PRICE_SCHEMA = "symbol string, date date, adj_close float"
 _ROW = "symbol string, day int, adj_close float, ret double, has_ret boolean, seq long"
-_STATE = "days array<int>, prices array<float>, seq long"
+#: states of a stream; a checkpoint keeps its symbols' buckets, so another number needs a new one
+BUCKETS = 1024
+#: ``codes`` (places in ``symbols``) and ``days`` as int32, ``prices`` as float32, sorted by symbol and day
+_STATE = "symbols array<string>, codes binary, days binary, prices binary, seq long"
 _TABLE = "symbol string, date date, adj_close float, ret double, has_ret boolean, seq long"
 
 
@@ -51,41 +57,59 @@ def _neighbour_days(calendar: DataFrame) -> DataFrame:
         F.coalesce("nexts", F.array().cast("array<int>")).alias("nexts"))
 
 
-def _ret(now: float, before: float) -> float | None:
-    if np.isnan(now) or np.isnan(before):
-        return None
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return float(np.float32(now) / np.float32(before)) - 1.0
+def _keys(codes: np.ndarray, days: np.ndarray) -> np.ndarray:
+    """One number per symbol and day, in their order."""
+    return (codes.astype("i8") << 32) + days.astype("i8") + (1 << 31)
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted ``keys``, whether it is there) of each wanted key."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    days, prices, seq = state.get if state.exists else ([], [], 0)
-    known = {int(d): np.nan if p is None else float(p) for d, p in zip(days, prices, strict=True)}
-    new: dict[int, float] = {}
-    before: dict[int, int | None] = {}
-    after: dict[int, list[int]] = {}
-    for pdf in batches:
-        for day, price, prev, nexts in zip(pdf["day"], pdf["adj_close"], pdf["prev"], pdf["nexts"], strict=True):
-            day = int(day)
-            # two prices of one day in a batch: the larger, so that a replay keeps the same one
-            new[day] = float(np.fmax(new.get(day, np.nan), price))
-            before[day] = None if pd.isna(prev) else int(prev)
-            after[day] = [int(n) for n in nexts]
-    known |= new
-    touched = {d: p for d, p in before.items()}
-    for day, nexts in after.items():
-        touched |= {n: day for n in nexts if n in known and n not in new}
+    symbols, codes, days, prices, seq = state.get if state.exists else ([], b"", b"", b"", 0)
+    old = _keys(np.frombuffer(codes, "<i4"), np.frombuffer(days, "<i4"))
+    pdf = pd.concat(list(batches), ignore_index=True)
+    # known symbols keep their places
+    code, names = pd.factorize(np.array(symbols + pdf["symbol"].tolist(), dtype=object), use_na_sentinel=False)
+    names = [s if isinstance(s, str) else None for s in names]
+    code, day = code[len(symbols):], pdf["day"].to_numpy()
+    # two prices of one day in a batch: the larger, so that a replay keeps the same one
+    new, first, back = np.unique(_keys(code, day), return_index=True, return_inverse=True)
+    price = np.full(len(new), np.nan, "f4")
+    np.fmax.at(price, back, pdf["adj_close"].to_numpy().astype("f4"))
+    code, day = code[first], day[first]
+    stay = ~np.isin(old, new)
+    known, at_price = np.concatenate([old[stay], new]), np.concatenate([np.frombuffer(prices, "<f4")[stay], price])
+    order = np.argsort(known, kind="stable")
+    known, at_price = known[order], at_price[order]
+
+    # the days of the batch: the trading day before, and the days that a price of theirs comes before
+    _, some, of = np.unique(day, return_index=True, return_inverse=True)
+    prev = pdf["prev"].to_numpy(dtype=float)[first][some]
+    nexts = [np.asarray(n, dtype="i8") for n in pdf["nexts"].to_numpy()[first][some]]
+    many, starts = np.array([len(n) for n in nexts]), np.cumsum([0] + [len(n) for n in nexts])
+    each = np.repeat(np.arange(len(new)), many[of])
+    within = np.arange(len(each)) - np.repeat(np.cumsum(many[of]) - many[of], many[of])
+    later = _keys(code[each], np.concatenate([*nexts, np.empty(0, "i8")])[starts[of[each]] + within])
+    came = _places(known, later)[1] & ~np.isin(later, new)
+    each, later = each[came], later[came]
+
+    before = prev[of]
+    touched = np.concatenate([new, later])
+    now = at_price[_places(known, touched)[0]]
+    at, has = _places(known, np.concatenate([_keys(code, np.nan_to_num(before)), new[each]]))
+    has &= np.concatenate([~np.isnan(before), np.ones(len(later), dtype=bool)])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ret = (now / at_price[at]).astype("f8") - 1.0
     seq = int(seq) + 1
-    rows = []
-    for day in sorted(touched):
-        prev = touched[day]
-        has = prev is not None and prev in known
-        price = known[day]
-        rows.append((key[0], day, None if np.isnan(price) else price, _ret(price, known[prev]) if has else None, has, seq))
-    order = sorted(known)
-    state.update((order, [None if np.isnan(known[d]) else known[d] for d in order], seq))
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in _ROW.split(", ")])
-    yield out.astype({"adj_close": "float32", "ret": "float64"})
+    which = (touched >> 32)
+    state.update((names, (known >> 32).astype("<i4").tobytes(), ((known & 0xFFFFFFFF) - (1 << 31)).astype("<i4").tobytes(),
+                  at_price.astype("<f4").tobytes(), seq))
+    yield pd.DataFrame({"symbol": np.array(names, dtype=object)[which], "day": ((touched & 0xFFFFFFFF) - (1 << 31)).astype("i4"),
+                        "adj_close": now, "ret": np.where(has, ret, np.nan), "has_ret": has, "seq": np.full(len(touched), seq, "i8")})
 
 
 def start_daily_refresh(spark: SparkSession, incoming: str, calendar: DataFrame, path: str, checkpoint: str,
@@ -97,8 +121,9 @@ def start_daily_refresh(spark: SparkSession, incoming: str, calendar: DataFrame,
     src = (spark.readStream.schema(PRICE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
            .parquet(f"{incoming.rstrip('/')}/*/*.parquet"))
     rows = src.join(F.broadcast(spark.read.parquet(days)), "date").select(    # one row per day
-        "symbol", F.unix_date("date").alias("day"), F.col("adj_close").cast("float").alias("adj_close"), "prev", "nexts")
-    out = rows.groupBy("symbol").applyInPandasWithState(_advance, _ROW, _STATE, "append", GroupStateTimeout.NoTimeout)
+        "symbol", F.unix_date("date").alias("day"), F.col("adj_close").cast("float").alias("adj_close"), "prev", "nexts",
+        F.pmod(F.hash("symbol"), F.lit(BUCKETS)).alias("bucket"))
+    out = rows.groupBy("bucket").applyInPandasWithState(_advance, _ROW, _STATE, "append", GroupStateTimeout.NoTimeout)
     writer = (out.select("symbol", F.date_from_unix_date("day").alias("date"), "adj_close", "ret", "has_ret", "seq")
               .writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
