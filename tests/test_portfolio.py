@@ -163,6 +163,38 @@ def test_pairs_become_rows_in_the_jvm(spark):
         assert made and all("covs" in s and "asset_b" not in s for s in made)
 
 
+def test_pairs_of_one_portfolio_are_dealt_out(spark):
+    """120 short series fit a broadcast, and one portfolio is one key: its 120 pairs of blocks still go to many tasks."""
+    from pyspark.sql import functions as F
+    from quotecraft.operators import packed as pk
+    symbols, x = [f"S{i:03d}" for i in range(120)], np.random.default_rng(7).normal(0, 1, (120, 6))
+    u = spark.createDataFrame([(7, s) for s in symbols] + [(None, "S000")], "portfolio_id long, symbol string")
+    packed = pk.pack_series(_returns(spark, x, symbols), 6)
+    want = np.cov(x)
+    assert pk.pair_tasks(120, 8) == 120 and pk.pair_tasks(0) == pk.pair_tasks(1) == 1 and pk.pair_tasks(10**9) == pk.TASKS
+    for tasks, least in ((None, 8), (pk.pair_tasks(120, 8), 50)):
+        c = pk.covariance_blocks(u, packed, None, 6, 8, False, tasks).withColumn("task", F.spark_partition_id()).collect()
+        got = {(r.asset_a, r.asset_b): r["cov"] for r in c}
+        assert len(got) == len(c) == 120 * 121 // 2 and {r.portfolio_id for r in c} == {7}
+        assert all(got[a, b] == pytest.approx(want[symbols.index(a), symbols.index(b)], abs=1e-12) for a, b in got)
+        assert len({r.task for r in c}) >= least
+
+
+def test_all_customers_pairs_run_in_many_tasks(spark, tmp_path):
+    """3,100 customers: four blocks, ten pairs of blocks, although their series are less than a MB."""
+    from datetime import datetime
+    from pyspark.sql import functions as F
+    from quotecraft.queries import queries
+    orders = spark.range(6200).select((F.col("id") % 3100).alias("o_custkey"), (F.col("id") * 7.5 + 100).alias("o_totalprice"),
+                                      F.lit(datetime(2020, 1, 15)).alias("o_orderdate"), F.col("id").alias("_k"))
+    orders = orders.withColumn("o_orderdate", F.expr("timestampadd(MONTH, cast(_k % 5 as int), o_orderdate)")).drop("_k")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    c = queries()["ptf_03_covariance_all_customers"](spark, str(tmp_path))
+    per_task = c.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 3100 * 3101 // 2
+    assert len(per_task) >= 4
+
+
 def test_rounding_of_many_values(spark):
     from quotecraft.queries.registry import rnd, rnd_many
     rng = np.random.default_rng(6)
